@@ -78,3 +78,29 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, k: int = 1, rank:
     and at most ``k`` rows per key leave each task."""
     out = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k)
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
+
+
+def number_runs(df: DataFrame, keys: list[str], block: dict[str, Column], order: list[str], value: str, joined, name: str) -> DataFrame:
+    """Number the runs along ``order`` inside ``keys``: a row stays in the run of the row before it where
+    ``joined(previous_value, value)`` holds, else it opens a new run. Adds ``name`` (not dense, only distinct per run)."""
+    bcols = [f"_b{i}" for i in range(len(block))]
+    base = df
+    for n, expr in zip(bcols, block.values()):
+        base = base.withColumn(n, expr)
+    part = keys + bcols
+    w = W.partitionBy(*part).orderBy(*order)
+    opens = lambda prev, cur: F.when(joined(prev, cur), 0).otherwise(1)
+    local = base.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    local = local.withColumn("_open", F.when(F.col("_prev").isNull(), 0).otherwise(opens(F.col("_prev")["v"], F.col(value))))
+    inside = local.withColumn("_in", F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    carry = local.groupBy(*part).agg(
+        F.sum("_open").alias("_t"), F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"),
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_final"))
+    wb = W.partitionBy(*keys).orderBy(*bcols)
+    carry = carry.withColumn("_head", opens(F.lag("_final").over(wb)["v"], F.col("_first")["v"]))
+    carry = carry.select(
+        *[F.col(c).alias(f"_k_{c}") for c in part],
+        (F.sum("_head").over(wb.rowsBetween(W.unboundedPreceding, W.currentRow))
+         + F.coalesce(F.sum("_t").over(wb.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
+    out = inside.join(carry, same(inside, carry, [(c, f"_k_{c}") for c in part]), "left")
+    return out.select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))

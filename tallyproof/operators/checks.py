@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ids
-from ..functions.ordered import chain, first_per_key, same, seq_block
+from ..functions.ordered import chain, first_per_key, number_runs, same, seq_block
 from .reconcile import reconcile
 
 REF_LIMIT = 20
@@ -211,9 +211,7 @@ def consecutive_runs(inv: DataFrame, block: int = 1_000_000) -> DataFrame:
     v = d.groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     v = v.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(2)).cast("int"))))
     cuts = {"range": F.floor(F.col("v") / F.lit(block).cast("decimal(10,0)"))}
-    v = chain(v, keys, cuts, ["v", "copy"], previous={"before": F.col("v")})
-    v = v.withColumn("starts", F.when(F.col("v") - F.col("before") == 1, 0).otherwise(1))
-    v = chain(v, keys, cuts, ["v", "copy"], sums={"run": F.col("starts")})
+    v = number_runs(v, keys, cuts, ["v", "copy"], "v", lambda before, now: now - before == 1, "run")
     runs = v.groupBy(*keys, "run").agg(F.count("*").alias("len"), F.min("first_seq").alias("first_seq"))
     best = runs.groupBy(*keys).agg(F.max("len").alias("max_run"), F.min("first_seq").alias("seq")).where("max_run >= 3")
     return best.select("tenant_id", F.lit("SEQ-01").alias("check_id"), "seq", F.lit(0).alias("part"),

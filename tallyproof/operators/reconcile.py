@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordered import chain, number_rows, seq_block
+from ..functions.ordered import number_rows, number_runs, seq_block
 from ..session import cut
 
 AMOUNT_TOLERANCE = 1
@@ -28,10 +28,8 @@ ISLAND = ["tenant_id", "a_island", "d_island"]
 
 def _islands(d: DataFrame, keys: list[str], value: str, gap: Column | int, block: Column, name: str) -> DataFrame:
     """Number the runs of ``value`` whose neighbours lie at most ``gap`` apart. Works on distinct values, in blocks."""
-    v = d.select(*keys, value).distinct()
-    v = chain(v, keys, {"range": block}, [value], previous={"before": F.col(value)})
-    v = v.withColumn("starts", F.when(F.col(value) - F.col("before") <= gap, 0).otherwise(1))
-    v = chain(v, keys, {"range": block}, [value], sums={name: F.col("starts")}).drop("starts", "before")
+    v = d.select(*list(dict.fromkeys(keys + [value]))).distinct()
+    v = number_runs(v, keys, {"range": block}, [value], value, lambda before, now: now - before <= gap, name)
     return d.join(v, keys + [value])
 
 
@@ -116,7 +114,7 @@ def reconcile(inv: DataFrame, led: DataFrame, task_rows: int = 20_000) -> DataFr
     l = led.where("amount > 0").join(ref.select("tenant_id", F.col("l_seq").alias("seq")), ["tenant_id", "seq"], "left_anti").select(
         "tenant_id", F.lit("l").alias("side"), "seq", cents("amount").alias("cents"), dayno(F.col("txn_date")).alias("day"),
         F.lit(0).alias("days"))
-    d = i.unionByName(l)
+    d = cut(i.unionByName(l))
     d = _islands(d, ["tenant_id"], "cents", 100 * AMOUNT_TOLERANCE, F.floor(F.col("cents") / 100_000), "a_island")
     # A date gap only separates rows when every row of the amount island is dated.
     wide = d.groupBy("tenant_id", "a_island").agg(F.max("days").alias("widest"), F.count_if(F.col("day").isNull()).alias("undated"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["case_checks"]
+AREAS = ["case_checks", "case_metrics"]
 
 
 def load_all() -> None:

@@ -44,7 +44,7 @@ from (select tenant_id, paid_date as txn_date, total_amount as amount,
       from inv where status='PAID' and part_key%11<>0) x"""
 
 BIL = """
-select concat('CASE-', lpad(cast(o_custkey%100 as varchar(20)),4,'0')) as tenant_id,
+select concat('CASE-', lpad(cast(o_custkey%100 as varchar(20)),4,'0')) as tenant_id, o_orderkey as seq,
   concat('AP', lpad(cast(o_orderkey as varchar(20)),8,'0')) as bill_number,
   cast(20000000+((o_custkey%100)*7919)%79999999 as varchar(20)) as buyer_ban,
   cast(20000000+(o_custkey*104729)%79999999 as varchar(20)) as supplier_ban,

@@ -95,7 +95,7 @@ def bills(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     k = F.col("o_custkey")
     return o.select(
-        _case(k % 100).alias("tenant_id"),
+        _case(k % 100).alias("tenant_id"), F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("AP"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("bill_number"),
         _ban(k % 100, 7919).alias("buyer_ban"), _ban(k, 104729).alias("supplier_ban"),
         F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).alias("supplier_name"),
