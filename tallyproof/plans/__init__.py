@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["case_checks", "case_metrics"]
+AREAS = ["case_checks", "case_metrics", "retrieval_queries"]
 
 
 def load_all() -> None:
