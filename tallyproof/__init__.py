@@ -1,0 +1,8 @@
+"""Credit-document analytics on Spark: checks, metrics, monitoring, retrieval, evidence and evaluation as table jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 CJK = r"㐀-䶿一-鿿豈-﫿"
 ALNUM = r"[A-Za-z][A-Za-z0-9_\-]*|[0-9][0-9,.\-]*"
@@ -17,7 +17,7 @@ CN_DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六":
 SIMPLIFIED = "实证责险产资济营务标说认识测规则处计关键权义银钱账价该报单价华丽"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 

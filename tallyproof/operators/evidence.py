@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.ordered import first_per_key
 from ..functions.text import cn_ratio, contains_any, found_in_order, largest_amount, match_norm, nfkc, occurrences, squeeze
@@ -83,17 +83,17 @@ def common_substring(a: str, b: str) -> int:
     return lo
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def near_ratio_udf(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([near_ratio(a or "", b or "") for a, b in zip(q, t)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def substring_share_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_substring(x, y) / min(len(x), len(y)) if x and y else 0.0 for x, y in zip(a, b)])
 
