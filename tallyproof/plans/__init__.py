@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["case_checks", "case_metrics", "retrieval_queries", "question_queries", "evidence_queries", "graph_queries"]
+AREAS = ["case_checks", "case_metrics", "retrieval_queries", "question_queries", "evidence_queries", "graph_queries", "eval_queries"]
 
 
 def load_all() -> None:

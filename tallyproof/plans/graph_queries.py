@@ -187,7 +187,7 @@ def _compare(spark, sf):
 def cells(spark, sf):
     """The series written out as one header-offset table per indicator: title, unit, header, one row per industry."""
     s = series(spark, sf)
-    years = list(range(1992, 2000))
+    years = list(range(1995, 2002))
     g = s.groupBy("indicator", "industry").agg(*[F.max(F.when(F.col("year") == y, F.col("all_"))).alias(str(y)) for y in years])
     first = s.groupBy("indicator").agg(F.min("industry").alias("m"))
     body = g.withColumn("row", 2 + F.regexp_extract("industry", "([0-9]+)", 1).cast("int"))
@@ -200,7 +200,7 @@ def cells(spark, sf):
     return h.unionByName(b)
 
 
-MELT_SQL = SERIES_SQL + """, ys as (select unnest(range(1992,2000)) as year), rowsx as (select distinct indicator, industry from series),
+MELT_SQL = SERIES_SQL + """, ys as (select unnest(range(1995,2002)) as year), rowsx as (select distinct indicator, industry from series),
 melted as (select r.indicator as source, r.industry as row_label, 2+cast(regexp_extract(r.industry,'[0-9]+') as int) as row, concat(cast(ys.year as varchar),'年') as "column", round(s.all_,2) as value, concat('民國 113 年 ', r.indicator) as period, '元' as unit
   from rowsx r cross join ys left join series s on s.indicator=r.indicator and s.industry=r.industry and s.year=ys.year)"""
 
