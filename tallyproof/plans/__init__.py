@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["case_checks", "case_metrics", "retrieval_queries", "question_queries", "evidence_queries", "graph_queries", "eval_queries"]
+AREAS = ["case_checks", "case_metrics", "retrieval_queries", "question_queries", "evidence_queries", "graph_queries", "eval_queries", "source_queries"]
 
 
 def load_all() -> None:

@@ -64,6 +64,12 @@ def written(spark: SparkSession, scope: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_WRITTEN[key])
 
 
+def shared_path(spark: SparkSession, scope: str, name: str) -> str:
+    """A place of this application in the shared folder (written files, stream progress)."""
+    tag = hashlib.sha1(scope.encode()).hexdigest()[:10]
+    return f"{shared_dir(spark)}/tallyproof/{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (used between rounds of iterative jobs)."""
     shared_dir(df.sparkSession)
