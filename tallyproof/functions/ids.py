@@ -16,9 +16,9 @@ def clean_ban(c: Column) -> Column:
     return F.when(F.length(d) == 8, d)
 
 
-def ban_valid(c: Column) -> Column:
+def ban_valid(c: Column, cleaned: bool = False) -> Column:
     """Checksum of an eight-digit number, all in arithmetic on its digits. NULL or malformed ids are invalid."""
-    d = clean_ban(c)
+    d = c if cleaned else clean_ban(c)
     total = F.lit(0)
     for i, w in enumerate(BAN_WEIGHTS):
         p = F.substring(d, i + 1, 1).cast("int") * w

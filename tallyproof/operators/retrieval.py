@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import SMALL_ROWS, broadcast_if_small, small
 from ..functions.ordered import chain, first_per_key, seq_block
 from ..functions.text import query_terms, tokens
 
@@ -38,65 +38,123 @@ def with_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(query_terms(F.col("q"))).alias("term"))
 
 
-def sparse_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """BM25 score of every (question, chunk) sharing a term. Postings are cut to the question terms before they are
-    counted, so the work follows the texts once and the matches after."""
-    q = with_terms(questions)
-    wanted = broadcast_if_small(q.select("term").distinct())
-    tok = chunks.select("chunk_id", tokens(F.concat_ws(" ", "category", "text")).alias("t"))
-    tok = tok.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    hit = tok.join(wanted, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    total = chunk_lengths(chunks).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = q.join(df, "term").join(F.broadcast(total)).select("query_id", "term", idf.alias("idf"), "avgdl")  # total is one row
-    s = hit.join(broadcast_if_small(w), "term")
-    part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avgdl")))
-    return s.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 8).alias("sparse_score"))
-
-
-def dense_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = 4096) -> DataFrame:
-    """The ``pool`` chunks of highest cosine per question, exact.
-
-    Question vectors travel to the tasks in slices of at most ``slice_rows``; each Arrow batch of chunks is scored by
-    one matrix product and keeps its own best ``pool``, so nothing but candidates leaves a task.
+class _Best:
+    """The best ``pool`` (key, score) pairs per question seen so far in a task, ties to the smaller key."""
+
+    def __init__(self, n: int, pool: int):
+        self.pool, self.keys, self.scores = pool, np.empty((n, 0), dtype=np.int64), np.empty((n, 0))
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        k = np.concatenate([self.keys, np.broadcast_to(keys, scores.shape)], axis=1)
+        s = np.concatenate([self.scores, scores], axis=1)
+        at = np.lexsort((k, -s), axis=1)[:, : self.pool]
+        self.keys, self.scores = np.take_along_axis(k, at, 1), np.take_along_axis(s, at, 1)
+
+    def rows(self, ids: np.ndarray, name: str) -> pd.DataFrame:
+        d = pd.DataFrame({"query_id": np.repeat(ids, self.keys.shape[1]), "chunk_id": self.keys.ravel(), name: self.scores.ravel()})
+        return d[d[name] > -np.inf]
+
+
+def _slices(questions: DataFrame, rows: int) -> Iterator[list]:
+    """Questions in driver-sized slices; ``rows`` bounds what one slice holds."""
+    n = questions.count()
+    parts = max(1, -(-n // rows))
+    for s in range(parts):
+        part = questions if parts == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == s)
+        got = part.collect()
+        if got:
+            yield got
+
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    out = empty.where(F.lit(False))
+    for i, p in enumerate(parts):
+        out = p if i == 0 else out.unionByName(p)
+    return out
+
+
+SPARSE_SLICE, DENSE_SLICE, SUB = 512, 4096, 256
+
+
+def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = SPARSE_SLICE) -> DataFrame:
+    """The ``pool`` chunks of highest BM25 score per question, exact, over whole texts.
+
+    Term statistics are one aggregate over the tokens that occur in some question. For scoring, the term weights of a
+    slice of questions travel to the tasks; each task scores its chunks against the slice by matrix products and lets
+    only its best ``pool`` per question out, so frequent terms never blow up into (question, chunk) pairs.
     """
     spark = chunks.sparkSession
+    tok = chunks.select("chunk_id", tokens(F.concat_ws(" ", "category", "text")).alias("t"))
+    q = questions.select("query_id", query_terms(F.col("q")).alias("terms"))
+    wanted = broadcast_if_small(q.select(F.explode("terms").alias("term")).distinct())
+    n, avgdl = tok.agg(F.count("*"), F.avg(F.size("t"))).first()
+    found = tok.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    out = []
+    for rows in _slices(q, slice_rows):
+        ids = np.array([r[0] for r in rows])
+        used = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r[1]})] or [("",)], "term string")
+        df = {r["term"]: r["df"] for r in found.join(F.broadcast(used), "term").collect()}  # at most 64 terms per question of the slice
+        col = {t: i for i, t in enumerate(df)}
+        idf = np.array([np.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.values()])
+        w = np.zeros((len(col), len(ids)))
+        for j, r in enumerate(rows):
+            for t in r[1]:
+                if t in col:
+                    w[col[t], j] = idf[col[t]]
+        packed = spark.sparkContext.broadcast((ids, col, w))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, col, w = packed.value
+            best = _Best(len(ids), pool)
+            for b in batches:
+                for at in range(0, len(b), SUB):
+                    part = b.iloc[at:at + SUB]
+                    m = np.zeros((len(part), len(col)))
+                    size = np.zeros(len(part))
+                    for i, t in enumerate(part.t):
+                        size[i] = len(t)
+                        for term in t:
+                            k = col.get(term)
+                            if k is not None:
+                                m[i, k] += 1
+                    live = m > 0
+                    norm = (BM25_K1 * (1 - BM25_B + BM25_B * size / avgdl))[:, None]
+                    np.divide(m * (BM25_K1 + 1), m + norm, out=m, where=live)
+                    s = (m @ w).T
+                    hit = (live.astype(np.float32) @ (w > 0).astype(np.float32)).T > 0
+                    best.add(part.chunk_id.to_numpy(), np.where(hit, np.round(s, 8), -np.inf))
+            yield best.rows(ids, "sparse_score")
+
+        out.append(tok.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, sparse_score double"))
+    empty = questions.select("query_id", F.lit(0).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), F.lit(0.0).alias("sparse_score"))
+    return first_per_key(_union(out, empty), ["query_id"], [F.desc("sparse_score"), "chunk_id"], pool, rank="rank_s")
+
+
+def dense_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = DENSE_SLICE) -> DataFrame:
+    """The ``pool`` chunks of highest cosine per question, exact. Works like the sparse arm, on vectors."""
+    spark = chunks.sparkSession
     c = chunks.where("embedding is not null").select("chunk_id", "embedding")
-    q = questions.where("qvec is not null").select("query_id", "qvec")
-    n = q.count()
-    slices = max(1, -(-n // slice_rows))
-    out = None
-    for s in range(slices):
-        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        rows = part.collect()  # one slice of question vectors
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=object)
+    out = []
+    for rows in _slices(questions.where("qvec is not null").select("query_id", "qvec"), slice_rows):
+        ids = np.array([r[0] for r in rows])
         m = np.array([r[1] for r in rows], dtype=np.float64)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         packed = spark.sparkContext.broadcast((ids, m))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, m = packed.value
+            best = _Best(len(ids), pool)
             for b in batches:
-                if not len(b):
-                    continue
-                v = np.vstack(b.embedding.to_numpy()).astype(np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                sim = np.round(m @ v.T, 8)
-                key = b.chunk_id.to_numpy()
-                for i, row in enumerate(sim):
-                    at = np.lexsort((key, -row))[:pool]
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": key[at], "dense_score": row[at]})
-
-        qt = dict(questions.dtypes)["query_id"]
-        ct = dict(chunks.dtypes)["chunk_id"]
-        d = c.mapInPandas(score, f"query_id {qt}, chunk_id {ct}, dense_score double")
-        out = d if out is None else out.unionByName(d)
-    if out is None:
-        out = c.where(F.lit(False)).select(F.lit(None).cast("bigint").alias("query_id"), "chunk_id", F.lit(0.0).alias("dense_score"))
-    return first_per_key(out, ["query_id"], [F.desc("dense_score"), "chunk_id"], pool, rank="rank_d")
+                for at in range(0, len(b), SUB):
+                    part = b.iloc[at:at + SUB]
+                    v = np.vstack(part.embedding.to_numpy()).astype(np.float64)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    best.add(part.chunk_id.to_numpy(), np.round(m @ v.T, 8))
+            yield best.rows(ids, "dense_score")
+
+        out.append(c.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, dense_score double"))
+    empty = questions.select("query_id", F.lit(0).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), F.lit(0.0).alias("dense_score"))
+    return first_per_key(_union(out, empty), ["query_id"], [F.desc("dense_score"), "chunk_id"], pool, rank="rank_d")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, cut: int = CUT * TOP_K) -> DataFrame:
@@ -108,19 +166,25 @@ def fuse(dense: DataFrame, sparse: DataFrame, cut: int = CUT * TOP_K) -> DataFra
     return first_per_key(d, ["query_id"], [F.desc("rrf"), "chunk_id"], cut, rank="rank")
 
 
-def diversify(fused: DataFrame, chunks: DataFrame, top_k: int = TOP_K, per_source: int = PER_SOURCE, include_superseded: bool = False) -> DataFrame:
+def _with_chunks(fused: DataFrame, chunks: DataFrame, questions: DataFrame | None) -> DataFrame:
+    """Fused ranks with columns of their chunks. A question has at most some dozens of ranks, so a checked number of
+    questions bounds the ranks; only then are they broadcast."""
+    few = questions is not None and small(questions, SMALL_ROWS // (CUT * TOP_K))
+    return chunks.join(F.broadcast(fused) if few else fused, "chunk_id")
+
+
+def diversify(fused: DataFrame, chunks: DataFrame, questions: DataFrame | None = None, top_k: int = TOP_K, per_source: int = PER_SOURCE, include_superseded: bool = False) -> DataFrame:
     """Drop superseded chunks, keep at most ``per_source`` per source in rank order, then the first ``top_k``."""
-    meta = chunks.select("chunk_id", "source", "doc_status")
-    d = meta.join(broadcast_if_small(fused), "chunk_id")
+    d = _with_chunks(fused, chunks.select("chunk_id", "source", "doc_status"), questions)
     if not include_superseded:
         d = d.where(~F.col("doc_status").eqNullSafe("superseded"))
     d = first_per_key(d, ["query_id", "source"], ["rank"], per_source)
     return first_per_key(d, ["query_id"], ["rank"], top_k, rank="place").drop("doc_status")
 
 
-def dropped_superseded(fused: DataFrame, chunks: DataFrame) -> DataFrame:
+def dropped_superseded(fused: DataFrame, chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """Sources left out for being superseded, per question."""
-    d = chunks.where("doc_status = 'superseded'").select("chunk_id", "source").join(broadcast_if_small(fused), "chunk_id")
+    d = _with_chunks(fused, chunks.where("doc_status = 'superseded'").select("chunk_id", "source"), questions)
     return d.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("dropped"), F.count("*").alias("n_chunks"))
 
 
@@ -129,14 +193,12 @@ def hybrid(chunks: DataFrame, questions: DataFrame, categories: list[str] | None
     """The whole path. ``categories`` filters before either arm scores; ``sources`` (query_id, source), where given for
     a question, limits it to the documents it names."""
     c = chunks if categories is None else chunks.where(F.col("category").isin(categories))
-    d = dense_scores(c, questions, pool)
-    s = first_per_key(sparse_scores(c, questions), ["query_id"], [F.desc("sparse_score"), "chunk_id"], pool, rank="rank_s")
-    f = fuse(d, s, CUT * top_k)
+    f = fuse(dense_scores(c, questions, pool), sparse_scores(c, questions, pool), CUT * top_k)
     if sources is not None:
         named = sources.select("query_id").distinct().withColumn("named", F.lit(True))
         f = f.join(c.select("chunk_id", "source"), "chunk_id").join(named, "query_id", "left").join(
             sources.select("query_id", "source", F.lit(True).alias("match")), ["query_id", "source"], "left").where("named is null or match").drop("source", "named", "match")
-    return diversify(f, c, top_k, per_source)
+    return diversify(f, c, questions, top_k, per_source)
 
 
 def health(retrieved: DataFrame, own: Column | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ordered import first_per_key
 from ..functions.text import query_terms, tokens
 from ..operators import retrieval as R
 from . import texts as X
@@ -64,9 +63,7 @@ def all_sql(chunks_sql: str = X.CHUNKS_SQL) -> str:
 
 @query("T4_sparse_scores", f"with {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {QT}, {SPARSE} select query_id, chunk_id, rank_s, sparse_score from spr where rank_s<=200")
 def _sparse(spark, sf):
-    s = R.sparse_scores(X.chunks(spark, sf), X.questions(spark, sf))
-    s = first_per_key(s, ["query_id"], [F.desc("sparse_score"), "chunk_id"], R.POOL, rank="rank_s")
-    return s
+    return R.sparse_scores(X.chunks(spark, sf), X.questions(spark, sf))
 
 
 @query("T5_dense_scores", f"with {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {DENSE} select query_id, chunk_id, rank_d, dense_score from dnr where rank_d<=200")
@@ -76,8 +73,7 @@ def _dense(spark, sf):
 
 def _fused(spark, sf):
     c, q = X.chunks(spark, sf), X.questions(spark, sf)
-    s = first_per_key(R.sparse_scores(c, q), ["query_id"], [F.desc("sparse_score"), "chunk_id"], R.POOL, rank="rank_s")
-    return c, R.fuse(R.dense_scores(c, q), s)
+    return c, R.fuse(R.dense_scores(c, q), R.sparse_scores(c, q))
 
 
 @query("T6_rank_fusion", all_sql() + "select query_id, chunk_id, rank, rrf from fused where rank<=48")
