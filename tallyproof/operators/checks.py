@@ -51,7 +51,8 @@ CHECKS = {
     "RISK-03": ("warning", "write-off share of billing"),
 }
 ROW_CHECKS = ["TAXID-01", "ARITH-01", "ARITH-02", "DATE-01", "DATE-02", "DATE-03", "AMT-01", "AMT-02", "AMT-03",
-              "FRAUD-01", "RELATED-01", "TERM-01", "TERM-02", "TERM-03"]
+              "FRAUD-01", "RELATED-01", "TERM-01", "TERM-02", "TERM-03", "CONTRACT-01"]
+LISTED = ["FORENSIC-03", "RISK-02", "RISK-03"]  # judged by a ratio; their rows are listed
 WEIGHTS = {"critical": 3, "warning": 1, "info": 0}
 FINDING = ["tenant_id", "check_id", "severity", "passed", "n_flagged", "measure", "refs"]
 
@@ -83,10 +84,14 @@ def with_contract(inv: DataFrame, con: DataFrame) -> DataFrame:
 
 
 def row_violations(inv: DataFrame, con: DataFrame | None, as_of: dt.date, only: Iterable[str] = ROW_CHECKS) -> DataFrame:
-    """(tenant_id, check_id, seq, part, ref): one row per broken row-level rule."""
+    """(tenant_id, check_id, seq, part, ref): one row per broken row-level rule, and the rows that ratio checks list."""
     only = list(only)
-    need_contract = bool({"TERM-02", "TERM-03"} & set(only)) and con is not None
+    need_contract = bool({"TERM-02", "TERM-03", "CONTRACT-01"} & set(only)) and con is not None
     d = with_contract(inv, con) if need_contract else inv
+    if need_contract and "CONTRACT-01" in only:
+        # one row per case that has contracts; other cases get no threshold and so no violation
+        t = large_threshold(inv).join(con.select("tenant_id").distinct(), "tenant_id", "left_semi")
+        d = d.join(t, "tenant_id", "left")
     c = F.col
     idate, due = c("invoice_date"), c("due_date")
     sales, tax, total = c("sales_amount"), c("tax_amount"), c("total_amount")
@@ -108,10 +113,15 @@ def row_violations(inv: DataFrame, con: DataFrame | None, as_of: dt.date, only:
         "FRAUD-01": [given(c("seller_ban")) & seller.eqNullSafe(buyer)],
         "RELATED-01": [(seller != buyer) & (F.substring(seller, 1, 4) == F.substring(buyer, 1, 4))],
         "TERM-01": [F.abs(F.datediff(due, idate) - c("payment_terms_days")) > 1],
+        "FORENSIC-03": [F.weekday("invoice_date") >= 5],
+        "RISK-02": [ids.is_open(c("status")) & (due < F.lit(as_of))],
+        "RISK-03": [F.upper(c("status")) == "WRITTEN_OFF"],
     }
     if need_contract:
         rules["TERM-02"] = [c("c_found") & (c("payment_terms_days") != c("c_terms"))]
         rules["TERM-03"] = [c("c_found") & (idate < c("c_start"))]
+        if "CONTRACT-01" in only:
+            rules["CONTRACT-01"] = [c("c_found").isNull() & (F.coalesce(total, F.lit(0)) >= c("threshold"))]
     hits = [F.when(cond, F.struct(F.lit(k).alias("check_id"), F.lit(i).alias("part")))
             for k in only if k in rules for i, cond in enumerate(rules[k])]
     out = d.select("tenant_id", "seq", _number().alias("ref"), F.explode(F.array_compact(F.array(*hits))).alias("h"))
@@ -130,12 +140,13 @@ def tally(viol: DataFrame, limit: int = REF_LIMIT) -> DataFrame:
 def profile(inv: DataFrame, as_of: dt.date) -> DataFrame:
     """Every per-case count and sum that the ratio checks need, in one partial aggregate."""
     c = F.col
-    sales = F.coalesce(c("sales_amount"), F.lit(0))
+    whole = F.floor(F.coalesce(c("sales_amount"), F.lit(0))).cast("bigint").cast("string")
+    inv = inv.withColumns({"_sales": F.coalesce(c("sales_amount"), F.lit(0)), "_digit": F.substring(whole, 1, 1)})
+    sales, digit = c("_sales"), c("_digit")
     total = F.coalesce(c("total_amount"), F.lit(0))
     opened = ids.is_open(c("status"))
     written_off = F.upper(F.coalesce(c("status"), F.lit(""))) == "WRITTEN_OFF"
     overdue = opened & (c("due_date") < F.lit(as_of))
-    digit = F.substring(F.floor(sales).cast("bigint").cast("string"), 1, 1)
     add = lambda cond: F.sum(F.when(cond, total).otherwise(0))
     return inv.groupBy("tenant_id").agg(
         F.count("*").alias("n_inv"),
@@ -176,17 +187,6 @@ def _ratio_findings(prof: DataFrame) -> DataFrame:
     return prof.select("tenant_id", F.explode(F.array_compact(F.array(*rows))).alias("f")).select("tenant_id", "f.*")
 
 
-def ratio_references(inv: DataFrame, as_of: dt.date) -> DataFrame:
-    """Rows listed by the ratio checks: weekend invoices, overdue and written-off ones."""
-    c = F.col
-    tag = lambda k, cond: F.when(cond, F.lit(k))
-    hits = F.array_compact(F.array(
-        tag("FORENSIC-03", F.weekday("invoice_date") >= 5),
-        tag("RISK-02", ids.is_open(c("status")) & (c("due_date") < F.lit(as_of))),
-        tag("RISK-03", F.upper(c("status")) == "WRITTEN_OFF")))
-    return inv.select("tenant_id", "seq", F.lit(0).alias("part"), _number().alias("ref"), F.explode(hits).alias("check_id"))
-
-
 # ---- checks that compare rows with each other -------------------------------------------------------------------
 
 def duplicate_numbers(inv: DataFrame) -> DataFrame:
@@ -207,14 +207,16 @@ def consecutive_runs(inv: DataFrame, block: int = 1_000_000) -> DataFrame:
 
     Values are made distinct first; a repeated value ends its run and starts the next, which two copies show.
     """
-    d = inv.select("tenant_id", "buyer_ban", "seq",
-                   F.regexp_extract("invoice_number", r"(\d{6,})$", 1).try_cast("decimal(38,0)").alias("v"))
-    d = d.where(F.col("v").isNotNull() & (F.coalesce("buyer_ban", F.lit("")) != ""))
+    digits = F.regexp_extract("invoice_number", r"([0-9]{6,})$", 1)
+    d = inv.where(F.coalesce("buyer_ban", F.lit("")) != "").select("tenant_id", "buyer_ban", "seq", digits.alias("n")).where("n <> ''")
+    # numbers of any length as two integers: the last 18 digits and what is before them
+    d = d.select("tenant_id", "buyer_ban", "seq", F.substring("n", -18, 18).cast("bigint").alias("lo"),
+                 F.when(F.length("n") > 18, F.expr("substring(n, 1, length(n) - 18)").try_cast("bigint")).otherwise(0).alias("hi"))
     keys = ["tenant_id", "buyer_ban"]
-    v = d.groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    v = v.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(2)).cast("int"))))
-    cuts = {"range": F.floor(F.col("v") / F.lit(block).cast("decimal(10,0)"))}
-    v = number_runs(v, keys, cuts, ["v", "copy"], "v", lambda before, now: now - before == 1, "run")
+    v = d.groupBy(*keys, "hi", "lo").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    v = v.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(2)).cast("int")))).withColumn("v", F.struct("hi", "lo"))
+    follows = lambda a, b: ((a["hi"] == b["hi"]) & (b["lo"] - a["lo"] == 1)) | ((b["hi"] - a["hi"] == 1) & (b["lo"] == 0) & (a["lo"] == 10 ** 18 - 1))
+    v = number_runs(v, keys, {"high": F.col("hi"), "range": F.floor(F.col("lo") / block)}, ["hi", "lo", "copy"], "v", follows, "run")
     runs = v.groupBy(*keys, "run").agg(F.count("*").alias("len"), F.min("first_seq").alias("first_seq"))
     best = runs.groupBy(*keys).agg(F.max("len").alias("max_run"), F.min("first_seq").alias("seq")).where("max_run >= 3")
     return best.select("tenant_id", F.lit("SEQ-01").alias("check_id"), "seq", F.lit(0).alias("part"),
@@ -233,14 +235,6 @@ def large_threshold(inv: DataFrame, block: int = 1000) -> DataFrame:
     return a.join(n, "tenant_id").where("upto >= k").groupBy("tenant_id").agg(F.max("amt").alias("threshold"))
 
 
-def uncovered_large(inv: DataFrame, con: DataFrame, inv_con: DataFrame | None = None) -> DataFrame:
-    """CONTRACT-01: rows at or above the threshold whose buyer has no contract (cases with contracts only)."""
-    d = inv_con if inv_con is not None else with_contract(inv, con)
-    d = d.where(F.col("c_found").isNull()).join(con.select("tenant_id").distinct(), "tenant_id", "left_semi")
-    d = d.join(large_threshold(inv), "tenant_id").where(F.coalesce("total_amount", F.lit(0)) >= F.col("threshold"))
-    return d.select("tenant_id", F.lit("CONTRACT-01").alias("check_id"), "seq", F.lit(0).alias("part"), _number().alias("ref"))
-
-
 def over_commitment(inv: DataFrame, con: DataFrame, inv_con: DataFrame | None = None) -> DataFrame:
     """CONTRACT-02: per buyer the first row, in input order, where billing passes twice the yearly commitment."""
     d = (inv_con if inv_con is not None else with_contract(inv, con)).where("c_found and c_commit <> 0")
@@ -343,34 +337,33 @@ def findings(inv: DataFrame, con: DataFrame, led: DataFrame, as_of: dt.date, che
     checks = list(checks)
     want = set(checks)
     docs = count_documents(inv, con, led)
-    parts = []
     row_level = [k for k in ROW_CHECKS if k in want]
-    if row_level:
-        parts.append(row_violations(inv, con, as_of, row_level))
-    ic = with_contract(inv, con) if {"CONTRACT-01", "CONTRACT-02"} & want else None
+    listed = [k for k in LISTED if k in want]
     make = {
-        "DUP-01": lambda: duplicate_numbers(inv), "DUP-02": lambda: duplicate_claims(inv),
-        "SEQ-01": lambda: consecutive_runs(inv), "CONTRACT-01": lambda: uncovered_large(inv, con, ic),
-        "CONTRACT-02": lambda: over_commitment(inv, con, ic), "BANK-01": lambda: paid_without_inflow(inv, led),
-        "LEDGER-01": lambda: broken_balances(led),
+        "DUP-01": lambda: duplicate_numbers(inv), "DUP-02": lambda: duplicate_claims(inv), "SEQ-01": lambda: consecutive_runs(inv),
+        "CONTRACT-02": lambda: over_commitment(inv, con), "BANK-01": lambda: paid_without_inflow(inv, led), "LEDGER-01": lambda: broken_balances(led),
     }
-    made = {k: make[k]() for k in make if k in want}
-    parts += list(made.values())
-    out = None
+    parts = [row_violations(inv, con, as_of, row_level + listed)] if row_level or listed else []
+    parts += [make[k]() for k in make if k in want]
+    none = F.array().cast("array<string>")
+    out = viol = None
     if parts:
         viol = reduce(DataFrame.unionByName, parts)
         if len(parts) > 2:  # counted and ranked below: worked out once, stored, read twice
             viol = cut(viol)
+    counted = [k for k in checks if k in row_level or k in make]
+    if counted:
         measure = bank_measure(inv, led, viol) if "BANK-01" in want else None
-        counted = [k for k in checks if k in row_level or k in make]
-        out = settle(docs, viol, counted, measure)
-        out = out.withColumn("refs", F.when(F.col("check_id") == "DUP-02", F.array().cast("array<string>")).otherwise(F.col("refs")))
+        out = settle(docs, viol.where(~F.col("check_id").isin(listed)) if listed else viol, counted, measure)
+        out = out.withColumn("refs", F.when(F.col("check_id") == "DUP-02", none).otherwise(F.col("refs")))
     ratios = {"FORENSIC-01", "FORENSIC-02", "FORENSIC-03", "RISK-02", "RISK-03"} & want
     if ratios:
         r = _ratio_findings(profile(inv, as_of)).where(F.col("check_id").isin(list(ratios)))
-        refs = ratio_references(inv, as_of).where(F.col("check_id").isin(list(ratios)))
-        r = r.join(tally(refs).select("tenant_id", "check_id", "refs"), ["tenant_id", "check_id"], "left")
-        r = r.withColumn("refs", F.coalesce("refs", F.array().cast("array<string>"))).select(*FINDING)
+        if listed:
+            r = r.join(tally(viol.where(F.col("check_id").isin(listed))).select("tenant_id", "check_id", "refs"), ["tenant_id", "check_id"], "left")
+        else:
+            r = r.withColumn("refs", none)
+        r = r.withColumn("refs", F.coalesce("refs", none)).select(*FINDING)
         out = r if out is None else out.unionByName(r)
     if "RISK-01" in want:
         t = top_buyer(inv).select(
