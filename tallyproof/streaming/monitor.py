@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,24 +24,23 @@ def window_rates(log: DataFrame, late: str = "10 minutes", length: str = "10 min
 
 
 def trailing_rates(log: DataFrame, window_seconds: int = 600, limit: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Exact trailing count per event, boundary included. State per (actor, case) holds the times of the last window only
-    and leaves with the watermark."""
+    """Exact trailing count per event, boundary included, over what has arrived when the event does. State per (actor,
+    case) holds the times that an event above the watermark can still reach back to, and leaves with the watermark."""
     span = window_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        kept = sorted(times)
-        out = []
-        for t, group in rows.groupby("t"):
-            kept = [x for x in kept if x >= t - span] + [t] * len(group)  # equal times count for each other
-            out += [(e, key[0], key[1], len(kept)) for e in group.event_id if len(kept) > limit]
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(kept[-1] // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "actor", "tenant_id", "n_recent"])
+        rows = pd.concat(list(batches))
+        floor = state.getCurrentWatermarkMs() * 1000 - span
+        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], dtype=np.int64), rows.t.to_numpy(dtype=np.int64)]))
+        t = rows.t.to_numpy(dtype=np.int64)
+        n = np.searchsorted(times, t, "right") - np.searchsorted(times, t - span, "left")
+        state.update(([int(x) for x in times[times >= floor]],))
+        state.setTimeoutTimestamp(max(int(times[-1]) // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        hit = n > limit
+        yield pd.DataFrame({"event_id": rows.event_id[hit], "actor": key[0], "tenant_id": key[1], "n_recent": n[hit]})
 
     d = log.withWatermark("ts", late).withColumn("t", F.unix_micros("ts"))
     types = dict(log.dtypes)
