@@ -37,6 +37,12 @@ def query_terms(text: Column, limit: int = 64) -> Column:
     return F.slice(F.array_distinct(F.filter(clean, lambda t: t != "")), 1, limit)
 
 
+def starts(text: Column, low: int, high: int | None = None) -> Column:
+    """The substring of up to ``high`` (at least ``low``) characters beginning at every position, in one linear scan.
+    (Substring by position walks the text from its start each time.)"""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d,%d}))" % (low, high or low)), 1)
+
+
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s　  -     \u0085]+", "")
 

@@ -11,8 +11,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.joins import broadcast_if_small
 from ..functions.ordered import first_per_key
-from ..functions.text import cn_ratio, contains_any, found_in_order, largest_amount, match_norm, nfkc, occurrences, squeeze
+from ..functions.text import cn_ratio, contains_any, found_in_order, largest_amount, match_norm, nfkc, occurrences, squeeze, starts
 from . import questions as Q
 
 NEAR, MIN_QUOTE, MIN_FRAGMENT, SOURCE_NAME = 95.0, 8, 4, 88.0
@@ -435,11 +436,12 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     bare = F.regexp_replace(F.regexp_replace("plain", r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     num = num.withColumn("forms", F.array_distinct(F.array("plain", bare)))
     asked = frag.select("norm").distinct()
-    body = corpus.select(squeeze(F.col("body")).alias("b"), F.regexp_replace("body", ",", "").alias("n"))
-    q_found = _contained(asked, body.select("b"), "norm", "b")
+    # equal bodies count once; the digest stands in for the text until candidates are known
+    body = corpus.select("body", F.md5("body").alias("body_id")).dropDuplicates(["body_id"])
+    q_found = _contained(asked, body.select("body_id", squeeze(F.col("body")).alias("b")), "norm", "b")
     fr = frag.join(q_found.withColumn("ok", F.lit(True)), "norm", "left").select(key, "line_no", F.lit("quote").alias("kind"), "value", F.coalesce("ok", F.lit(False)).alias("verified"))
     pairs = num.withColumn("form", F.explode("forms")).withColumn("word", F.explode("words")).select("form", "word").distinct()
-    n_found = _near(pairs, body.select("n"), window)
+    n_found = _near(pairs, body.select("body_id", F.regexp_replace("body", ",", "").alias("n")), window)
     hit = num.withColumn("form", F.explode("forms")).withColumn("word", F.explode("words")).join(n_found, ["form", "word"], "left_semi").select(key, "line_no", "value").distinct()
     nu = num.select(key, "line_no", "value").join(hit.withColumn("ok", F.lit(True)), [key, "line_no", "value"], "left").select(
         key, "line_no", F.lit("number").alias("kind"), "value", F.coalesce("ok", F.lit(False)).alias("verified"))
@@ -455,10 +457,10 @@ def _contained(asked: DataFrame, bodies: DataFrame, needle: str, hay: str) -> Da
     """Needles (>= 6 characters) contained in at least one body. Candidates meet on the needle's first six characters, an
     equi-join against the distinct six-grams of each body that start some needle; containment is then tested."""
     a = asked.withColumn("g", F.substring(needle, 1, GRAM))
-    wanted = a.select("g").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col(hay), i, F.lit(GRAM))))
-    b = bodies.withColumn("g", F.explode(grams)).join(wanted, "g", "left_semi")
-    return a.join(b, "g").where(F.contains(F.col(hay), F.col(needle))).select(needle).distinct()
+    wanted = broadcast_if_small(a.select("g").distinct())
+    grams = F.array_distinct(starts(F.col(hay), GRAM))
+    at = bodies.select("body_id", F.explode(grams).alias("g")).join(wanted, "g", "left_semi")
+    return at.join(a, "g").join(bodies, "body_id").where(F.contains(F.col(hay), F.col(needle))).select(needle).distinct()
 
 
 def _near(pairs: DataFrame, bodies: DataFrame, window: int, longest: int = 40) -> DataFrame:
@@ -470,9 +472,9 @@ def _near(pairs: DataFrame, bodies: DataFrame, window: int, longest: int = 40) -
     runs = F.array_distinct(F.regexp_extract_all("n", F.lit(r"([0-9.]+)"), 1))
     subs = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(
         F.sequence(F.lit(1), F.least(F.length(r) - i + 1, F.lit(longest))), lambda n: F.substring(r, i, n))))
-    keyed = bodies.withColumn("k", F.explode(F.array_distinct(F.flatten(F.transform(runs, subs)))))
     p = pairs.withColumn("k", F.substring("form", 1, longest))
-    d = keyed.join(p.select("k").distinct(), "k", "left_semi").join(p, "k")
+    keyed = bodies.select("body_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, subs)))).alias("k"))
+    d = keyed.join(broadcast_if_small(p.select("k").distinct()), "k", "left_semi").join(p, "k").join(bodies, "body_id")
     form, word = F.replace(F.col("form"), F.lit("."), F.lit("\\.")), F.col("word")
     after = F.greatest(F.lit(0), window - F.length("form") - F.length("word")).cast("string")
     before = F.greatest(F.lit(0), window - F.length("word")).cast("string")
