@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import exact
+from tallyproof.llm import exact, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -35,3 +41,13 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as te
 @query("op2_exact_dedup", EXACT_SQL)
 def _(spark, sf):
     return exact.exact_dedup(table(spark, sf, "documents"))
+
+
+@query("op5_best_two_fit")
+def _(spark, sf):
+    return packing.packed(table(spark, sf, "documents"), tokenizer())
+
+
+@query("op8_token_files")
+def _(spark, sf):
+    return token_files.read(spark, token_files.write(table(spark, sf, "documents"), tokenizer()))
