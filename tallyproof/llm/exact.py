@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, first_block: int = FIRST_BLOCK, growth: int = G
         groups = keyed.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id"), order).alias("keep"))
         groups = stored(groups.where("group_size > 1").withColumn("next", F.monotonically_increasing_id()), "exact-groups")
         done = F.col("next").isNull() | (F.col("n_bytes") <= taken + block)
-        parted = keyed.join(groups, keys, "left").select(
+        parted = keyed.join(groups.hint("merge"), keys, "left").select(
             "doc_id", "n_points", "n_bytes", "text_sha256",
             F.when(F.col("next").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
             F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
