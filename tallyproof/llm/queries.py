@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import exact, packing, token_files
+from tallyproof.llm import decontaminate, exact, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,25 @@ def _(spark, sf):
 @query("op8_token_files")
 def _(spark, sf):
     return token_files.read(spark, token_files.write(table(spark, sf, "documents"), tokenizer()))
+
+
+BENCH_SQL = r"""
+with recursive low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from low),
+b as (select cast(item_id as varchar) item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select distinct item_id, least(13, len(w)) n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') k from b, range(1, 1 + greatest(1, len(w) - 12)) r(i) where len(w) > 0),
+sizes as (select distinct n from bw),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') k from d, sizes, range(1, len(w) - n + 2) r(i)),
+hits as (select doc_id, i, dw.n, item_id from dw join bw using (n, k)),
+pos as (select doc_id, count(distinct p) n_hit from hits, range(i, i + n) r(p) group by 1),
+its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id, ',' order by item_id) ids from hits group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
+
+@query("op3_fm_decontamination", BENCH_SQL)
+def _(spark, sf):
+    found = decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("spans", "items")
