@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, packing, token_files
+from tallyproof.llm import decontaminate, exact, line_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,26 @@ from d left join pos using (doc_id) left join its using (doc_id)
 def _(spark, sf):
     found = decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.drop("spans", "items")
+
+
+LINES_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
+h as (select *, ('0x' || substr(md5(s), 1, 7))::bigint h, len(string_split(s, ' ')) > 50 long from l),
+r as (select *, ((0 * 1000003 + coalesce(lag(h) over w, 0)) % 2147483647 * 1000003 + h) % 2147483647 % 2 = 0 or long or coalesce(lead(long) over w, false) ends from h window w as (partition by doc_id order by i)),
+c as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) c from r),
+p as (select doc_id, c, min(i) low, count(*) n, string_agg(s, chr(10) order by i) body, bool_or(long) long from c group by 1, 2),
+k as (select *, row_number() over (partition by body order by doc_id, low) place from p where (n >= 2 or long) and trim(body, ' ') <> ''),
+gone as (select doc_id, c, n from k where place > 1),
+kept as (select doc_id, string_agg(s, chr(10) order by i) t from c anti join gone using (doc_id, c) group by 1),
+total as (select doc_id, count(*) n_lines from l group by 1),
+lost as (select doc_id, count(*) n_removed_chunks, cast(sum(n) as bigint) n_removed_lines from gone group by 1)
+select doc_id, n_lines, coalesce(n_removed_chunks, 0) n_removed_chunks, coalesce(n_removed_lines, 0) n_removed_lines, cast(length(coalesce(t, '')) as bigint) n_chars, sha256(coalesce(t, '')) text_sha256
+from total left join lost using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def _(spark, sf):
+    kept = line_dedup.line_dedup(table(spark, sf, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
