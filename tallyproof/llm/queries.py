@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, line_dedup, packing, token_files
+from tallyproof.llm import decontaminate, exact, licenses, line_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,24 @@ def _(spark, sf):
     kept = line_dedup.line_dedup(table(spark, sf, "documents"))
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+LICENSE_SQL = r"""
+with t as (select * from (values %s) v(license, template, body)),
+w as (select license, template, regexp_extract_all(lower(body), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from t),
+tp as (select license, template, len(w) - 1 size, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) pair from w),
+tc as (select license, template, size, pair, count(*) uses from tp group by all),
+u as (select distinct doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text])) u from documents),
+uw as (select doc_id, u, regexp_extract_all(lower(u), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from u),
+up as (select doc_id, u, len(w) - 1 n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) pair from uw where len(w) between 2 and 400),
+uc as (select doc_id, u, n, pair, count(*) own from up group by all),
+s as (select doc_id, u, license, template, 2.0::double * sum(least(own, uses)) / (n + size) dice from uc join tc using (pair) group by doc_id, u, license, template, n, size),
+f as (select doc_id, license, max(dice) dice from s where dice >= 0.8 group by 1, 2),
+b as (select doc_id, arg_min(license, (-dice, license)) license, max(dice) dice, count(*) n_licenses, string_agg(license, ',' order by license) licenses from f group by 1)
+select doc_id, license, dice, coalesce(n_licenses, 0) n_licenses, coalesce(licenses, '') licenses from documents left join b using (doc_id)
+""" % ", ".join("('%s', %d, '%s')" % (a, i, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.TEMPLATES))
+
+
+@query("op6_license_dice", LICENSE_SQL)
+def _(spark, sf):
+    return licenses.licenses(table(spark, sf, "documents")).withColumn("licenses", F.concat_ws(",", "licenses"))
