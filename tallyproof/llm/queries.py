@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, licenses, line_dedup, packing, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, licenses, line_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,20 @@ select doc_id, license, dice, coalesce(n_licenses, 0) n_licenses, coalesce(licen
 @query("op6_license_dice", LICENSE_SQL)
 def _(spark, sf):
     return licenses.licenses(table(spark, sf, "documents")).withColumn("licenses", F.concat_ws(",", "licenses"))
+
+
+JACCARD_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) g from w where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+both_ways as (select a, b from e union all select b, a from e),
+r as (select doc_id, doc_id to_id from documents union select r.doc_id, both_ways.b from r join both_ways on r.to_id = both_ways.a)
+select doc_id, coalesce(any_value(n.n), 0) n_shingles, min(to_id) component_id from r left join n using (doc_id) group by 1
+"""
+
+
+@query("op7_group_jaccard", JACCARD_SQL)
+def _(spark, sf):
+    return jaccard.similar(table(spark, sf, "documents"), n_words=3, percent=90).drop("row")
