@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, licenses, line_dedup, packing, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, licenses, line_dedup, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,9 @@ select doc_id, coalesce(any_value(n.n), 0) n_shingles, min(to_id) component_id f
 @query("op7_group_jaccard", JACCARD_SQL)
 def _(spark, sf):
     return jaccard.similar(table(spark, sf, "documents"), n_words=3, percent=90).drop("row")
+
+
+@query("op9_site_quality")
+def _(spark, sf):
+    found = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.drop("row")
