@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, licenses, line_dedup, packing, quality, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,8 @@ def _(spark, sf):
 def _(spark, sf):
     found = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return found.drop("row")
+
+
+@query("op1_subword_language")
+def _(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
