@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,8 @@ def _(spark, sf):
 @query("op1_subword_language")
 def _(spark, sf):
     return language.identify(table(spark, sf, "documents"))
+
+
+@query("op4_crf_secrets")
+def _(spark, sf):
+    return secret_scan.digest(secret_scan.scan(table(spark, sf, "documents")))
