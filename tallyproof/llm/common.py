@@ -85,3 +85,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def worker_store() -> dict:
     """State that one Python worker keeps over its tasks (caches of pure functions only)."""
     return sys.modules.setdefault("_tallyproof_worker", types.ModuleType("_tallyproof_worker")).__dict__
+
+
+def keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``chosen`` ``(doc_id, row)``, one of each, with all columns.
+
+    ``row`` is xxhash64 of the text, null as empty. Always a shuffled join: its cost follows the input alike at every size.
+    """
+    none = F.lit(-(1 << 63))
+    left = docs.withColumns({"_k_id": F.coalesce(F.col("doc_id").cast("bigint"), none), "_k_row": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    right = chosen.select(F.coalesce("doc_id", none).alias("_k_id"), F.col("row").alias("_k_row"))
+    return left.join(right.hint("merge"), ["_k_id", "_k_row"], "left_semi").dropDuplicates(["_k_id", "_k_row"]).select(*docs.columns)

@@ -40,7 +40,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as te
 
 @query("op2_exact_dedup", EXACT_SQL)
 def _(spark, sf):
-    return exact.exact_dedup(table(spark, sf, "documents"))
+    return exact.exact_dedup(table(spark, sf, "documents")).drop("row")
 
 
 @query("op5_best_two_fit")
