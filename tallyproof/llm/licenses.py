@@ -40,16 +40,22 @@ TEMPLATES = [
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def bigrams(unit: Column) -> Column:
-    """Pairs of neighbouring words, a word being a run of ASCII letters and digits and non-ASCII characters."""
-    words = F.array_remove(F.split(F.lower(unit), SEPARATORS), "")
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+def words(unit: Column) -> Column:
+    """A word is a run of ASCII letters and digits and non-ASCII characters."""
+    return F.array_remove(F.split(F.lower(unit), SEPARATORS), "")
+
+
+def with_bigrams(df: DataFrame, unit: str) -> DataFrame:
+    """Add ``pairs``, the pairs of neighbouring words of a unit."""
+    w = df.withColumn("_w", words(F.col(unit)))
+    most = F.greatest(F.size("_w") - 1, F.lit(0))
+    return w.withColumn("pairs", F.zip_with(F.slice("_w", 1, most), F.slice("_w", 2, most), lambda a, b: F.concat(a, F.lit(" "), b))).drop("_w")
 
 
 def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``(license, template, size, pair, uses)`` of a fixed list of templates; those of fewer than two words are left out."""
     listed = spark.createDataFrame([(a, i, b) for i, (a, b) in enumerate(rows)], "license string, template int, body string")
-    listed = listed.withColumn("pairs", bigrams(F.col("body"))).select("license", "template", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
+    listed = with_bigrams(listed, "body").select("license", "template", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
     return listed.groupBy("license", "template", "size", "pair").agg(F.count("*").alias("uses"))
 
 
@@ -72,7 +78,7 @@ def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, thres
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     short = F.filter(units(F.col("text")), lambda u: F.size(F.split(u, SEPARATORS, most)) < most)
     found = base.select("doc_id", F.xxhash64("text").alias("row"), F.explode(short).alias("unit"))
-    found = found.withColumn("pairs", bigrams(F.col("unit"))).withColumn("n", F.size("pairs")).where(F.col("n").between(low, high))
+    found = with_bigrams(found, "unit").withColumn("n", F.size("pairs")).where(F.col("n").between(low, high))
     pairs = found.select("doc_id", "row", F.xxhash64("unit").alias("unit"), "n", F.explode("pairs").alias("pair"))
     fits = (F.col("size") >= F.col("n") * threshold / (2 - threshold)) & (F.col("size") <= F.col("n") * (2 - threshold) / threshold)
     keys = ["doc_id", "row", "unit", "n", "license", "template", "size"]
