@@ -181,16 +181,24 @@ def similar(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, group
     own = prefixes(base, levels, n_words, percent).join(classes.select("doc_id", "row", "cls").hint("merge"), ["doc_id", "row"])
     own = stored(own.select("cls", "n", "centre", "prefix"), "jaccard-prefixes")
     tokens = own.select("cls", "n", "centre", F.posexplode("prefix").alias("pos", "token"))
-    met = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max_by("cls", "centre").alias("leader"))
-    met = met.where("low < high").select("token", "leader")
-    tokens = stored(tokens.select("token", "cls", "n", (F.col("n") - F.col("pos")).alias("rest")).join(met.hint("merge"), "token"), "jaccard-shared")
-    # every class that shares a prefix token: its family is the leader it shares most tokens with
-    votes = tokens.groupBy("cls", "leader").agg(F.count("*").alias("votes"))
-    family = stored(votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("family")), "jaccard-families")
+    tokens = tokens.withColumn("rest", F.col("n") - F.col("pos")).drop("pos")
+    met = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"),
+                                      F.max_by(F.struct("cls", "n", "rest"), "centre").alias("leader"))
+    met = met.where("low < high").select("token", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("g_low"), F.col("leader.rest").alias("g_rest"))
+    tokens = stored(tokens.drop("centre").join(met.hint("merge"), "token"), "jaccard-shared")
+    # sizes and what is left after the token must allow a match; the first token a similar pair shares passes
+    able = ((100 * F.col("g_low") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_low"))
+            & (F.least("rest", "g_rest") >= (F.col("n") + F.col("g_low")) * percent / (100 + percent)))
+    votes = tokens.groupBy("cls", "leader").agg(F.count_if(able).alias("votes"))
+    star = stored(votes.where("votes > 0 and cls <> leader"), "jaccard-star")
+    # every class that shares a prefix token: its family is the leader it shares most tokens with, or itself
+    own_leader = F.struct("votes", -F.col("leader"))
+    family = votes.groupBy("cls").agg(F.max_by("leader", own_leader).alias("family"), F.max("votes").alias("votes"))
+    family = stored(family.select("cls", F.when(F.col("votes") > 0, F.col("family")).otherwise(F.col("cls")).alias("family")), "jaccard-families")
     texts = base.join(family.select("cls").join(classes.select("cls", "doc_id", "row"), "cls").hint("merge"), ["doc_id", "row"])
     texts = stored(texts.select("cls", "text"), "jaccard-texts")
 
-    star = votes.where("cls <> leader").select(F.col("leader").alias("gid"), "cls", F.col("cls").alias("comp"))
+    star = star.select(F.col("leader").alias("gid"), "cls", F.col("cls").alias("comp"))
     heads = star.select("gid").distinct().select("gid", F.col("gid").alias("cls"), F.col("gid").alias("comp"))
     links = open_groups(heads, star, texts, n_words, percent)
 
