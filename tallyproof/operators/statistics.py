@@ -41,10 +41,12 @@ def clean_series(raw: DataFrame) -> DataFrame:
         "indicator", "industry", "year", "v.sme", "v.all_", "v.display")
 
 
-def profiles(series: DataFrame, year: int | None = None) -> DataFrame:
-    """Shares, means and dependence per industry, for the latest year unless one is given."""
+def profiles(series: DataFrame, year: int | None = None, every_year: bool = False) -> DataFrame:
+    """Shares, means and dependence per industry, for the latest year unless one, or every one, is asked for."""
     s = series
-    if year is None:
+    if every_year:
+        pass
+    elif year is None:
         last = s.where("indicator = 'firms'").agg(F.max("year").alias("_y"))  # one row
         s = s.join(F.broadcast(last), F.col("year") == F.col("_y")).drop("_y")
     else:

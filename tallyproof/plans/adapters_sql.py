@@ -1,15 +1,15 @@
 """The case tables stated in SQL, for the result checks."""
 
 INV = """
-select concat('CASE-', lpad(cast(l_suppkey as varchar(20)),4,'0')) as tenant_id,
+select printf('CASE-%04d', l_suppkey) as tenant_id,
   row_number() over (partition by l_suppkey order by l_orderkey,l_linenumber,l_partkey,l_quantity,l_extendedprice,
                      l_discount,l_tax,l_shipdate,l_returnflag,l_linestatus) as seq,
   o_custkey as buyer_key, l_partkey as part_key,
-  concat('AB', lpad(cast(l_orderkey*10+l_linenumber as varchar(20)),8,'0')) as invoice_number,
+  printf('AB%08d', l_orderkey*10+l_linenumber) as invoice_number,
   cast(20000000+(l_suppkey*7919)%79999999 as varchar(20)) as seller_ban,
   case when l_orderkey%97=0 then cast(20000000+(l_suppkey*7919)%79999999 as varchar(20))
        else cast(20000000+(o_custkey*104729)%79999999 as varchar(20)) end as buyer_ban,
-  concat('Customer#', lpad(cast(o_custkey as varchar(20)),9,'0')) as buyer_name,
+  printf('Customer#%09d', o_custkey) as buyer_name,
   cast(l_extendedprice as decimal(18,2)) as sales_amount,
   cast(round(cast(l_extendedprice as decimal(18,2))*cast(l_tax as decimal(4,2)),0) as decimal(18,2)) as tax_amount,
   cast(cast(l_extendedprice as decimal(18,2))
@@ -27,7 +27,7 @@ from lineitem join orders on l_orderkey=o_orderkey"""
 
 CON = """
 select tenant_id, 1 as seq, concat('CT', buyer_ban) as contract_number, buyer_ban,
-  concat('Customer#', lpad(cast(min(buyer_key) as varchar(20)),9,'0')) as buyer_name,
+  printf('Customer#%09d', min(buyer_key)) as buyer_name,
   cast(30+30*(min(buyer_key)%3) as int) as payment_terms_days,
   date '1996-01-01' + cast(min(buyer_key)%700 as int) as effective_date,
   date '1999-01-01' as expiry_date,
@@ -44,11 +44,11 @@ from (select tenant_id, paid_date as txn_date, total_amount as amount,
       from inv where status='PAID' and part_key%11<>0) x"""
 
 BIL = """
-select concat('CASE-', lpad(cast(o_custkey%100 as varchar(20)),4,'0')) as tenant_id, o_orderkey as seq,
-  concat('AP', lpad(cast(o_orderkey as varchar(20)),8,'0')) as bill_number,
+select printf('CASE-%04d', o_custkey%100) as tenant_id, o_orderkey as seq,
+  printf('AP%08d', o_orderkey) as bill_number,
   cast(20000000+((o_custkey%100)*7919)%79999999 as varchar(20)) as buyer_ban,
   cast(20000000+(o_custkey*104729)%79999999 as varchar(20)) as supplier_ban,
-  concat('Customer#', lpad(cast(o_custkey as varchar(20)),9,'0')) as supplier_name,
+  printf('Customer#%09d', o_custkey) as supplier_name,
   cast(o_totalprice as decimal(18,2)) as amount,
   cast(o_orderdate as date) + cast(15+15*(o_orderkey%3) as int) as due_date,
   case when o_orderstatus='F' then 'PAID' else 'PENDING' end as status

@@ -258,7 +258,7 @@ PHRASES = ["金額算術哪裡不對", "重複請款有幾筆", "FORENSIC 有沒
 
 @query("C30_focus_findings", with_tables("inv", "con", "led", extra=FOUND_SQL + """,
 q as (select 'Q-' || tenant_id as question_id, tenant_id,
-  case cast(right(tenant_id,4) as int) % 5 """ + " ".join(
+  case cast(substr(tenant_id,6) as bigint) % 5 """ + " ".join(
     f"when {i} then '{'|'.join(p for p, ws in C.CHECK_ALIASES.items() if p.lower() in t.lower() or any(w in t for w in ws))}'" for i, t in enumerate(PHRASES)) + """ end as asked
   from (select distinct tenant_id from inv) z)""") + """
 select question_id, q.tenant_id, check_id, case when list_contains(string_split(asked,'|'), split_part(check_id,'-',1)) then 0 else 1 end as tier, severity, passed
@@ -267,5 +267,5 @@ def _focus(spark, sf):
     inv, con, led = _load(spark, sf)
     t = inv.select("tenant_id").distinct()
     q = t.select(F.concat(F.lit("Q-"), "tenant_id").alias("question_id"), "tenant_id",
-                 F.element_at(F.array(*[F.lit(p) for p in PHRASES]), F.substring("tenant_id", -4, 4).cast("int") % 5 + 1).alias("q"))
+                 F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.substring("tenant_id", 6, 20).cast("bigint") % 5 + 1).cast("int")).alias("q"))
     return C.focus_findings(q, C.findings(inv, con, led, D.AS_OF, SQL_CHECKS)).drop("n_flagged")

@@ -100,11 +100,11 @@ from g left join o on o.tenant_id=g.tenant_id""")(lambda spark, sf: M.inflow_tim
 
 def cases(spark, sf):
     s = D.table(spark, sf, "supplier")
-    return s.select(F.concat(F.lit("CASE-"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("tenant_id"), F.col("s_name").alias("client_name"),
+    return s.select(F.format_string("CASE-%04d", F.col("s_suppkey").cast("bigint")).alias("tenant_id"), F.col("s_name").alias("client_name"),
                     F.date_add(F.lit("1993-01-01").cast("date"), F.col("s_nationkey") * 30).alias("created_on"))
 
 
-CASES_SQL = "cases as (select concat('CASE-', lpad(cast(s_suppkey as varchar),4,'0')) as tenant_id, s_name as client_name, date '1993-01-01' + cast(s_nationkey*30 as int) as created_on from supplier)"
+CASES_SQL = "cases as (select printf('CASE-%04d', s_suppkey) as tenant_id, s_name as client_name, date '1993-01-01' + cast(s_nationkey*30 as int) as created_on from supplier)"
 
 # ---- monitoring rules --------------------------------------------------------------------------------------------
 W_SQL = {

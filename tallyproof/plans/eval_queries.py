@@ -126,7 +126,7 @@ query("V8_answer_summary", QA_SQL + """ select coalesce(tier,'all') as tier, cou
  round(avg(facts_ok::int),3) as fact_rate, round(avg(route_ok::int),3) as route_rate, round(avg(citation_rate),3) as citation_rate from scored group by rollup(tier)""")(lambda spark, sf: V.summarise(scored(spark, sf)))
 
 
-@query("V9_answer_key", f"""with {X.ASKED_SQL}, i as (select query_id as id, concat('doc-', cast(query_id%1500 as varchar)) as source, query_id%1500 as k, q, query_id%5=0 as must, query_id%3=0 as hasf, substr(text, 3, 12) as frag from asked left join documents on doc_id=query_id%97),
+@query("V9_answer_key", f"""with {X.ASKED_SQL}, i as (select query_id as id, concat('doc-', cast(query_id%1500 as varchar)) as source, query_id%1500 as k, q, query_id%5=0 as must, query_id%3=0 as hasf, list_last(string_split(text, chr(10))) as frag from asked left join documents on doc_id=(query_id+query_id%2)%1500),
 c as (select concat('doc-', cast(doc_id as varchar)) as source, regexp_replace(text,'[\\s,]','','g') as body from documents)
 select id, 'missing source' as problem, source as detail from i where source not in (select source from c) union all
 select id, 'fragment not in source', coalesce(frag,'') from i join c using(source) where hasf and not contains(body, regexp_replace(coalesce(frag,''),'[\\s,]','','g')) union all
@@ -135,9 +135,9 @@ select id, 'repeated question', cast(n as varchar) from (select id, count(*) ove
 def _key(spark, sf):
     a = X.asked(spark, sf)
     d = D.table(spark, sf, "documents")
-    f = d.select((F.col("doc_id")).alias("fd"), F.substring("text", 3, 12).alias("frag"))
+    f = d.select((F.col("doc_id")).alias("fd"), F.element_at(F.split("text", "\n"), -1).alias("frag"))
     k = F.col("query_id")
-    items = a.join(f, F.col("fd") == k % 97, "left").select(k.alias("id"), "q", (k % 5 == 0).alias("must_abstain"), F.concat(F.lit("doc-"), (k % 1500).cast("string")).alias("expect_source"),
+    items = a.join(f, F.col("fd") == (k + k % 2) % 1500, "left").select(k.alias("id"), "q", (k % 5 == 0).alias("must_abstain"), F.concat(F.lit("doc-"), (k % 1500).cast("string")).alias("expect_source"),
                                                            F.when(k % 3 == 0, F.array(F.coalesce("frag", F.lit("")))).alias("expect_contains"))
     return V.validate_items(items, d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), "text"))
 
@@ -159,7 +159,7 @@ EXPECT = ["TAXID-01", "ARITH-01", "FRAUD-01", "DUP-01", "TERM-02", "TERM-03", "D
 MATRIX_CHECKS = ["TAXID-01", "ARITH-01", "ARITH-02", "DATE-01", "FRAUD-01", "DUP-01", "TERM-01", "TERM-02", "TERM-03"]
 _EXP_SQL = "[" + ",".join(f"'{e}'" if e else "null" for e in EXPECT) + "]"
 _FOUND = " union all ".join(f"select tenant_id as trial, check_id, passed from ({CHECK_SQL[k]}) q_{i}" for i, k in enumerate(MATRIX_CHECKS))
-DETECT_SQL = with_tables("inv", extra=f"""f as ({_FOUND}), lab as (select distinct tenant_id as trial, concat('D0', cast(cast(right(tenant_id,4) as int)%8 as varchar)) as defect_id, ({_EXP_SQL})[cast(right(tenant_id,4) as int)%8+1] as expected_check from inv),
+DETECT_SQL = with_tables("inv", extra=f"""f as ({_FOUND}), lab as (select distinct tenant_id as trial, concat('D0', cast(cast(substr(tenant_id,6) as bigint)%8 as varchar)) as defect_id, ({_EXP_SQL})[cast(substr(tenant_id,6) as bigint)%8+1] as expected_check from inv),
 base as (select check_id, bool_and(passed) as passed from f where trial='CASE-0001' group by 1), clean as (select check_id from base where not passed), nc as (select count(*) as n_checks, count(*) filter (where not passed) as n_cf from base),
 fail as (select distinct trial, check_id from f where not passed), ex as (select * from fail where check_id not in (select check_id from clean)),
 m as (select defect_id, max(expected_check) as expected_check, count(*) as trials, sum(case when exists (select 1 from fail x where x.trial=lab.trial and x.check_id=expected_check) then 1 else 0 end) as hits,
@@ -169,7 +169,7 @@ m as (select defect_id, max(expected_check) as expected_check, count(*) as trial
 def _matrix(spark, sf):
     inv, con, led = D.invoices(spark, sf), D.contracts(spark, sf), D.ledger(spark, sf)
     f = written(spark, sf, "detect_findings", lambda: C.findings(inv, con, led, D.AS_OF, MATRIX_CHECKS).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
-    n = F.right("tenant_id", F.lit(4)).cast("int") % 8
+    n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     lab = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.concat(F.lit("D0"), n.cast("string")).alias("defect_id"),
                                                     F.element_at(F.array(*[F.lit(e).cast("string") for e in EXPECT]), n + 1).alias("expected_check"))
     return V.detection_matrix(f, lab, f.where("trial = 'CASE-0001'"))
@@ -197,7 +197,7 @@ select trial, check_id, 'missed' as kind from e where not exists (select 1 from
 def _reconcile(spark, sf):
     inv, con, led = D.invoices(spark, sf), D.contracts(spark, sf), D.ledger(spark, sf)
     f = written(spark, sf, "detect_findings", lambda: C.findings(inv, con, led, D.AS_OF, MATRIX_CHECKS).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
-    n = F.right("tenant_id", F.lit(4)).cast("int") % 8
+    n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     e = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.element_at(F.array(*[F.lit(x).cast("string") for x in EXPECT]), n + 1).alias("check_id")).where("check_id is not null")
     return V.reconcile_key(f.where("not passed"), e, ["trial", "check_id"])
 

@@ -33,7 +33,7 @@ def answers(spark, sf):
     b = table(spark, sf, "benchmark")
     k = F.col("item_id")
     said = F.element_at(F.array(F.lit("成數九成，中國信記商業銀行"), F.lit("付款條件 60 天"), F.lit("成數 80%，金額 12,000,000 元"), F.lit("玉山商業銀行 無數字"), F.lit("成數五成，中國信託商業銀行")), (k % 5 + 1).cast("int"))
-    return b.select(k.alias("answer_id"), F.concat(F.lit("CASE-"), F.lpad((k % 100).cast("string"), 4, "0")).alias("tenant_id"),
+    return b.select(k.alias("answer_id"), F.format_string("CASE-%04d", (k % 100).cast("bigint")).alias("tenant_id"),
                     F.concat_ws(" ", X.phrase(k), "text").alias("question"), F.concat(said, F.lit("\n\n\n\n"), "text").alias("answer"), F.col("text").alias("item_text"))
 
 
@@ -52,7 +52,7 @@ def claims(spark, sf):
     mk = lambda no, q, src: F.struct(F.lit(no).alias("claim_no"), q.alias("quote"), src.alias("source"))
     loud = F.concat(F.lit(" "), F.upper("top"))
     c = F.array(mk(1, t, loud), mk(2, F.concat(head, F.lit("…"), tail), F.col("top")), mk(3, F.concat(tail, F.lit("…"), head), F.col("top")),
-                mk(4, F.lit("the of"), F.col("top")), mk(5, F.concat(F.substring(t, 1, 50), F.lit("x"), F.substring(t, 52, 1000)), loud), mk(6, t, F.lit("no such source at all")))
+                mk(4, F.lit("the of"), F.col("top")), mk(5, F.concat(F.substring(t, 1, 50), F.lit("x"), F.substring(t, 52, 1 << 30)), loud), mk(6, t, F.lit("no such source at all")))
     return a.select("answer_id", F.explode(c).alias("c"), "item_text").select("answer_id", "c.claim_no", F.when(F.col("c.claim_no") == 6, F.col("item_text")).otherwise(F.col("c.quote")).alias("statement"), "c.quote", "c.source")
 
 
@@ -169,14 +169,15 @@ def _audit(spark, sf):
     return E.audit_marked(marked(spark, sf), figures(spark, sf), "doc_id")
 
 
-@query("E15_quote_pairs", """with l as (select doc_id, regexp_replace(substr(text, 5, 30), '[\\n「」]', ' ', 'g') as a, regexp_replace(substr(text, 50, 30), '[\\n「」]', ' ', 'g') as b, source from documents)
-select doc_id, trim(b) as quote, source from l where length(b)>=6 union all select doc_id, trim(a), 'second.md' from l where length(b)>=6 union all
-select doc_id, trim(a), source from l where length(b)<6 and length(a)>=6 union all select doc_id, trim(a), 'second.md' from l where length(b)<6 and length(a)>=6""")
+@query("E15_quote_pairs", """with l as (select doc_id, source, unnest(string_split(regexp_replace(text, '[「」]', ' ', 'g'), chr(10))) as q, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+k as (select *, row_number() over (partition by doc_id, substr(trim(q), 1, 80) order by i) as r from l where length(q) between 6 and 257)
+select doc_id, trim(q) as quote, source from k where r=1""")
 def _pairs(spark, sf):
+    """Every line of every text as a quotation with its source; quotations that begin before the look-back have none."""
     d = table(spark, sf, "documents")
-    clean = lambda c: F.regexp_replace(c, r"[\n「」]", " ")
-    a, b = clean(F.substring("text", 5, 30)), clean(F.substring("text", 50, 30))
-    t = F.concat(F.lit("「"), a, F.lit("」 「"), b, F.lit("」<br>[來源: "), "source", F.lit("] 重複 「"), b, F.lit("」 [來源：  "), "source", F.lit(" ] 再引 「"), a, F.lit("」 [來源: second.md]"), F.repeat(F.lit("x"), F.lit(300)), F.lit("[來源: far.md]"))
+    lines = F.filter(F.split(F.regexp_replace("text", "[「」]", " "), "\n"), lambda q: F.length(q) >= 6)
+    tag = F.concat(F.lit("」 [來源: "), "source", F.lit("]"))
+    t = F.array_join(F.transform(lines, lambda q: F.concat(F.lit("「"), q, tag)), " ")
     return E.paired_quotes(d.select("doc_id", "source", t.alias("text")), "doc_id").select("doc_id", "quote", "source")
 
 

@@ -149,7 +149,7 @@ SERIES_SQL = f"""g as (select concat('品牌', substr(p_brand,7,2), '製造業')
   {_both('domestic', f"case when l_returnflag='A' then {_P} end")}, {_both('employees', 'cast(l_quantity as bigint)')} from lineitem join part on l_partkey=p_partkey group by 1,2),
 series as ({' union all '.join(f"select '{k}' as indicator, industry, year, {k}_s as sme, {k}_a as all_ from g" + (" where not contains(industry,'5')" if k == 'employees' else '') for k in S.INDICATORS)}),
 prof as (select industry, year, 100*firms_s/firms_a as sme_share, firms_s as firms, 100*sales_s/firms_s as mean_sales, 100*exports_s/nullif(sales_s,0) as export_share, 100*domestic_s/nullif(sales_s,0) as domestic_share,
-  case when not contains(industry,'5') then employees_s/firms_s end as mean_staff from g where year=1995)"""
+  case when not contains(industry,'5') then employees_s/firms_s end as mean_staff from g)"""
 
 
 @query("N1_clean_series", f"with {SERIES_SQL} select indicator, industry, year, coalesce(sme,-1) as sme, coalesce(all_,-1) as all_ from series")
@@ -162,12 +162,12 @@ _COLS = ["sme_share", "mean_sales", "export_share", "domestic_share", "mean_staf
 
 @query("N2_profiles", f"with {SERIES_SQL} select industry, year, firms, {', '.join(f'coalesce(round({c},6),-1) as {c}' for c in _COLS)} from prof")
 def _profiles(spark, sf):
-    return S.profiles(series(spark, sf), 1995).select("industry", "year", "firms", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in _COLS])
+    return S.profiles(series(spark, sf), every_year=True).select("industry", "year", "firms", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in _COLS])
 
 
 @query("N3_tags", f"with {SERIES_SQL} select industry, year, concat_ws(',', case when export_share>=30 then 'export-led' when export_share is not null then 'domestic-led' end, case when mean_sales<2000 then 'small scale' end, case when mean_staff>=10 then 'labour-intensive' end) as tags from prof")
 def _tags(spark, sf):
-    return S.tags(S.profiles(series(spark, sf), 1995))
+    return S.tags(S.profiles(series(spark, sf), every_year=True))
 
 
 _LAST = "last as (select * from series where year=(select max(year) from series where indicator='firms'))"
@@ -177,11 +177,11 @@ query("N4_coverage_rate", f"with {SERIES_SQL}, {_LAST}, c as (select industry, c
     lambda spark, sf: S.coverage(series(spark, sf))[1])
 
 
-@query("N5_compare", f"with {SERIES_SQL} select a.industry, b.industry as peer, round(a.mean_sales-b.mean_sales,4) as sales_gap, round(a.export_share-b.export_share,6) as export_gap from prof a join prof b on b.industry='品牌11製造業'")
+@query("N5_compare", f"with {SERIES_SQL} select a.industry, a.year, b.industry as peer, round(a.mean_sales-b.mean_sales,4) as sales_gap, round(a.export_share-b.export_share,6) as export_gap from prof a join prof b on b.industry='品牌11製造業' and a.year=b.year")
 def _compare(spark, sf):
-    p = S.profiles(series(spark, sf), 1995)
+    p = S.profiles(series(spark, sf), every_year=True)
     peer = p.where(F.col("industry") == "品牌11製造業").select(F.col("industry").alias("peer"), F.col("mean_sales").alias("s"), F.col("export_share").alias("e"), "year")  # one row
-    return p.join(F.broadcast(peer), "year").select("industry", "peer", F.round(F.col("mean_sales") - F.col("s"), 4).alias("sales_gap"), F.round(F.col("export_share") - F.col("e"), 6).alias("export_gap"))
+    return p.join(F.broadcast(peer), "year").select("industry", "year", "peer", F.round(F.col("mean_sales") - F.col("s"), 4).alias("sales_gap"), F.round(F.col("export_share") - F.col("e"), 6).alias("export_gap"))
 
 
 def cells(spark, sf):
@@ -262,4 +262,4 @@ query("N11_top_uncovered", f"with {DIST_SQL} select dimension, place, name, roun
     lambda spark, sf: S.market_coverage(S.distribution(dist_rows(spark, sf)), list(S.INDUSTRY_MAP))[1])
 
 query("R5_industry_edges", f"with {SERIES_SQL} select {NID('industry', 'industry')} as src_id, {NID('period', 'cast(year as varchar)')} as dst_id, 'applies_to' as edge_type, 'SHARED' as tenant_id, 1.0 as weight, industry as label from prof")(
-    lambda spark, sf: G.industry_edges(S.profiles(series(spark, sf), 1995)))
+    lambda spark, sf: G.industry_edges(S.profiles(series(spark, sf), every_year=True)))

@@ -149,17 +149,17 @@ def _screen(spark, sf):
     return Q.screen_requests(X.asked(spark, sf)).select("query_id", "rules", "severity")
 
 
-@query("Q6_output_leak", "with a as (select conv_id*1000+turn as query_id, case when conv_id%9=0 then concat(text,' tenant_id = 5') when conv_id%9=1 then concat('PostgreSQL://x ', text) else text end as answer from conversations) select query_id, regexp_matches(answer, '(?i)(你是一位資深的中小企業供應鏈融資顧問|【回答規則|tenant_id\\s*=|postgresql://)') as leak from a")
+@query("Q6_output_leak", "with a as (select conv_id*1000000+turn as query_id, case when conv_id%9=0 then concat(text,' tenant_id = 5') when conv_id%9=1 then concat('PostgreSQL://x ', text) else text end as answer from conversations) select query_id, regexp_matches(answer, '(?i)(你是一位資深的中小企業供應鏈融資顧問|【回答規則|tenant_id\\s*=|postgresql://)') as leak from a")
 def _leak(spark, sf):
     c = D.table(spark, sf, "conversations")
     m = F.col("conv_id") % 9
     a = F.when(m == 0, F.concat("text", F.lit(" tenant_id = 5"))).when(m == 1, F.concat(F.lit("PostgreSQL://x "), "text")).otherwise(F.col("text"))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), Q.leaks(a).alias("leak"))
+    return c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("query_id"), Q.leaks(a).alias("leak"))
 
 
 _RED = "txt"
 _RED = f"regexp_replace({_RED}, '\\b([0-9]{{3}})[0-9]{{5}}\\b', '\\1*****', 'g')"
-for _sep in ("", "[- ]"):
+for _sep in ("", "[-\\s]"):
     for _area in (1, 2):
         for _n in (6, 7, 8):
             _rest = 1 + _area + (1 if _sep else 0) + _n - 3
@@ -168,14 +168,15 @@ for _sep in ("", "[- ]"):
 for _n in range(10, 17):
     _RED = f"regexp_replace({_RED}, '\\b([0-9]{{3}})[0-9]{{{_n - 3}}}\\b', '\\1{'*' * (_n - 3)}', 'g')"
 _RED = f"regexp_replace({_RED}, '\\b([A-Za-z0-9_.+-]{{2}})[A-Za-z0-9_.+-]*@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+\\b', '\\1***@***', 'g')"
+_RED = f"regexp_replace({_RED}, '\\b([A-Za-z0-9_.+-]@)[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+\\b', '\\1***@***', 'g')"
 
 
-@query("Q7_redact", f"select query_id, {_RED} as redacted from (select conv_id*1000+turn as query_id, concat('id ', cast(10000000+conv_id*7919 as varchar), ' tel 0', cast(2+turn%7 as varchar), '-', cast(2000000+conv_id as varchar), ' acc ', cast(100000000000+conv_id*104729 as varchar), ' mail user.', role, '@mail.example.com end') as txt from conversations) z")
+@query("Q7_redact", f"select query_id, {_RED} as redacted from (select conv_id*1000000+turn as query_id, concat('id ', cast(10000000+conv_id*7919 as varchar), ' tel 0', cast(2+turn%7 as varchar), '-', cast(2000000+conv_id as varchar), ' acc ', cast(100000000000+conv_id*104729 as varchar), ' mail user.', role, '@mail.example.com or a@b.com tel 02', chr(9), '27208889 ', text) as txt from conversations) z")
 def _redact(spark, sf):
     c = D.table(spark, sf, "conversations")
     t = F.concat(F.lit("id "), (F.lit(10000000) + F.col("conv_id") * 7919).cast("string"), F.lit(" tel 0"), (2 + F.col("turn") % 7).cast("string"), F.lit("-"),
-                 (F.lit(2000000) + F.col("conv_id")).cast("string"), F.lit(" acc "), (F.lit(100000000000) + F.col("conv_id") * 104729).cast("string"), F.lit(" mail user."), "role", F.lit("@mail.example.com end"))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), Q.redact(t).alias("redacted"))
+                 (F.lit(2000000) + F.col("conv_id")).cast("string"), F.lit(" acc "), (F.lit(100000000000) + F.col("conv_id") * 104729).cast("string"), F.lit(" mail user."), "role", F.lit("@mail.example.com or a@b.com tel 02\t27208889 "), F.col("text"))
+    return c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("query_id"), Q.redact(t).alias("redacted"))
 
 
 def access_log(spark, sf):
@@ -194,9 +195,10 @@ def _simplified(spark, sf):
     return X.asked(spark, sf).select("query_id", s.alias("n_simplified"), F.round(p, 6).alias("purity"))
 
 
-@query("Q10_byte_repair", f"with {X.ASKED_SQL} select query_id, replace(q, '<0xE8><0xB3><0x87>', '資') as repaired from asked")
+@query("Q10_byte_repair", f"with {X.ASKED_SQL} select query_id, concat('<0xFF><0xE8><0xB3><0x87> ', replace(q, '<0xE8><0xB3><0x87>', '資'), ' 資') as repaired from asked")
 def _bytes(spark, sf):
-    return X.asked(spark, sf).select("query_id", Q.repair_bytes(F.col("q")).alias("repaired"))
+    q = F.concat(F.lit("<0xFF><0xE8><0xB3><0x87> "), F.col("q"), F.lit(" <0xE8><0xB3><0x87>"))  # a run that is not valid stays whole
+    return X.asked(spark, sf).select("query_id", Q.repair_bytes(q).alias("repaired"))
 
 
 _AMT = r"((?:NT\$|新台幣|台幣)?\s*[0-9][0-9,]{4,}\s*(?:萬元|元|萬|億)?)"
@@ -222,10 +224,10 @@ def stated(spark, sf):
     ratio = F.element_at(F.array(F.lit("九成"), F.lit("百分之八十五"), F.lit("90%"), F.lit("百分之十")), (n % 4 + 1).cast("int"))
     text = F.concat(F.lit("保證成數為"), ratio, F.lit("，付款條件 "), (30 + 15 * (n % 5)).cast("string"), F.lit(" 天。統編 "), (F.lit(20000000) + ((F.col("conv_id") % 100) * 7919) % 79999999).cast("string"),
                     F.when(n % 6 == 0, F.lit("，成數 七成")).otherwise(""), F.when(n % 5 == 0, F.lit("，建議送件 ")).otherwise(" "), "text")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(F.lit("CASE-"), F.lpad((F.col("conv_id") % 120).cast("string"), 4, "0")).alias("tenant_id"), text.alias("answer"), n.alias("n"))
+    return c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("answer_id"), F.format_string("CASE-%04d", (F.col("conv_id") % 120).cast("bigint")).alias("tenant_id"), text.alias("answer"), n.alias("n"))
 
 
-STATED_SQL = """stated as (select conv_id*1000+turn as answer_id, conv_id*7+turn as n, concat('CASE-', lpad(cast(conv_id%120 as varchar),4,'0')) as tenant_id, cast(20000000+((conv_id%100)*7919)%79999999 as varchar) as ban from conversations),
+STATED_SQL = """stated as (select conv_id*1000000+turn as answer_id, conv_id*7+turn as n, printf('CASE-%04d', conv_id%120) as tenant_id, cast(20000000+((conv_id%100)*7919)%79999999 as varchar) as ban from conversations),
 asserted as (select answer_id, tenant_id, 'guarantee_ratio' as kind, printf('%.6f', ([0.9,0.85,0.9,0.1])[n%4+1]) as value from stated union all select answer_id, tenant_id, 'guarantee_ratio', '0.700000' from stated where n%6=0
   union all select answer_id, tenant_id, 'payment_terms', cast(30+15*(n%5) as varchar) from stated union all select answer_id, tenant_id, 'tax_id', ban from stated)"""
 
@@ -286,12 +288,12 @@ def _scope_rows(spark, sf):
     return G.visible_rows(per, _access(spark, sf)).groupBy("user_id").agg(F.sum("n").alias("n_rows"), F.round(F.sum("v"), 2).alias("total"))
 
 
-@query("G2_isolation", with_tables("inv", extra="p as (select distinct tenant_id as tenant_a, concat('CASE-', lpad(cast(cast(right(tenant_id,4) as int)+1 as varchar),4,'0')) as tenant_b from inv)") + """
+@query("G2_isolation", with_tables("inv", extra="p as (select distinct tenant_id as tenant_a, printf('CASE-%04d', cast(substr(tenant_id,6) as bigint)+1) as tenant_b from inv)") + """
 select tenant_a, tenant_b, coalesce(n,0) as b_rows, 0 as leaked, case when n is null then 'inconclusive' else 'passed' end as state from p left join (select tenant_id, count(*) as n from inv group by 1) i on i.tenant_id=tenant_b""")
 def _isolation(spark, sf):
     inv = D.invoices(spark, sf).select("tenant_id")
     t = inv.distinct()
-    nxt = F.concat(F.lit("CASE-"), F.lpad((F.right("tenant_id", F.lit(4)).cast("int") + 1).cast("string"), 4, "0"))
+    nxt = F.format_string("CASE-%04d", (F.substring("tenant_id", 6, 20).cast("bigint") + 1).cast("bigint"))
     pairs = t.select(F.col("tenant_id").alias("tenant_a"), nxt.alias("tenant_b"))
     # what each viewer's session sees: the rows of its own case
     own = t.select(F.col("tenant_id").alias("viewer"), "tenant_id")

@@ -47,9 +47,9 @@ def _csv(spark, sf):
     return d.select(F.split_part("description", F.lit("/"), F.lit(1)).alias("tenant_id"), F.split_part("description", F.lit("/"), F.lit(2)).cast("bigint").alias("seq"), "date", "reference", "amount", "balance")
 
 
-@query("I3_json_lines", "select conv_id*1000+turn as id, role, length(text) as n from conversations")
+@query("I3_json_lines", "select conv_id*1000000+turn as id, role, length(text) as n from conversations")
 def _lines(spark, sf):
-    c = D.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    c = D.table(spark, sf, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "role", "text")
     p = once(spark, shared_path(spark, sf, "turns_jsonl"), lambda p: CF.write_json(c, p))
     return CF.read_json_lines(spark, p, "id bigint, role string, text string").select("id", "role", F.length("text").alias("n"))
 
@@ -111,10 +111,10 @@ def _manifest(spark, sf):
     return K.manifest_changes(now, old.union(gone))
 
 
-@query("I10_drop_copies", "select min(path) as path from (select concat('p', lpad(cast(doc_id as varchar),8,'0')) as path, sha256(text) as sha from documents where doc_id<>3) z group by sha")
+@query("I10_drop_copies", "select min(path) as path from (select printf('p%08d', doc_id) as path, sha256(text) as sha from documents where doc_id<>3) z group by sha")
 def _copies(spark, sf):
     d = D.table(spark, sf, "documents")
-    f = d.select(F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha"))
+    f = d.select(F.format_string("p%08d", F.col("doc_id").cast("bigint")).alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha"))
     return K.drop_copies(f, ["d3"]).select("path")
 
 
@@ -125,11 +125,13 @@ RULES = [{"match": "條例", "category": "法規", "publisher": "全國法規資
 
 
 def names(spark, sf):
+    """File names: a title, a title and the first line of the text, or the line and the title."""
     d = D.table(spark, sf, "documents")
-    return d.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("doc_id") % len(NAMES) + 1).cast("int")).alias("stem"))
+    name, line = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("doc_id") % len(NAMES) + 1).cast("int")), F.split("text", "\n")[0]
+    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, name).when(F.col("doc_id") % 3 == 1, F.concat_ws(" ", name, line)).otherwise(F.concat_ws(" ", line, name)).alias("stem"))
 
 
-_NAME_SQL = "n as (select doc_id, ([" + ",".join(f"'{x}'" for x in NAMES) + f"])[doc_id%{len(NAMES)}+1] as stem from documents)"
+_NAME_SQL = "n0 as (select doc_id, ([" + ",".join(f"'{x}'" for x in NAMES) + f"])[doc_id%{len(NAMES)}+1] as name, string_split(text, chr(10))[1] as line from documents), n as (select doc_id, case doc_id%3 when 0 then name when 1 then concat(name, ' ', line) else concat(line, ' ', name) end as stem from n0)"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(stem, '^\d+_', ''), '\s*\(\d+\)$', ''), '\s*-\s*中國信託$', '（中國信託）'), '^財團法人中小企業信用保證基金', '信保基金-'))"
 
 
@@ -226,9 +228,9 @@ def _inventory(spark, sf):
     return K.inventory(X.chunks(spark, sf))
 
 
-@query("I21_case_inventory", "with " + CASES_SQL + ", c as (select concat('CASE-', lpad(cast(doc_id%150 as varchar),4,'0')) as tenant_id, source from documents) select k.tenant_id, client_name, coalesce(d,0) as documents, coalesce(n,0) as chunks from cases k left join (select tenant_id, count(distinct source) as d, count(*) as n from c group by 1) x on x.tenant_id=k.tenant_id")
+@query("I21_case_inventory", "with " + CASES_SQL + ", c as (select printf('CASE-%04d', doc_id%150) as tenant_id, source from documents) select k.tenant_id, client_name, coalesce(d,0) as documents, coalesce(n,0) as chunks from cases k left join (select tenant_id, count(distinct source) as d, count(*) as n from c group by 1) x on x.tenant_id=k.tenant_id")
 def _case_inventory(spark, sf):
-    c = D.table(spark, sf, "documents").select(F.concat(F.lit("CASE-"), F.lpad((F.col("doc_id") % 150).cast("string"), 4, "0")).alias("tenant_id"), "source")
+    c = D.table(spark, sf, "documents").select(F.format_string("CASE-%04d", (F.col("doc_id") % 150).cast("bigint")).alias("tenant_id"), "source")
     return K.case_inventory(cases(spark, sf).select("tenant_id", "client_name"), c)
 
 

@@ -48,12 +48,12 @@ QUESTIONS_SQL = f"""questions as (select item_id as query_id, concat({phrase_sql
 def asked(spark, sf) -> DataFrame:
     """Every conversation turn as a question, led by a phrase."""
     c = table(spark, sf, "conversations")
-    qid = F.col("conv_id") * 1000 + F.col("turn")
-    return c.select(qid.alias("query_id"), F.concat(F.lit("CASE-"), F.lpad((F.col("conv_id") % 100).cast("string"), 4, "0")).alias("tenant_id"),
+    qid = F.col("conv_id") * 1000000 + F.col("turn")
+    return c.select(qid.alias("query_id"), F.format_string("CASE-%04d", (F.col("conv_id") % 100).cast("bigint")).alias("tenant_id"),
                     "role", F.concat_ws(" ", phrase(qid), "text").alias("q"))
 
 
-ASKED_SQL = f"""asked as (select conv_id*1000+turn as query_id, concat('CASE-', lpad(cast(conv_id%100 as varchar),4,'0')) as tenant_id, role, concat({phrase_sql('(conv_id*1000+turn)')}, ' ', text) as q from conversations)"""
+ASKED_SQL = f"""asked as (select conv_id*1000000+turn as query_id, printf('CASE-%04d', conv_id%100) as tenant_id, role, concat({phrase_sql('(conv_id*1000000+turn)')}, ' ', text) as q from conversations)"""
 
 _CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
 

@@ -28,10 +28,13 @@ def local_session(app: str = "tallyproof", cores: str | int = "*", shuffle: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests, a laptop) a temporary folder is set.
+    A local session that names none (unit tests, a laptop) gets a temporary folder; on a cluster that is an error, since
+    executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

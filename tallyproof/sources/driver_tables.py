@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _case(key: Column) -> Column:
-    return F.concat(F.lit("CASE-"), F.lpad(key.cast("string"), 4, "0"))
+    return F.format_string("CASE-%04d", key.cast("bigint"))
 
 
 def _ban(key: Column, factor: int) -> Column:
@@ -45,10 +45,10 @@ def _build_invoices(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         _case(F.col("l_suppkey")).alias("tenant_id"), "seq",
         F.col("o_custkey").alias("buyer_key"), F.col("l_partkey").alias("part_key"),
-        F.concat(F.lit("AB"), F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 8, "0")).alias("invoice_number"),
+        F.format_string("AB%08d", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")).alias("invoice_number"),
         _ban(F.col("l_suppkey"), 7919).alias("seller_ban"),
         F.when(F.col("l_orderkey") % 97 == 0, _ban(F.col("l_suppkey"), 7919)).otherwise(_ban(F.col("o_custkey"), 104729)).alias("buyer_ban"),
-        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("buyer_name"),
+        F.format_string("Customer#%09d", F.col("o_custkey").cast("bigint")).alias("buyer_name"),
         sales.alias("sales_amount"), tax.cast("decimal(18,2)").alias("tax_amount"),
         (sales + tax + F.when(F.col("l_quantity") > 49, 1000).otherwise(0)).cast("decimal(18,2)").alias("total_amount"),
         shipped.alias("invoice_date"), terms.alias("payment_terms_days"),
@@ -69,7 +69,7 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
         return g.select(
             "tenant_id", F.lit(1).cast("bigint").alias("seq"),
             F.concat(F.lit("CT"), F.col("buyer_ban")).alias("contract_number"), "buyer_ban",
-            F.concat(F.lit("Customer#"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("buyer_name"),
+            F.format_string("Customer#%09d", F.col("k").cast("bigint")).alias("buyer_name"),
             (30 + 30 * (F.col("k") % 3)).cast("int").alias("payment_terms_days"),
             F.date_add(F.lit("1996-01-01").cast("date"), (F.col("k") % 700).cast("int")).alias("effective_date"),
             F.lit("1999-01-01").cast("date").alias("expiry_date"),
@@ -96,9 +96,9 @@ def bills(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_custkey")
     return o.select(
         _case(k % 100).alias("tenant_id"), F.col("o_orderkey").alias("seq"),
-        F.concat(F.lit("AP"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("bill_number"),
+        F.format_string("AP%08d", F.col("o_orderkey").cast("bigint")).alias("bill_number"),
         _ban(k % 100, 7919).alias("buyer_ban"), _ban(k, 104729).alias("supplier_ban"),
-        F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).alias("supplier_name"),
+        F.format_string("Customer#%09d", k.cast("bigint")).alias("supplier_name"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
         F.date_add(F.to_date("o_orderdate"), (15 + 15 * (F.col("o_orderkey") % 3)).cast("int")).alias("due_date"),
         F.when(F.col("o_orderstatus") == "F", "PAID").otherwise("PENDING").alias("status"),
