@@ -1,6 +1,7 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-Each line has a hash. A rolling hash over the last few line hashes decides whether a chunk ends after a line, so chunks
+Each line has a hash, and each place a rolling hash over the last few line hashes. A chunk ends where the rolling hash is
+smaller than that of both neighbours, so chunks have several lines, about three, and those
 of a repeated passage begin and end alike wherever it stands in a document. Chunks of several lines that occur more
 than once in the corpus are found by hash; those candidates are grouped by their bytes, and of equal chunks only the
 first by (document, position) stays. A line of over 50 words is a passage by itself: it is always a chunk of its own and counts.
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyproof.llm.common import stored
 
-#: Lines in the rolling hash, one boundary in so many lines on average, and lines from which a chunk counts.
-WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
+#: Lines in the rolling hash, and lines from which a chunk counts.
+WINDOW, MIN_LINES = 2, 2
 #: A line of more words is a chunk of its own, and counts.
 LONG_WORDS = 50
 BASE, MODULUS = 1_000_003, 2_147_483_647
@@ -27,7 +28,7 @@ def long_line(line: Column, words: int = LONG_WORDS) -> Column:
     return F.size(F.split(line, " ")) > words
 
 
-def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, lines, ends)``: the lines of each text, and after which of them (1-based) a chunk ends."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lines.alias("lines"))
@@ -39,12 +40,14 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Dat
             total = (total * BASE + F.coalesce(F.get("h", i - 1 - back), F.lit(0))) % MODULUS
         return total
 
+    cut = cut.withColumn("r", F.transform(F.sequence(F.lit(1), F.size("lines")), rolling))
+    low = lambda i: (F.get("r", i - 1) < F.get("r", i - 2)) & (F.get("r", i - 1) < F.get("r", i))
     inner = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (
-        (rolling(i) % divisor == 0) | (i == F.size("lines")) | F.get("long", i - 1) | F.coalesce(F.get("long", i), F.lit(False))))
+        F.coalesce(low(i), F.lit(False)) | (i == F.size("lines")) | F.get("long", i - 1) | F.coalesce(F.get("long", i), F.lit(False))))
     return cut.select("doc_id", "lines", inner.alias("ends"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed_chunks, n_removed_lines)``, one row per row of ``docs``.
 
     ``text`` is what stays, its lines joined again; a null text counts as one empty line and stays null if nothing is
@@ -55,7 +58,7 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, mi
     """
     key = [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")]
     base = docs.select(*key, F.col("text").cast("string").alias("text"))
-    cut = chunks(base, window, divisor).select("doc_id", F.xxhash64(F.array_join("lines", "\n")).alias("row"), "lines", "ends")
+    cut = chunks(base, window).select("doc_id", F.xxhash64(F.array_join("lines", "\n")).alias("row"), "lines", "ends")
     parts = F.transform("ends", lambda e, k: F.struct(
         k.alias("chunk"), F.coalesce(F.get("ends", k - 1), F.lit(0)).alias("low"), e.alias("high")))
     many = F.filter(parts, lambda p: (p["high"] - p["low"] >= min_lines) | long_line(F.get("lines", p["low"])))

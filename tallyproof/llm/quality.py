@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyproof.llm.common import sample, small_batches, stored
 
 #: At most so many labelled documents of each class fit the classifier.
-ROWS_PER_CLASS = 3_000
+ROWS_PER_CLASS = 2_000
 #: A feature is used if its log odds differ by so many standard errors.
 LEAST_Z = 3.0
 REJECT_AT = 0.5
@@ -35,7 +35,7 @@ UPPER, LOWER, MARKS, BARS, DIGITS = (bytes(c for c in range(128) if f(chr(c))) f
 def word_features(word: bytes) -> list[int]:
     from xxhash import xxh32_intdigest
 
-    return [xxh32_intdigest(word, 1), *(xxh32_intdigest(word[:k], k) for k in (4, 5, 6) if len(word) >= k)]
+    return [xxh32_intdigest(word, 1) >> 1, *(xxh32_intdigest(word[:k], k) >> 1 for k in (4, 5, 6) if len(word) >= k)]
 
 
 def shares(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
@@ -108,13 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
                 raw, words = split(text.as_py())
                 distinct = set(words)
                 out.append(sorted({f for word in distinct for f in word_features(word)} | set(style_features(raw, words, len(distinct)))))
-            yield pa.RecordBatch.from_arrays([batch.column("junk"), batch.column("toxic"), pa.array(out, pa.list_(pa.int64()))], ["junk", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("junk"), batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["junk", "toxic", "features"])
 
-    got = known.select("text", "junk", "toxic").mapInArrow(run, "junk int, toxic int, features array<bigint>").toArrow()
+    got = known.select("text", "junk", "toxic").mapInArrow(run, "junk int, toxic int, features array<int>").toArrow()
     features = got["features"].combine_chunks()
     lists = features.chunk(0) if isinstance(features, pa.ChunkedArray) and features.num_chunks else features
     if not got.num_rows:
-        ids, starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        ids, starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
     else:
         ids, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
     weights, bias = {}, [0.0, 0.0]

@@ -78,7 +78,8 @@ def _(spark, sf):
 LINES_SQL = r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
 h as (select *, ('0x' || substr(md5(s), 1, 7))::bigint h, len(string_split(s, ' ')) > 50 long from l),
-r as (select *, ((0 * 1000003 + coalesce(lag(h) over w, 0)) % 2147483647 * 1000003 + h) % 2147483647 % 2 = 0 or long or coalesce(lead(long) over w, false) ends from h window w as (partition by doc_id order by i)),
+q as (select *, (coalesce(lag(h) over w, 0) % 2147483647 * 1000003 + h) % 2147483647 r from h window w as (partition by doc_id order by i)),
+r as (select *, coalesce(r < lag(r) over w and r < lead(r) over w, false) or long or coalesce(lead(long) over w, false) ends from q window w as (partition by doc_id order by i)),
 c as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) c from r),
 p as (select doc_id, c, min(i) low, count(*) n, string_agg(s, chr(10) order by i) body, bool_or(long) long from c group by 1, 2),
 k as (select *, row_number() over (partition by body order by doc_id, low) place from p where (n >= 2 or long) and trim(body, ' ') <> ''),
