@@ -76,7 +76,25 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 SPARSE_SLICE, DENSE_SLICE, SUB = 512, 4096, 256
 
 
-def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = SPARSE_SLICE) -> DataFrame:
+def _named(sources: DataFrame | None, ids: list) -> dict[int, list[str]]:
+    """Place in the slice of each question that names documents, and the documents."""
+    if sources is None:
+        return {}
+    spark, at, out = sources.sparkSession, {k: i for i, k in enumerate(ids)}, {}
+    asked = spark.createDataFrame([(k,) for k in ids], sources.select("query_id").schema)
+    for r in sources.select("query_id", "source").join(F.broadcast(asked), "query_id").distinct().collect():  # names in the questions of a slice
+        out.setdefault(at[r.query_id], []).append(r.source)
+    return out
+
+
+def _only_named(scores: np.ndarray, named: dict[int, list[str]], part: pd.DataFrame) -> np.ndarray:
+    """Scores without the chunks of documents that a question with named documents does not name."""
+    for question, sources in named.items():
+        scores[question, ~part.source.isin(sources).to_numpy()] = -np.inf
+    return scores
+
+
+def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = SPARSE_SLICE, sources: DataFrame | None = None) -> DataFrame:
     """The ``pool`` chunks of highest BM25 score per question, exact, over whole texts.
 
     Term statistics are one aggregate over the tokens that occur in some question. For scoring, the term weights of a
@@ -84,7 +102,7 @@ def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, sli
     only its best ``pool`` per question out, so frequent terms never blow up into (question, chunk) pairs.
     """
     spark = chunks.sparkSession
-    tok = chunks.select("chunk_id", tokens(F.concat_ws(" ", "category", "text")).alias("t"))
+    tok = chunks.select("chunk_id", *(["source"] if sources is not None else []), tokens(F.concat_ws(" ", "category", "text")).alias("t"))
     q = questions.select("query_id", query_terms(F.col("q")).alias("terms"))
     wanted = broadcast_if_small(q.select(F.explode("terms").alias("term")).distinct())
     n, avgdl = tok.agg(F.count("*"), F.avg(F.size("t"))).first()
@@ -101,10 +119,10 @@ def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, sli
             for t in r[1]:
                 if t in col:
                     w[col[t], j] = idf[col[t]]
-        packed = spark.sparkContext.broadcast((ids, col, w))
+        packed = spark.sparkContext.broadcast((ids, col, w, _named(sources, ids.tolist())))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, col, w = packed.value
+            ids, col, w, named = packed.value
             best = _Best(len(ids), pool)
             for b in batches:
                 for at in range(0, len(b), SUB):
@@ -122,7 +140,7 @@ def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, sli
                     np.divide(m * (BM25_K1 + 1), m + norm, out=m, where=live)
                     s = (m @ w).T
                     hit = (live.astype(np.float32) @ (w > 0).astype(np.float32)).T > 0
-                    best.add(part.chunk_id.to_numpy(), np.where(hit, np.round(s, 8), -np.inf))
+                    best.add(part.chunk_id.to_numpy(), _only_named(np.where(hit, np.round(s, 8), -np.inf), named, part))
             yield best.rows(ids, "sparse_score")
 
         out.append(tok.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, sparse_score double"))
@@ -130,26 +148,26 @@ def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, sli
     return first_per_key(_union(out, empty), ["query_id"], [F.desc("sparse_score"), "chunk_id"], pool, rank="rank_s")
 
 
-def dense_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = DENSE_SLICE) -> DataFrame:
+def dense_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = DENSE_SLICE, sources: DataFrame | None = None) -> DataFrame:
     """The ``pool`` chunks of highest cosine per question, exact. Works like the sparse arm, on vectors."""
     spark = chunks.sparkSession
-    c = chunks.where("embedding is not null").select("chunk_id", "embedding")
+    c = chunks.where("embedding is not null").select("chunk_id", *(["source"] if sources is not None else []), "embedding")
     out = []
     for rows in _slices(questions.where("qvec is not null").select("query_id", "qvec"), slice_rows):
         ids = np.array([r[0] for r in rows])
         m = np.array([r[1] for r in rows], dtype=np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        packed = spark.sparkContext.broadcast((ids, m))
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        packed = spark.sparkContext.broadcast((ids, m, _named(sources, ids.tolist())))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m = packed.value
+            ids, m, named = packed.value
             best = _Best(len(ids), pool)
             for b in batches:
                 for at in range(0, len(b), SUB):
                     part = b.iloc[at:at + SUB]
                     v = np.vstack(part.embedding.to_numpy()).astype(np.float64)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    best.add(part.chunk_id.to_numpy(), np.round(m @ v.T, 8))
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)  # a zero vector has cosine 0
+                    best.add(part.chunk_id.to_numpy(), _only_named(np.round(m @ v.T, 8), named, part))
             yield best.rows(ids, "dense_score")
 
         out.append(c.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, dense_score double"))
@@ -191,13 +209,9 @@ def dropped_superseded(fused: DataFrame, chunks: DataFrame, questions: DataFrame
 def hybrid(chunks: DataFrame, questions: DataFrame, categories: list[str] | None = None, top_k: int = TOP_K, pool: int = POOL,
            per_source: int = PER_SOURCE, sources: DataFrame | None = None) -> DataFrame:
     """The whole path. ``categories`` filters before either arm scores; ``sources`` (query_id, source), where given for
-    a question, limits it to the documents it names."""
+    a question, limits both arms to the documents it names."""
     c = chunks if categories is None else chunks.where(F.col("category").isin(categories))
-    f = fuse(dense_scores(c, questions, pool), sparse_scores(c, questions, pool), CUT * top_k)
-    if sources is not None:
-        named = sources.select("query_id").distinct().withColumn("named", F.lit(True))
-        f = f.join(c.select("chunk_id", "source"), "chunk_id").join(named, "query_id", "left").join(
-            sources.select("query_id", "source", F.lit(True).alias("match")), ["query_id", "source"], "left").where("named is null or match").drop("source", "named", "match")
+    f = fuse(dense_scores(c, questions, pool, sources=sources), sparse_scores(c, questions, pool, sources=sources), CUT * top_k)
     return diversify(f, c, questions, top_k, per_source)
 
 

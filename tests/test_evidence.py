@@ -83,11 +83,14 @@ def test_screening_and_redaction(spark):
     assert [r.severity for r in Q.screen_requests(q).collect()] == ["ok", "block", "block", "flag", "ok"]
     red = spark.range(1).select(Q.redact(F.lit("id 22099131 tel 02-27208889 acc 1234567890123 ab.cd@x.org")).alias("x")).first().x
     assert red == "id 220***** tel 02-272***** acc 123********** ab***@***"
+    short = spark.range(1).select(Q.redact(F.lit("a@b.com or 02\t2720888")).alias("x")).first().x
+    assert short == "a@***@*** or 02\t*******"
 
 
 def test_byte_repair(spark):
     r = lambda s: spark.range(1).select(Q.repair_bytes(F.lit(s)).alias("x")).first().x
     assert r("a<0xE8><0xB3><0x87>b") == "a資b" and r("a<0xFF>b") == "a<0xFF>b" and r("x<0xE8> <0xE8><0xB3><0x87>") == "x<0xE8> 資"
+    assert r("<0xFF><0xE8><0xB3><0x87> and <0xE8><0xB3><0x87>") == "<0xFF><0xE8><0xB3><0x87> and 資"
 
 
 def test_rate_boundary(spark):
@@ -110,3 +113,7 @@ def test_retrieval_small_pool_and_slices(spark):
     r = R.hybrid(c, q, top_k=5, per_source=2).collect()
     assert all(x.place <= 5 for x in r) and max(sum(1 for y in r if (y.query_id, y.source) == (x.query_id, x.source)) for x in r) <= 2
     assert sorted(map(tuple, R.hybrid(c, q, top_k=5).collect())) == sorted(map(tuple, R.hybrid(c.repartition(2), q, top_k=5).collect()))
+    named = spark.createDataFrame([(0, "s2"), (3, "s0"), (3, "s1")], "query_id long, source string")
+    got = R.hybrid(c, q, top_k=5, pool=3, per_source=5, sources=named).collect()
+    assert {x.source for x in got if x.query_id == 0} == {"s2"} and {x.source for x in got if x.query_id == 3} <= {"s0", "s1"}
+    assert sum(x.query_id == 0 for x in got) >= 3 and {x.query_id for x in got} == set(range(6))
