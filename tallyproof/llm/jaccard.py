@@ -1,9 +1,10 @@
 """Join of documents by Jaccard similarity of their word n-grams, with a token-group matrix.
 
-Equal sets form one class. Similar classes are gathered into groups of bounded size; the matrix says which group holds
-which token. A query class meets only groups that share one of its prefix tokens (any two similar sets do) and whose
-sizes allow a match. There, the overlap of the query with the union of the group's tokens bounds its overlap with
-every member; only groups whose bound reaches the threshold are opened, and members are counted exactly.
+Equal sets form one class. Similar classes are gathered into groups of bounded size; the matrix holds the union of each
+group's tokens, folded to bits. A query class meets only groups that share one of its prefix tokens (any two similar sets do) and whose
+sizes allow a match. Every bit of the query that the group lacks is a token no member has, which bounds the overlap
+with all of them; only groups whose bound reaches the threshold are opened. There the bound is taken once more with
+the tokens themselves, and members are counted exactly.
 
 * Tokens are ordered by a frequency sketch, rare ones first, so that passages, lines and phrases many documents share
   stay out of the prefixes. The order decides only the cost: any order gives the same links.
@@ -21,13 +22,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyproof.llm.common import components, small_batches, stored
 
 WORDS, PERCENT = 5, 80
 #: Classes in a group, queries in a slice, buckets of the frequency sketch (two to this power).
 GROUP_ROWS, SLICE_ROWS, SKETCH_BITS = 64, 512, 20
+#: Long words of bits to which the tokens of a class, and their union over a group, are folded.
+FOLD = 16
+BITS = [f"b{i}" for i in range(FOLD)]
 NO_ID = -(1 << 63)
 GOLDEN = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
 
@@ -95,7 +99,7 @@ def sets(base: DataFrame, n_words: int, bits: int) -> tuple[DataFrame, np.ndarra
 
 
 def prefixes(base: DataFrame, levels: np.ndarray, n_words: int, percent: int) -> DataFrame:
-    """``(doc_id, row, n, centre, prefix)``: the rarest tokens, as many as hold one of every similar set, in order, and how frequent the tokens are on average."""
+    """``(doc_id, row, n, centre, prefix, folded)``: the rarest tokens, as many as hold one of every similar set, in order, how frequent the tokens are on average, and all of them as bits."""
     shared, shift = base.sparkSession.sparkContext.broadcast(levels), np.uint64(64 - int(len(levels) - 1).bit_length())
 
     def run(batches):
@@ -105,12 +109,19 @@ def prefixes(base: DataFrame, levels: np.ndarray, n_words: int, percent: int) ->
                 t = tokens_of(text.as_py(), n_words)
                 level = shared.value[(t >> shift).astype(np.int64)]
                 most = len(t) - (percent * len(t) + 99) // 100 + 1 if len(t) else 0
-                out.append((len(t), float(level.mean()) if len(t) else 0.0, t[np.lexsort((t, level))[:most]].view(np.int64)))
-            n, centre, prefix = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(centre, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))],
-                                             ["doc_id", "row", "n", "centre", "prefix"])
+                fold = np.zeros(64 * FOLD, bool)
+                fold[(t % np.uint64(64 * FOLD)).astype(np.int64)] = True
+                out.append((len(t), float(level.mean()) if len(t) else 0.0, t[np.lexsort((t, level))[:most]].view(np.int64), np.packbits(fold).view(np.int64)))
+            n, centre, prefix, folded = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(centre, pa.float64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(folded, pa.list_(pa.int64()))],
+                                             ["doc_id", "row", "n", "centre", "prefix", "folded"])
 
-    return base.mapInArrow(run, "doc_id bigint, row bigint, n bigint, centre double, prefix array<bigint>")
+    return base.mapInArrow(run, "doc_id bigint, row bigint, n bigint, centre double, prefix array<bigint>, folded array<bigint>")
+
+
+def lacks(other: str) -> Column:
+    """How many bits of a row the bits with this prefix lack: at least so many of its tokens are not there."""
+    return sum((F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.col(f"{other}{b}")))) for b in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseAND(F.bitwise_not(F.col(f"{other}{BITS[0]}")))))
 
 
 def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -179,7 +190,7 @@ def similar(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, group
     classes = stored(classes.select("mark", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("cls")), "jaccard-classes")
 
     own = prefixes(base, levels, n_words, percent).join(classes.select("doc_id", "row", "cls").hint("merge"), ["doc_id", "row"])
-    own = stored(own.select("cls", "n", "centre", "prefix"), "jaccard-prefixes")
+    own = stored(own.select("cls", "n", "centre", "prefix", *[F.get("folded", F.lit(i)).alias(b) for i, b in enumerate(BITS)]), "jaccard-prefixes")
     tokens = own.select("cls", "n", "centre", F.posexplode("prefix").alias("pos", "token"))
     tokens = tokens.withColumn("rest", F.col("n") - F.col("pos")).drop("pos")
     met = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"),
@@ -190,7 +201,10 @@ def similar(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, group
     able = ((100 * F.col("g_low") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_low"))
             & (F.least("rest", "g_rest") >= (F.col("n") + F.col("g_low")) * percent / (100 + percent)))
     votes = tokens.groupBy("cls", "leader").agg(F.count_if(able).alias("votes"))
-    star = stored(votes.where("votes > 0 and cls <> leader"), "jaccard-star")
+    bits = own.select("cls", "n", *BITS)
+    heads = bits.select(F.col("cls").alias("leader"), F.col("n").alias("g_low"), *[F.col(b).alias(f"g_{b}") for b in BITS])
+    star = votes.where("votes > 0 and cls <> leader").join(bits.hint("merge"), "cls").join(heads.hint("merge"), "leader")
+    star = stored(star.where(F.col("n") - lacks("g_") >= (F.col("n") + F.col("g_low")) * percent / (100 + percent)).select("cls", "leader"), "jaccard-star")
     # every class that shares a prefix token: its family is the leader it shares most tokens with, or itself
     own_leader = F.struct("votes", -F.col("leader"))
     family = votes.groupBy("cls").agg(F.max_by("leader", own_leader).alias("family"), F.max("votes").alias("votes"))
@@ -222,7 +236,10 @@ def similar(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, group
              & ~((F.col("c_low") == F.col("comp")) & (F.col("c_high") == F.col("comp")))
              & (100 * F.col("g_high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_low"))
              & (F.least("rest", "g_rest") >= need))
-    asked = stored(mixed.join(matrix.hint("merge"), meets).select(F.col("g_gid").alias("gid"), "cls", "comp").distinct(), "jaccard-queries")
+    asked = mixed.join(matrix.hint("merge"), meets).select(F.col("g_gid").alias("gid"), "cls", "comp").distinct()
+    union = placed.join(bits.hint("merge"), "cls").groupBy("gid").agg(*[F.bit_or(b).alias(f"g_{b}") for b in BITS])
+    asked = asked.join(bits.hint("merge"), "cls").join(union.hint("merge"), "gid").where(100 * (F.col("n") - lacks("g_")) >= percent * F.col("n"))
+    asked = stored(asked.select("gid", "cls", "comp"), "jaccard-queries")
     more = open_groups(placed.join(asked.select("gid").distinct().hint("merge"), "gid").select("gid", "cls", "comp"), asked, texts, n_words, percent)
 
     roots = components(links.union(more)).withColumnRenamed("id", "cls")
