@@ -23,7 +23,7 @@ ROWS_PER_CLASS = 2_000
 #: A feature is used if its log odds differ by so many standard errors.
 LEAST_Z = 3.0
 REJECT_AT = 0.5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Lines shorter than this have no style of their own.
 LINE_BYTES = 40
 HEADS = ("junk", "toxic")

@@ -13,8 +13,8 @@ import numpy as np
 from tallyproof.llm.common import worker_store
 
 BREAKS = re.compile("[ \n]+")
-#: Pieces kept in a worker's cache; when full it starts anew.
-CACHE_PIECES = 1_000_000
+#: Pieces in one generation of a worker's cache, which keeps two: what is used again moves to the younger one.
+CACHE_PIECES = 200_000
 
 
 def encoder(path: str, cache_pieces: int = CACHE_PIECES):
@@ -31,10 +31,16 @@ def encoder(path: str, cache_pieces: int = CACHE_PIECES):
     tok = Tokenizer.from_file(path)
 
     class Pieces(dict):
+        older: dict = {}
+
         def __missing__(self, piece):
             if len(self) >= cache_pieces:
+                self.older = dict(self)
                 self.clear()
-            if piece[-1:] in (".", ",") and piece[:-1].isalpha():  # letters and marks are separate words to it
+            ids = self.older.get(piece)
+            if ids is not None:
+                pass
+            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():  # letters and marks are separate words to it
                 ids = self[piece[:-1]] + self[piece[-1]]
             else:
                 ids = np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
