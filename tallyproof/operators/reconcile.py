@@ -59,31 +59,48 @@ def _by_rank(d: DataFrame, keys: list[str]) -> DataFrame:
     return i.join(l, keys + ["k"], "left").select("tenant_id", "seq", "l_seq")
 
 
+def _second(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Smallest and second smallest ``value`` per key."""
+    least = pairs.groupBy(*keys).agg(F.min(value).alias(name))
+    more = pairs.join(least, keys).where(F.col(value) > F.col(name)).groupBy(*keys).agg(F.min(value).alias(f"{name}_next"))
+    return least.join(more, keys, "left")
+
+
 def _rounds(d: DataFrame) -> DataFrame:
     """Mutual choice in rounds for islands too large for one task.
 
     Rows with the same amount and date have the same partners, so each round looks at such *cells* only: an invoice
-    cell meets at most 201 amounts times the days of its window, however many rows the cells hold. The first free
-    invoice of a cell and the first free inflow of a cell pair up when each is the other's earliest.
+    cell meets at most 201 amounts times the days of its window, however many rows the cells hold. Where the first free
+    rows of two cells are each other's earliest, the k-th rows of both pair up as long as no other cell has an earlier
+    row to offer either of them. Cells of equal fees are settled in one round, whatever their size.
     """
     spark = d.sparkSession
     left = cut(d)
     done: DataFrame | None = None
-    cell = ISLAND + ["cents", "day", "days"]
+    cell = ["cents", "day", "days"]
     while True:
-        i = left.where("side = 'i'").groupBy(*cell).agg(F.min("seq").alias("seq"))
-        l = left.where("side = 'l'").groupBy(*ISLAND, "cents", "day").agg(F.min("seq").alias("l_seq"))
+        heads = left.groupBy(*ISLAND, "side", *cell).agg(F.min("seq").alias("head"))
+        i = heads.where("side = 'i'").withColumnRenamed("head", "seq")
+        l = heads.where("side = 'l'").select(*ISLAND, F.col("cents").alias("c"), "day", F.col("head").alias("l_seq"))
         near = i.withColumn("c", F.explode(F.sequence(F.col("cents") - 100 * AMOUNT_TOLERANCE, F.col("cents") + 100 * AMOUNT_TOLERANCE)))
-        near = near.withColumnRenamed("day", "i_day").drop("cents")
-        l2 = l.withColumnRenamed("cents", "c")
-        pairs = near.join(l2, ISLAND + ["c"]).where(
-            "i_day is null or day is null or abs(i_day - day) <= days").select(*ISLAND, "seq", "l_seq")
-        pairs = cut(pairs)
-        want = pairs.groupBy(*ISLAND, "seq").agg(F.min("l_seq").alias("l_seq"))
-        back = pairs.groupBy(*ISLAND, "l_seq").agg(F.min("seq").alias("seq"))
-        new = cut(want.join(back, ISLAND + ["seq", "l_seq"]).select("tenant_id", "seq", "l_seq"))
-        if new.isEmpty():
+        near = near.select(*ISLAND, "c", F.col("day").alias("i_day"), "days", "seq")
+        pairs = cut(near.join(l, ISLAND + ["c"]).where("i_day is null or day is null or abs(i_day - day) <= days").select(*ISLAND, "seq", "l_seq"))
+        want = _second(pairs, ISLAND + ["seq"], "l_seq", "best_l")
+        back = _second(pairs, ISLAND + ["l_seq"], "seq", "best_i")
+        mutual = want.withColumnRenamed("best_l", "l_seq").join(back.withColumnRenamed("best_i", "seq"), ISLAND + ["seq", "l_seq"])
+        mutual = cut(mutual.select(*ISLAND, "seq", "l_seq", "best_l_next", "best_i_next"))
+        if mutual.isEmpty():
             break
+        # an invoice must come before the next invoice cell its partner could take, an inflow before the next inflow cell
+        sides = mutual.select(*ISLAND, F.col("seq").alias("pair"), F.explode(F.array(
+            F.struct(F.lit("i").alias("side"), F.col("seq").alias("head"), F.col("best_i_next").alias("bound")),
+            F.struct(F.lit("l").alias("side"), F.col("l_seq").alias("head"), F.col("best_l_next").alias("bound")))).alias("s")).select(*ISLAND, "pair", "s.*")
+        keys = ISLAND + ["side", "cents"]
+        of_cell = heads.join(sides, ISLAND + ["side", "head"]).select(
+            *[F.col(c).alias(f"c_{c}") for c in keys + ["day", "days"]], F.col("pair"), F.col("bound"))
+        on = [F.col(c) == F.col(f"c_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("day", "days")]
+        rows = left.join(of_cell, on).where(F.col("bound").isNull() | (F.col("seq") < F.col("bound"))).select(*ISLAND, "pair", "side", "seq")
+        new = cut(_by_rank(rows, ISLAND + ["pair"]).where("l_seq is not null"))
         done = new if done is None else done.unionByName(new)
         left = left.join(new.select("tenant_id", "seq", F.lit("i").alias("side")), ["tenant_id", "seq", "side"], "left_anti")
         left = left.join(new.select("tenant_id", F.col("l_seq").alias("seq"), F.lit("l").alias("side")), ["tenant_id", "seq", "side"], "left_anti")

@@ -163,3 +163,22 @@ def test_reconciliation_equals_first_fit(spark, seed, task_rows):
     l = led(spark, *[(x["date"], x["ref"], x["amt"], 0) for x in flows])
     got = {r.seq: r.l_seq for r in R.reconcile(i, l, task_rows=task_rows).collect()}
     assert got == twin(invs, flows)
+
+
+def test_cells_of_equal_amounts_settle_in_few_rounds(spark, monkeypatch):
+    """Thousands of equal fees on two days: whole cells pair at once, as first-fit would pair them."""
+    n = 3000
+    i = spark.range(1, n + 1).select(
+        F.lit("T").alias("tenant_id"), F.col("id").alias("seq"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("invoice_number"), F.lit("PAID").alias("status"),
+        F.lit(100).cast("decimal(18,2)").alias("total_amount"), F.expr("date '2024-01-01' + cast(if(id > 2000, 4, 0) as int)").alias("paid_date"), F.lit(None).cast("date").alias("due_date"))
+    l = spark.range(1, n - 9).select(
+        F.lit("T").alias("tenant_id"), F.col("id").alias("seq"), F.lit("").alias("reference"), F.lit(100.5).cast("decimal(18,2)").alias("amount"),
+        F.expr("date '2024-01-01' + cast(if(id <= 1500, 5, 9) as int)").alias("txn_date"))
+    seen = []
+    real = R.cut
+    monkeypatch.setattr(R, "cut", lambda df: seen.append(1) or real(df))
+    got = {r.seq: r.l_seq for r in R.reconcile(i, l, task_rows=0).collect()}
+    # the first day's invoices reach only the first day's inflows (5 days), the others both
+    want = {k: k for k in range(1, 1501)} | {k: None for k in range(1501, 2001)} | {k: k - 500 for k in range(2001, n + 1)}
+    want = {k: (v if v and v < n - 9 else None) for k, v in want.items()}
+    assert got == want and len(seen) < 30
