@@ -34,10 +34,6 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def with_terms(questions: DataFrame) -> DataFrame:
-    return questions.select("query_id", F.explode(query_terms(F.col("q"))).alias("term"))
-
-
 class _Best:
     """The best ``pool`` (key, score) pairs per question seen so far in a task, ties to the smaller key."""
 

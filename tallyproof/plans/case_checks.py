@@ -202,9 +202,6 @@ def _bank_ref(spark, sf):
 
 
 # Every check whose rule SQL can state, combined (BANK-01 is greedy and has no SQL form).
-_ALL_SQL = None
-
-
 def _score_parts() -> str:
     parts = []
     for k, sql in {**CHECK_SQL, **{c: _ratio_sql(c) for c in RATIO_SQL}, "FORENSIC-02": BENFORD_SQL, "RISK-01": RISK1_SQL}.items():

@@ -131,11 +131,16 @@ def first_rows(rows: DataFrame, key: str) -> DataFrame:
     return first_per_key(rows.where(F.coalesce(F.col(key), F.lit("")) != ""), ["tenant_id", key], ["seq"])
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def replace_cases(rows: DataFrame, path: str, key: str) -> DataFrame:
     """Full replace per case: only the partitions of the cases at hand are overwritten. Returns row counts per case."""
     d = first_rows(rows, key)
-    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
-    return d.groupBy("tenant_id").agg(F.count("*").alias("n"))
+    slices = F.floor(F.col("seq") / ROWS_PER_FILE)  # a case is one file for each so many rows, however many tasks there are
+    d.repartition("tenant_id", slices).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
+    stored = rows.sparkSession.read.schema(d.schema).parquet(path)
+    return stored.join(rows.select("tenant_id").distinct(), "tenant_id", "left_semi").groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -111,6 +111,7 @@ def ingest_stream(files: DataFrame, path: str, progress: str) -> None:
     and postings. Reading the table takes the last batch of every source (last writer wins)."""
     def on_batch(b: DataFrame, batch: int) -> None:
         latest = b.groupBy("source").agg(F.max_by(F.struct("category", "text"), "seen_at").alias("d")).select("source", "d.*")
+        latest.select("source").write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
         ingest_batch(latest).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
         c = b.sparkSession.read.parquet(f"{path}/chunks/batch={batch}")
         p = R.postings(c.select(F.struct("source", "chunk_index").alias("chunk_id"), F.lit("").alias("category"), F.col("parent_content").alias("text")))
@@ -121,6 +122,7 @@ def ingest_stream(files: DataFrame, path: str, progress: str) -> None:
 
 
 def current_chunks(spark: SparkSession, path: str, table: str = "chunks") -> DataFrame:
+    """Rows of each source's last batch; a version without chunks takes the chunks before it away."""
     d = spark.read.parquet(f"{path}/{table}")
-    last = spark.read.parquet(f"{path}/chunks").groupBy("source").agg(F.max("batch").alias("batch"))
+    last = spark.read.parquet(f"{path}/seen").groupBy("source").agg(F.max("batch").alias("batch"))
     return d.join(last, ["source", "batch"], "left_semi").drop("batch")
