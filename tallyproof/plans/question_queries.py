@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.text import largest_amount
-from ..operators import evidence as E, governance as G, questions as Q
+from ..operators import checks, evidence as E, governance as G, questions as Q
 from ..sources import driver_tables as D
 from . import texts as X
+from .case_checks import CHECK_SQL
 from .adapters_sql import with_tables
 from .registry import query
 
@@ -237,8 +238,11 @@ def _assert(spark, sf):
     return E.assertions(stated(spark, sf), ["answer_id"], "answer")
 
 
-AUDIT_SQL = with_tables("inv", "con", extra=STATED_SQL + """,
-bad as (select distinct tenant_id from inv where seller_ban = buyer_ban), cases as (select distinct tenant_id from inv),
+# Every critical check but BANK-01, which has no SQL form.
+CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical" and k in CHECK_SQL]
+
+AUDIT_SQL = with_tables("inv", "con", "led", extra=STATED_SQL + """,
+bad as (select distinct tenant_id from (""" + " union all ".join(f"select tenant_id, passed from ({CHECK_SQL[k]}) q" for k in CRITICAL) + """) c where not passed), cases as (select distinct tenant_id from inv),
 terms as (select tenant_id, cast(payment_terms_days as varchar) as v from inv union select tenant_id, cast(payment_terms_days as varchar) from con),
 known as (select tenant_id, buyer_ban as v from inv union select tenant_id, seller_ban from inv),
 aud as (select answer_id, 'AUD-01' as audit_id, 'contradiction' as severity, value from asserted a where kind='payment_terms' and tenant_id in (select tenant_id from cases) and not exists (select 1 from terms t where t.tenant_id=a.tenant_id and t.v=value)
@@ -248,9 +252,8 @@ aud as (select answer_id, 'AUD-01' as audit_id, 'contradiction' as severity, val
 
 
 def _audit(spark, sf):
-    from ..operators import checks as C
     inv, con = D.invoices(spark, sf), D.contracts(spark, sf)
-    bad = C.row_violations(inv, None, D.AS_OF, ["FRAUD-01"]).select("tenant_id").distinct()
+    bad = checks.findings(inv, con, D.ledger(spark, sf), D.AS_OF, CRITICAL).where("severity = 'critical' and not passed").select("tenant_id").distinct()
     a = stated(spark, sf)
     return a, E.audit_answers(a, inv, con, bad)
 
