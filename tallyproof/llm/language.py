@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyproof.llm.common import SLOTS, small_batches
 
-#: At most so many labelled documents of each language are learnt from; one in ten of them only calibrates.
+#: Expected number of labelled documents of each language that are learnt from; one in ten of them only calibrates.
 ROWS_PER_LANGUAGE = 1_000
 BITS, DIM, EPOCHS, RATE, BATCH = 16, 16, 4, 0.6, 32
 #: Each training text also gives so many stretches of so many characters.
@@ -53,7 +53,7 @@ def examples(docs: DataFrame, rows: int) -> DataFrame:
     able = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     known = docs.select("doc_id", "lang", "text").where(able).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
     sizes = known.groupBy("lang").count()
-    picked = known.join(F.broadcast(sizes), "lang").where(F.col("h") < (2.0 * rows + 50) / F.col("count") * SLOTS)
+    picked = known.join(F.broadcast(sizes), "lang").where(F.col("h") < float(rows) / F.col("count") * SLOTS)
 
     def run(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Expected number of documents in the training sample, of windows without a secret, and tokens of a window.
-SAMPLE_ROWS, PLAIN_WINDOWS, WINDOW = 20_000, 6_000, 48
+SAMPLE_ROWS, PLAIN_WINDOWS, WINDOW = 12_000, 6_000, 48
 CACHE_CHUNKS = 200_000
 TOKEN = re.compile(r"[A-Za-z0-9_+/=.\-]+|[^\sA-Za-z0-9_+/=.\-]")
 KEY_WORDS = frozenset("password passwd pwd secret token apikey api_key key auth bearer credential credentials".split())
