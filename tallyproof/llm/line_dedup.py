@@ -5,6 +5,9 @@ smaller than that of both neighbours, so chunks have several lines, about three,
 of a repeated passage begin and end alike wherever it stands in a document. Chunks of several lines that occur more
 than once in the corpus are found by hash; those candidates are grouped by their bytes, and of equal chunks only the
 first by (document, position) stays. A line of over 50 words is a passage by itself: it is always a chunk of its own and counts.
+
+``line_runs`` needs no chunks to agree: it compares all pairs of neighbouring lines, so each run of two or more lines that
+stood earlier in the corpus goes whole.
 """
 
 from __future__ import annotations
@@ -82,3 +85,57 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(lines).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"), n_gone.cast("bigint").alias("n_removed_lines"))
+
+
+def bodies(lines: Column) -> Column:
+    """``(low, high, body)`` of each pair of neighbouring lines and each long line, without those of white space alone."""
+    pairs = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda line, i: F.struct(
+        i.alias("low"), (i + 2).alias("high"), F.concat(F.get(lines, i), F.lit("\n"), line).alias("body")))
+    alone = F.transform(lines, lambda line, i: F.struct(i.alias("low"), (i + 1).alias("high"), line.alias("body")))
+    return F.filter(F.concat(pairs, F.filter(alone, lambda p: long_line(p["body"]))), lambda p: F.trim(p["body"], F.lit(" \t\r\n")) != "")
+
+
+def merged(spans: Column) -> Column:
+    """Spans ``(low, high)`` that touch or overlap as one."""
+    empty = F.array().cast("array<struct<low:int,high:int>>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+    return F.aggregate(F.array_sort(spans), empty, lambda a, g: F.when(
+        (F.size(a) > 0) & (last(a)["high"] >= g["low"]),
+        F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["low"].alias("low"), F.greatest(last(a)["high"], g["high"]).alias("high")))),
+    ).otherwise(F.concat(a, F.array(g))))
+
+
+def line_runs(docs: DataFrame) -> DataFrame:
+    """Columns and rows of ``line_dedup``, by runs: a line goes if it stands in a pair of neighbouring lines that stood
+    earlier in the corpus by (document, position), or is a long line that did. So of every repeated run of two or more
+    lines only the first stays, whatever stands beside it, and the first of equal lines always stays. Pairs are found by hash
+    and compared by bytes. ``n_removed_chunks`` counts runs of removed lines. The lists gathered are places in one
+    document, at most two for each of its lines.
+    """
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def beside(places: DataFrame, name: str, how: str) -> DataFrame:
+        listed = places.select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"), name)
+        return base.join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row")), how).drop("g_id", "g_row")
+
+    hashes = base.select("doc_id", "row", F.explode(F.transform(bodies(lines), lambda p: F.struct(
+        p["low"].alias("low"), p["high"].alias("high"), F.xxhash64(p["body"]).alias("h")))).alias("p")).select("doc_id", "row", "p.*")
+    hashes = stored(hashes, "run-hashes")
+    often = hashes.groupBy("h").count().where("count > 1").select("h")
+    places = hashes.join(often.hint("merge"), "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high")).alias("places"))
+    pieces = beside(places, "places", "inner").select("doc_id", "row", lines.alias("lines"), "places").select("doc_id", "row", F.explode(F.transform("places", lambda p: F.struct(
+        p["low"].alias("low"), p["high"].alias("high"), F.array_join(F.slice("lines", p["low"] + 1, p["high"] - p["low"]), "\n").alias("body")))).alias("p"))
+    pieces = stored(pieces.select("doc_id", "row", "p.*"), "run-candidates")
+    first = pieces.groupBy("body").agg(F.min(F.struct("doc_id", "low", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("body", "first"), "run-first")
+    later = pieces.join(first.hint("merge"), "body").where(~F.struct("doc_id", "low", "row").eqNullSafe(F.col("first")))
+    gone = later.groupBy("doc_id", "row").agg(merged(F.collect_set(F.struct("low", "high"))).alias("gone"))
+    both = beside(gone, "gone", "left")
+    kept = F.filter(lines, lambda line, i: ~F.exists("gone", lambda g: (i >= g["low"]) & (i < g["high"])))
+    n_gone = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["high"] - g["low"]), F.lit(0))
+    return both.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(lines).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"), n_gone.cast("bigint").alias("n_removed_lines"))

@@ -99,6 +99,28 @@ def _(spark, sf):
     return kept.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+RUNS_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
+p as (select doc_id, i, s, s || chr(10) || lead(s) over (partition by doc_id order by i) pair, len(string_split(s, ' ')) > 50 long from l),
+b as (select doc_id, i, 1 more, pair body from p where pair is not null union all select doc_id, i, 0, s from p where long),
+k as (select *, row_number() over (partition by body order by doc_id, i) place from b where trim(body, chr(32) || chr(9) || chr(10) || chr(13)) <> ''),
+gone as (select distinct doc_id, unnest(range(i, i + more + 1)) i from k where place > 1),
+kept as (select doc_id, string_agg(s, chr(10) order by i) t from p anti join gone using (doc_id, i) group by 1),
+total as (select doc_id, count(*) n_lines from l group by 1),
+lost as (select doc_id, count(*) filter (where before is null or before < i - 1) n_removed_chunks, count(*) n_removed_lines
+  from (select doc_id, i, lag(i) over (partition by doc_id order by i) before from gone) group by 1)
+select doc_id, n_lines, coalesce(n_removed_chunks, 0) n_removed_chunks, coalesce(n_removed_lines, 0) n_removed_lines, cast(length(coalesce(t, '')) as bigint) n_chars, sha256(coalesce(t, '')) text_sha256
+from total left join lost using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op10_line_runs", RUNS_SQL)
+def _(spark, sf):
+    kept = line_dedup.line_runs(table(spark, sf, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 LICENSE_SQL = r"""
 with t as (select * from (values %s) v(license, template, body)),
 w as (select license, template, regexp_extract_all(lower(body), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from t),

@@ -269,6 +269,28 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
+def test_line_runs(spark, n):
+    passage = [f"shared line {i} of a passage that is told again and again in many of the {i} documents of the whole corpus so that even two such lines have over fifty words" for i in range(n)]
+    assert len(" ".join(passage).split()) > 50
+    near = [[f"own line {k} {x} of document {d}" for x in range(2)] for d in range(12) for k in (0, 1)]
+    texts = [(d, "\n".join(near[2 * d] + passage + near[2 * d + 1])) for d in range(12)]
+    got = {r.doc_id: r for r in line_dedup.line_runs(docs(spark, texts)).collect()}
+    assert got[0].text == texts[0][1] and got[0].n_removed_lines == 0
+    assert all(got[d].text.split("\n") == near[2 * d] + near[2 * d + 1] and got[d].n_removed_lines == n and got[d].n_removed_chunks == 1 for d in range(1, 12))
+
+
+def test_line_runs_overlap(spark):
+    long = "one very long line " * 15
+    texts = [(1, "a\nb\nc"), (2, "a\nb\ny"), (3, "x\nb\nc"), (4, "c\n\n\n\n"), (5, "\n\nb\n\n"), (6, long), (7, "own\n" + long + "\nown too"), *[(i + 10 if i else None, t) for i, t in ODD]]
+    rows = line_dedup.line_runs(docs(spark, texts)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) and [got[i].text for i in (1, 2, 3)] == ["a\nb\nc", "y", "x"]
+    assert got[4].text == texts[3][1] and got[5].text == texts[4][1] and got[6].text == long and got[7].text == "own\nown too"
+    assert got[11].text is None and all(got[i + 10].text == t for i, t in ODD if i)
+    assert line_dedup.line_runs(docs(spark, [])).count() == 0
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------------
 
 def tongue(rng, syllables, n):
