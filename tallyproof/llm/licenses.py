@@ -36,6 +36,18 @@ TEMPLATES = [
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 ]
 
+#: Headers and notices besides; with them each version and family that a notice may name has a template of its own.
+NOTICES = TEMPLATES + [
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-only", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+]
+#: Words that tell licenses apart, in lower-case words parted by single spaces.
+IDENTITY = r"\b(?:library general|by nc|by sa|by nd|by [1-9]|lesser|affero|later|sa|nc|nd|sharealike|noncommercial|noderivatives|apache|mit|bsd|mozilla|cc0|v?[1-9])\b"
+
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -52,6 +64,12 @@ def with_bigrams(df: DataFrame, unit: str) -> DataFrame:
     return w.withColumn("pairs", F.zip_with(F.slice("_w", 1, most), F.slice("_w", 2, most), lambda a, b: F.concat(a, F.lit(" "), b))).drop("_w")
 
 
+def identity(unit: Column) -> Column:
+    """The distinct identifying words of a unit, sorted; ``v3`` and ``3`` are one."""
+    found = F.regexp_extract_all(F.array_join(words(unit), " "), F.lit(IDENTITY), F.lit(0))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^v", "")))), ",")
+
+
 def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``(license, template, size, pair, uses)`` of a fixed list of templates; those of fewer than two words are left out."""
     listed = spark.createDataFrame([(a, i, b) for i, (a, b) in enumerate(rows)], "license string, template int, body string")
@@ -64,11 +82,13 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
 
 
-def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, alike: bool = False) -> DataFrame:
     """``(doc_id, row, license, template, dice, n_units)``: the templates that units of a document reach, with the best
     score and how many distinct units reach it. Repeated bigrams count as often as they stand in both. ``row`` hashes
     the text. Documents without a match have no row, as have null and empty texts. A null ``doc_id`` stays null. Rows
-    that repeat id and text count as one. Case and marks do not matter, the order of words does.
+    that repeat id and text count as one. Case and marks do not matter, the order of words does. With ``alike`` the identifying
+    words of a unit must be those of the template, and a unit counts for its best template only (then the longest, then the
+    first by name).
     """
     known = templates(docs.sparkSession, rows)
     sizes = known.agg(F.min("size"), F.max("size")).first()
@@ -79,19 +99,28 @@ def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, thres
     short = F.filter(units(F.col("text")), lambda u: F.size(F.split(u, SEPARATORS, most)) < most)
     found = base.select("doc_id", F.xxhash64("text").alias("row"), F.explode(short).alias("unit"))
     found = with_bigrams(found, "unit").withColumn("n", F.size("pairs")).where(F.col("n").between(low, high))
-    pairs = found.select("doc_id", "row", F.xxhash64("unit").alias("unit"), "n", F.explode("pairs").alias("pair"))
+    named = identity(F.col("unit")) if alike else F.lit("")
+    pairs = found.select("doc_id", "row", F.xxhash64("unit").alias("unit"), "n", named.alias("named"), F.explode("pairs").alias("pair"))
+    if alike:
+        own = docs.sparkSession.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "template int, body string")
+        known = known.join(F.broadcast(own.select("template", identity(F.col("body")).alias("name"))), "template")
+    else:
+        known = known.withColumn("name", F.lit(""))
     fits = (F.col("size") >= F.col("n") * threshold / (2 - threshold)) & (F.col("size") <= F.col("n") * (2 - threshold) / threshold)
     keys = ["doc_id", "row", "unit", "n", "license", "template", "size"]
-    shared = pairs.join(F.broadcast(known), "pair").where(fits).groupBy(*keys, "pair", "uses").agg(F.count("*").alias("own"))
+    shared = pairs.join(F.broadcast(known), "pair").where(fits & (F.col("named") == F.col("name"))).groupBy(*keys, "pair", "uses").agg(F.count("*").alias("own"))
     shared = shared.groupBy(*keys).agg(F.sum(F.least("own", "uses")).alias("common"))
     shared = shared.withColumn("dice", F.col("common") * 2.0 / (F.col("n") + F.col("size"))).where(F.col("dice") >= threshold)
+    if alike:
+        best = F.min_by(F.struct("license", "template", "dice"), F.struct(-F.col("dice"), -F.col("size"), F.col("license")))
+        shared = shared.groupBy("doc_id", "row", "unit").agg(best.alias("best")).select("doc_id", "row", "best.*")
     return shared.groupBy("doc_id", "row", "license", "template").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
 
 
-def licenses(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def licenses(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, alike: bool = False) -> DataFrame:
     """``(doc_id, license, dice, n_licenses, licenses)``, one row per row of ``docs``: the best match (then the first
     license by name), and all licenses found, sorted. Without a match ``license`` and ``dice`` are null, the list empty."""
-    found = license_scan(docs, rows, threshold)
+    found = license_scan(docs, rows, threshold, alike)
     best = found.groupBy("doc_id", "row").agg(
         F.max(F.struct("dice")).alias("top"), F.min_by("license", F.struct(-F.col("dice"), F.col("license"))).alias("license"),
         F.array_sort(F.collect_set("license")).alias("licenses"))

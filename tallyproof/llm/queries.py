@@ -142,6 +142,29 @@ def _(spark, sf):
     return licenses.licenses(table(spark, sf, "documents")).withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
+IDENTITY_SQL = "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(w, ' '), '%s'), lambda x: regexp_replace(x, '^v', '')))), ',')" % licenses.IDENTITY
+NOTICE_SQL = r"""
+with t as (select * from (values %s) v(license, template, body)),
+w as (select license, template, regexp_extract_all(lower(body), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from t),
+tp as (select license, template, IDENTITY named, len(w) - 1 size, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) pair from w),
+tc as (select license, template, named, size, pair, count(*) uses from tp group by all),
+u as (select distinct doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text])) u from documents),
+uw as (select doc_id, u, regexp_extract_all(lower(u), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from u),
+up as (select doc_id, u, IDENTITY named, len(w) - 1 n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) pair from uw where len(w) between 2 and 400),
+uc as (select doc_id, u, named, n, pair, count(*) own from up group by all),
+s as (select doc_id, u, license, template, size, 2.0::double * sum(least(own, uses)) / (n + size) dice from uc join tc using (named, pair) group by doc_id, u, license, template, n, size),
+o as (select *, row_number() over (partition by doc_id, u order by dice desc, size desc, license) place from s where dice >= 0.8),
+f as (select doc_id, license, max(dice) dice from o where place = 1 group by 1, 2),
+b as (select doc_id, arg_min(license, (-dice, license)) license, max(dice) dice, count(*) n_licenses, string_agg(license, ',' order by license) licenses from f group by 1)
+select doc_id, license, dice, coalesce(n_licenses, 0) n_licenses, coalesce(licenses, '') licenses from documents left join b using (doc_id)
+""".replace("IDENTITY", IDENTITY_SQL.replace("%", "%%")) % ", ".join("('%s', %d, '%s')" % (a, i, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.NOTICES))
+
+
+@query("op6_license_notices", NOTICE_SQL)
+def _(spark, sf):
+    return licenses.licenses(table(spark, sf, "documents"), licenses.NOTICES, alike=True).withColumn("licenses", F.concat_ws(",", "licenses"))
+
+
 JACCARD_SQL = r"""
 with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 s as (select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) g from w where len(w) > 0),

@@ -269,6 +269,16 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_license_notices_name_one_license(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU %s Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    texts = [(1, "words\nThis work is licensed under the GNU General Public License, version 3.\nmore"), (2, gpl % ("General", "2")), (3, gpl % ("Lesser General", "2.1")), (4, gpl % ("Library General", "2")),
+             (5, gpl % ("Affero General", "3")), (6, "Licensed under CC BY-SA 4.0."), (7, "Licensed under CC BY 4.0."), (8, "Licensed under CC BY-NC-SA 4.0."), (9, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."),
+             (10, "This work is licensed under a Creative Commons Attribution 3.0 International License."), (11, "This work is licensed under the GNU General Public License v3.")]
+    got = {r.doc_id: r.licenses for r in licenses.licenses(docs(spark, texts), licenses.NOTICES, alike=True).collect()}
+    assert got == {1: ["GPL-3.0-only"], 2: ["GPL-2.0-or-later"], 3: ["LGPL-2.1-or-later"], 4: ["LGPL-2.0-or-later"], 5: ["AGPL-3.0-or-later"], 6: ["CC-BY-SA-4.0"],
+                   7: ["CC-BY-4.0"], 8: [], 9: ["CC-BY-NC-4.0", "MIT"], 10: [], 11: ["GPL-3.0-only"]}
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
 def test_line_runs(spark, n):
     passage = [f"shared line {i} of a passage that is told again and again in many of the {i} documents of the whole corpus so that even two such lines have over fifty words" for i in range(n)]
