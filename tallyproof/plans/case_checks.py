@@ -221,7 +221,7 @@ def _bank_ref(spark, sf):
     return by_reference(D.invoices(spark, sf), D.ledger(spark, sf))
 
 
-# Every check but BANK-01, combined.
+# Every check but BANK-01, combined; queries named ..._with_bank have all of them.
 def _score_parts() -> str:
     parts = []
     for k, sql in {**CHECK_SQL, **{c: _ratio_sql(c) for c in RATIO_SQL}, "FORENSIC-02": BENFORD_SQL, "RISK-01": RISK1_SQL}.items():
@@ -257,32 +257,49 @@ def scorecard_full(spark, sf):
     return C.scorecard(C.findings(inv, con, led, D.AS_OF), C.count_documents(inv, con, led))
 
 
+ALL_FOUND_SQL = f"found as ({_score_parts()} union all select tenant_id, check_id, severity, passed from ({BANK_SQL}) q_bank)"
+
 _GROUP_CASE = "case " + " ".join(f"when split_part(check_id,'-',1) in ({','.join(repr(p) for p in ps)}) then '{g}'" for g, ps in C.CHECK_GROUPS.items()) + " else 'other' end"
 
 
-@query("C29_group_rollup", with_tables("inv", "con", "led", extra=FOUND_SQL) + f"""
+GROUP_SQL = with_tables("inv", "con", "led", extra=FOUND_SQL) + f"""
 select tenant_id, {_GROUP_CASE} as check_group,
   case max(case when passed then 0 when severity='critical' then 2 else 1 end) when 2 then 'critical' when 1 then 'warning' else 'good' end as status,
-  count(*) filter (where passed) as n_passed, count(*) as n_total from found group by 1, 2""")
+  count(*) filter (where passed) as n_passed, count(*) as n_total from found group by 1, 2"""
+
+
+@query("C29_group_rollup", GROUP_SQL)
 def _groups(spark, sf):
     inv, con, led = _load(spark, sf)
     return C.group_rollup(C.findings(inv, con, led, D.AS_OF, SQL_CHECKS))
 
 
+@query("C29_group_rollup_with_bank", GROUP_SQL.replace(FOUND_SQL, ALL_FOUND_SQL))
+def _all_groups(spark, sf):
+    inv, con, led = _load(spark, sf)
+    return C.group_rollup(C.findings(inv, con, led, D.AS_OF))
+
+
 # Questions of the case desk, spread over the cases: a fixed phrase per case decides what is asked.
 PHRASES = ["金額算術哪裡不對", "重複請款有幾筆", "FORENSIC 有沒有問題", "逾期和呆帳", "天氣如何"]
 
 
-@query("C30_focus_findings", with_tables("inv", "con", "led", extra=FOUND_SQL + """,
+FOCUS_SQL = with_tables("inv", "con", "led", extra=FOUND_SQL + """,
 q as (select 'Q-' || tenant_id as question_id, tenant_id,
   case cast(substr(tenant_id,6) as bigint) % 5 """ + " ".join(
     f"when {i} then '{'|'.join(p for p, ws in C.CHECK_ALIASES.items() if p.lower() in t.lower() or any(w in t for w in ws))}'" for i, t in enumerate(PHRASES)) + """ end as asked
   from (select distinct tenant_id from inv) z)""") + """
 select question_id, q.tenant_id, check_id, case when list_contains(string_split(asked,'|'), split_part(check_id,'-',1)) then 0 else 1 end as tier, severity, passed
-from q join found f on f.tenant_id=q.tenant_id where list_contains(string_split(asked,'|'), split_part(check_id,'-',1)) or not passed""")
-def _focus(spark, sf):
+from q join found f on f.tenant_id=q.tenant_id where list_contains(string_split(asked,'|'), split_part(check_id,'-',1)) or not passed"""
+
+
+def focus(spark, sf, which):
     inv, con, led = _load(spark, sf)
     t = inv.select("tenant_id").distinct()
     q = t.select(F.concat(F.lit("Q-"), "tenant_id").alias("question_id"), "tenant_id",
                  F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.substring("tenant_id", 6, 20).cast("bigint") % 5 + 1).cast("int")).alias("q"))
-    return C.focus_findings(q, C.findings(inv, con, led, D.AS_OF, SQL_CHECKS)).drop("n_flagged")
+    return C.focus_findings(q, C.findings(inv, con, led, D.AS_OF, which)).drop("n_flagged")
+
+
+query("C30_focus_findings", FOCUS_SQL)(lambda spark, sf: focus(spark, sf, SQL_CHECKS))
+query("C30_focus_findings_with_bank", FOCUS_SQL.replace(FOUND_SQL, ALL_FOUND_SQL))(lambda spark, sf: focus(spark, sf, ORDER))

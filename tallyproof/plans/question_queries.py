@@ -10,7 +10,7 @@ from ..functions.text import largest_amount
 from ..operators import checks, evidence as E, governance as G, questions as Q
 from ..sources import driver_tables as D
 from . import texts as X
-from .case_checks import CHECK_SQL
+from .case_checks import BANK_SQL, CHECK_SQL
 from .adapters_sql import with_tables
 from .registry import query
 
@@ -238,7 +238,7 @@ def _assert(spark, sf):
     return E.assertions(stated(spark, sf), ["answer_id"], "answer")
 
 
-# Every critical check but BANK-01, which has no SQL form.
+# Every critical check but BANK-01; queries named ..._with_bank have all of them.
 CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical" and k in CHECK_SQL]
 
 AUDIT_SQL = with_tables("inv", "con", "led", extra=STATED_SQL + """,
@@ -251,16 +251,23 @@ aud as (select answer_id, 'AUD-01' as audit_id, 'contradiction' as severity, val
  union all select answer_id, 'AUD-04', 'contradiction', '建議送件' from stated where n%5=0 and tenant_id in (select tenant_id from bad))""")
 
 
-def _audit(spark, sf):
+ALL_CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical"]
+_BAD = ") c where not passed), cases as ("
+ALL_AUDIT_SQL = AUDIT_SQL.replace(_BAD, f" union all select tenant_id, passed or severity <> 'critical' from ({BANK_SQL}) q_bank" + _BAD)
+
+
+def _audit(spark, sf, which=CRITICAL):
     inv, con = D.invoices(spark, sf), D.contracts(spark, sf)
-    bad = checks.findings(inv, con, D.ledger(spark, sf), D.AS_OF, CRITICAL).where("severity = 'critical' and not passed").select("tenant_id").distinct()
+    bad = checks.findings(inv, con, D.ledger(spark, sf), D.AS_OF, which).where("severity = 'critical' and not passed").select("tenant_id").distinct()
     a = stated(spark, sf)
     return a, E.audit_answers(a, inv, con, bad)
 
 
 query("E13_answer_audit", AUDIT_SQL + "select * from aud")(lambda spark, sf: _audit(spark, sf)[1])
-query("E13_releasable", AUDIT_SQL + "select s.answer_id, coalesce(a.n,0) as contradictions, a.n is null as releasable from stated s left join (select answer_id, count(*) as n from aud where severity='contradiction' group by 1) a on a.answer_id=s.answer_id")(
-    lambda spark, sf: E.releasable(*_audit(spark, sf)))
+RELEASABLE_SQL = "select s.answer_id, coalesce(a.n,0) as contradictions, a.n is null as releasable from stated s left join (select answer_id, count(*) as n from aud where severity='contradiction' group by 1) a on a.answer_id=s.answer_id"
+query("E13_releasable", AUDIT_SQL + RELEASABLE_SQL)(lambda spark, sf: E.releasable(*_audit(spark, sf)))
+query("E13_answer_audit_with_bank", ALL_AUDIT_SQL + "select * from aud")(lambda spark, sf: _audit(spark, sf, ALL_CRITICAL)[1])
+query("E13_releasable_with_bank", ALL_AUDIT_SQL + RELEASABLE_SQL)(lambda spark, sf: E.releasable(*_audit(spark, sf, ALL_CRITICAL)))
 
 # ---- governance ------------------------------------------------------------------------------------------------------
 AS_OF = dt.date(2024, 1, 15)
