@@ -9,7 +9,7 @@ from ..session import written
 from ..sources import driver_tables as D
 from . import texts as X
 from .adapters_sql import with_tables
-from .case_checks import CHECK_SQL
+from .case_checks import ALL_FOUND_SQL, CHECK_SQL, ORDER
 from .registry import query
 
 FIELDS = ["quality", "total_amount", "issue_date", "lead"]
@@ -165,43 +165,68 @@ fail as (select distinct trial, check_id from f where not passed), ex as (select
 m as (select defect_id, max(expected_check) as expected_check, count(*) as trials, sum(case when exists (select 1 from fail x where x.trial=lab.trial and x.check_id=expected_check) then 1 else 0 end) as hits,
   sum((select count(*) from ex where ex.trial=lab.trial and ex.check_id is distinct from expected_check)) as fp, sum((select n_checks-n_cf from nc) - (select count(*) from ex where ex.trial=lab.trial)) as tn from lab group by 1)""")
 
+# Queries named ..._all_checks have every check.
+ALL_DETECT_SQL = DETECT_SQL.replace(_FOUND, "select tenant_id as trial, check_id, passed from (" + ALL_FOUND_SQL[len("found as ("):-1] + ") q_all")
 
-def _matrix(spark, sf):
+
+def _detected(spark, sf, which):
     inv, con, led = D.invoices(spark, sf), D.contracts(spark, sf), D.ledger(spark, sf)
-    f = written(spark, sf, "detect_findings", lambda: C.findings(inv, con, led, D.AS_OF, MATRIX_CHECKS).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
+    name = "detect_findings" if which is MATRIX_CHECKS else "detect_findings_all"
+    return written(spark, sf, name, lambda: C.findings(inv, con, led, D.AS_OF, which).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
+
+
+def _matrix(spark, sf, which=MATRIX_CHECKS):
+    inv, f = D.invoices(spark, sf), _detected(spark, sf, which)
     n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     lab = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.concat(F.lit("D0"), n.cast("string")).alias("defect_id"),
                                                     F.element_at(F.array(*[F.lit(e).cast("string") for e in EXPECT]), n + 1).alias("expected_check"))
     return V.detection_matrix(f, lab, f.where("trial = 'CASE-0001'"))
 
 
-@query("V12_detection_matrix", DETECT_SQL + " select defect_id, coalesce(expected_check,'') as expected_check, trials, cast(hits as bigint) as hits, cast(fp as bigint) as fp, cast(tn as bigint) as tn, round(hits/trials,4) as detection_rate from m")
-def _detect(spark, sf):
-    return _matrix(spark, sf).withColumn("expected_check", F.coalesce("expected_check", F.lit("")))
+_MATRIX_SQL = " select defect_id, coalesce(expected_check,'') as expected_check, trials, cast(hits as bigint) as hits, cast(fp as bigint) as fp, cast(tn as bigint) as tn, round(hits/trials,4) as detection_rate from m"
+
+
+def _detect(spark, sf, which=MATRIX_CHECKS):
+    return _matrix(spark, sf, which).withColumn("expected_check", F.coalesce("expected_check", F.lit("")))
+
+
+query("V12_detection_matrix", DETECT_SQL + _MATRIX_SQL)(lambda spark, sf: _detect(spark, sf))
+query("V12_detection_matrix_all_checks", ALL_DETECT_SQL + _MATRIX_SQL)(lambda spark, sf: _detect(spark, sf, ORDER))
 
 
 _RATES = ["precision", "recall", "specificity", "accuracy", "f1", "mcc"]
 
 
-@query("V12_detection_totals", DETECT_SQL + """, t as (select cast(sum(case when expected_check is not null then hits else 0 end) as double) as tp, cast(sum(fp) as double) as fp, cast(sum(tn) as double) as tn, cast(sum(case when expected_check is not null then trials-hits else 0 end) as double) as f1, cast(sum(case when expected_check is null then trials else 0 end) as double) as f2 from m),
+_TOTALS_SQL = """, t as (select cast(sum(case when expected_check is not null then hits else 0 end) as double) as tp, cast(sum(fp) as double) as fp, cast(sum(tn) as double) as tn, cast(sum(case when expected_check is not null then trials-hits else 0 end) as double) as f1, cast(sum(case when expected_check is null then trials else 0 end) as double) as f2 from m),
 s as (select 'detectable' as scope, tp, fp, tn, f1 as fn from t union all select 'all', tp, fp, tn, f1+f2 from t)
 select scope, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(tn as bigint) as tn, cast(fn as bigint) as fn, round(tp/nullif(tp+fp,0),6) as precision, round(tp/nullif(tp+fn,0),6) as recall, round(tn/nullif(tn+fp,0),6) as specificity, round((tp+tn)/(tp+tn+fp+fn),6) as accuracy,
- round(2*(tp/nullif(tp+fp,0))*(tp/nullif(tp+fn,0))/((tp/nullif(tp+fp,0))+(tp/nullif(tp+fn,0))),6) as f1, round((tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)),6) as mcc, 20*fn+fp as cost, round(1-(20*fn+fp)/(20*(tp+fn)),4) as cost_normalized from s""")
-def _totals(spark, sf):
-    d = V.detection_totals(_matrix(spark, sf))
+ round(2*(tp/nullif(tp+fp,0))*(tp/nullif(tp+fn,0))/((tp/nullif(tp+fp,0))+(tp/nullif(tp+fn,0))),6) as f1, round((tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)),6) as mcc, 20*fn+fp as cost, round(1-(20*fn+fp)/(20*(tp+fn)),4) as cost_normalized from s"""
+
+
+def _totals(spark, sf, which=MATRIX_CHECKS):
+    d = V.detection_totals(_matrix(spark, sf, which))
     return d.select("scope", *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn")], *[F.round(c, 6).alias(c) for c in _RATES], "cost", "cost_normalized")
 
 
-@query("V13_key_reconciliation", DETECT_SQL + """, e as (select distinct trial, expected_check as check_id from lab where expected_check is not null)
-select trial, check_id, 'missed' as kind from e where not exists (select 1 from fail where fail.trial=e.trial and fail.check_id=e.check_id) union all select trial, check_id, 'extra' from fail where not exists (select 1 from e where fail.trial=e.trial and fail.check_id=e.check_id)""")
-def _reconcile(spark, sf):
-    inv, con, led = D.invoices(spark, sf), D.contracts(spark, sf), D.ledger(spark, sf)
-    f = written(spark, sf, "detect_findings", lambda: C.findings(inv, con, led, D.AS_OF, MATRIX_CHECKS).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
+query("V12_detection_totals", DETECT_SQL + _TOTALS_SQL)(lambda spark, sf: _totals(spark, sf))
+query("V12_detection_totals_all_checks", ALL_DETECT_SQL + _TOTALS_SQL)(lambda spark, sf: _totals(spark, sf, ORDER))
+
+
+_KEY_SQL = """, e as (select distinct trial, expected_check as check_id from lab where expected_check is not null)
+select trial, check_id, 'missed' as kind from e where not exists (select 1 from fail where fail.trial=e.trial and fail.check_id=e.check_id) union all select trial, check_id, 'extra' from fail where not exists (select 1 from e where fail.trial=e.trial and fail.check_id=e.check_id)"""
+
+
+def _reconcile(spark, sf, which=MATRIX_CHECKS):
+    inv, f = D.invoices(spark, sf), _detected(spark, sf, which)
     n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     e = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.element_at(F.array(*[F.lit(x).cast("string") for x in EXPECT]), n + 1).alias("check_id")).where("check_id is not null")
     return V.reconcile_key(f.where("not passed"), e, ["trial", "check_id"])
 
 
+query("V13_key_reconciliation", DETECT_SQL + _KEY_SQL)(lambda spark, sf: _reconcile(spark, sf))
+query("V13_key_reconciliation_all_checks", ALL_DETECT_SQL + _KEY_SQL)(lambda spark, sf: _reconcile(spark, sf, ORDER))
+
+
 def runs(spark, sf):
     """Each user's events as repeated outputs: same structure, values by event, some with a key more or other spacing."""
     e = D.table(spark, sf, "events")

@@ -1,6 +1,6 @@
 """Queries that speak of all checks see a case whose critical failure is BANK-01."""
 
-from tallyproof.plans import case_checks, question_queries
+from tallyproof.plans import case_checks, eval_queries, question_queries
 from tallyproof.plans.registry import ORACLES, QUERIES
 
 
@@ -17,3 +17,14 @@ def test_group_rollup_sees_bank(spark, monkeypatch):
 def test_audit_asks_all_critical_checks():
     assert set(question_queries.ALL_CRITICAL) - set(question_queries.CRITICAL) == {"BANK-01"}
     assert ORACLES["E13_releasable_with_bank"] != ORACLES["E13_releasable"] and "q_bank" in ORACLES["E13_answer_audit_with_bank"]
+
+
+def test_detection_asks_all_checks(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(eval_queries, "_detected", lambda spark, sf, which: asked.append(list(which)) or spark.createDataFrame(
+        [("CASE-0003", k, k != "BANK-01") for k in which], "trial string, check_id string, passed boolean"))
+    for t in ("invoices", "contracts", "ledger"):
+        monkeypatch.setattr(eval_queries.D, t, lambda spark, sf: spark.createDataFrame([("CASE-0007",)], "tenant_id string"))
+    extra = lambda name: [r.check_id for r in QUERIES[name](spark, "").collect() if r.kind == "extra"]
+    assert extra("V13_key_reconciliation_all_checks") == ["BANK-01"] and extra("V13_key_reconciliation") == []
+    assert [len(a) for a in asked] == [27, 9]
