@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, secret_scan, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, repeats, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,21 @@ def _(spark, sf):
 @query("op4_crf_secrets")
 def _(spark, sf):
     return secret_scan.digest(secret_scan.scan(table(spark, sf, "documents")))
+
+
+PASSAGES_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+p as (select doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) k from w, range(1, len(w) - 18) r(i)),
+k as (select doc_id, i, row_number() over (partition by k order by doc_id, i) place from p),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) i from k where place > 1),
+l as (select doc_id, unnest(w) s, generate_subscripts(w, 1) i from w),
+kept as (select doc_id, string_agg(s, ' ' order by i) t from l anti join gone using (doc_id, i) group by 1),
+lost as (select doc_id, count(*) n from gone group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+from w left join lost using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op11_repeated_passages", PASSAGES_SQL)
+def _(spark, sf):
+    return repeats.digest(repeats.repeated_passages(table(spark, sf, "documents")))
