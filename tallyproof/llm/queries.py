@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, quality, repeats, secret_scan, token_files
+from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, periodic, quality, repeats, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,8 @@ from w left join lost using (doc_id) left join kept using (doc_id)
 @query("op11_repeated_passages", PASSAGES_SQL)
 def _(spark, sf):
     return repeats.digest(repeats.repeated_passages(table(spark, sf, "documents")))
+
+
+@query("op13_periodic_runs")
+def _(spark, sf):
+    return periodic.digest(periodic.periodic_runs(periodic.looped(table(spark, sf, "documents"))))

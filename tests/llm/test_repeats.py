@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+import zlib
 
+import numpy as np
 import pytest
 
-from tallyproof.llm import repeats
+from tallyproof.llm import periodic, repeats
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -84,3 +85,105 @@ def test_passages_when_all_cells_are_shared(spark, monkeypatch):
 def test_passages_digest(spark):
     r = repeats.digest(repeats.repeated_passages(docs(spark, [(1, " a  b\n")]))).first()
     assert r.asDict() == {"doc_id": 1, "n_words": 2, "n_removed": 0, "kept_sha256": hashlib.sha256(b"a b").hexdigest()}
+
+
+# ---- periodic runs --------------------------------------------------------------------------------------------------------
+
+def runs_of(w):
+    """By definition: maximal stretches of each period, of equal stretches the smallest period."""
+    n, found = len(w), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(6, 4 * q):
+                found.setdefault((s, i + q), q)
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def collapsed(w):
+    gone = {i for s, length, q in runs_of(w) for i in range(s + q, s + length)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def periodic_texts(rng, n):
+    out = []
+    for i in range(n):
+        w = [f"w{rng.randrange(rng.choice([1, 2, 3, 50]))}" for _ in range(rng.choice([0, 1, 5, 6, 7, 30, 120]))]
+        for _ in range(rng.choice([0, 1, 2])):
+            unit = [f"p{rng.randrange(3)}" for _ in range(rng.choice([1, 2, 3, 7, 12]))]
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = (unit * 6)[:len(unit) * rng.choice([3, 4, 5]) + rng.randrange(len(unit))]
+        out.append((i, rng.choice([" ", "\n", " \t"]).join(w)))
+    return out
+
+
+def test_scan_equals_definition():
+    rng = random.Random(4)
+    for _ in range(1500):
+        k = rng.choice([1, 2, 2, 3])
+        unit = [rng.randrange(k) for _ in range(rng.choice([1, 2, 3, 5, 8]))]
+        w = [rng.randrange(k) for _ in range(rng.randrange(12))] + unit * rng.choice([0, 3, 4, 9]) + [rng.randrange(k) for _ in range(rng.randrange(40))]
+        assert periodic.scan(np.array(w, int), step=rng.choice([1, 20, 10_000])) == runs_of(w)
+
+
+def test_scan_of_long_segments():
+    x = np.zeros(300_000, int)
+    assert periodic.scan(x) == [(0, 300_000, 1)]
+    x[1::2], x[150_000] = 1, 2
+    assert periodic.scan(x) == [(0, 150_000, 2), (150_001, 149_999, 2)]
+
+
+def test_segments_split_until_stable():
+    #  x is rare; without it one part has three c only, and without c nothing of it is left
+    w = "a b a b a b a b x a c a c a c a".split()
+    _, x = np.unique(w, return_inverse=True)
+    assert periodic.segments(x, np.zeros(len(x), int)) == [(0, 8)]
+
+
+def test_periodic_runs(spark):
+    texts = periodic_texts(random.Random(6), 250) + ODD
+    got = periodic.periodic_runs(docs(spark, texts)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    seen = sorted(((r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.text, r.n_words - r.n_dropped) for r in got), key=key)
+    want = []
+    for i, t in texts:
+        w = re.findall(WORD, t or "")
+        runs = runs_of(w) if len(w) < 1000 else [(0, len(w), 2)]
+        left = collapsed(w) if len(w) < 1000 else "a b"
+        want.append((i, len(w), runs, left, len(left.split(" ")) if left else 0))
+    assert seen == sorted(want, key=key)
+    for r in got:
+        top = max((x.length / x.period for x in r.runs), default=None)
+        assert (r.best is None) == (top is None) and (top is None or r.best == next(x for x in r.runs if x.length / x.period == top))
+    assert periodic.periodic_runs(docs(spark, [])).count() == 0
+
+
+def looped_words(i, t):
+    w = re.findall(WORD, t or "")
+    h, n = zlib.crc32(str(i).encode()), len(w)
+    if i is None or h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+
+
+def test_periodic_query_form(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([0, 1, 9, 60, 200])))) for i in range(-20, 300)] + ODD[:6]
+    got = periodic.digest(periodic.periodic_runs(periodic.looped(docs(spark, texts)))).collect()
+    want = []
+    for i, t in texts:
+        w = looped_words(i, t)
+        runs = runs_of(w)
+        best = min(runs, key=lambda r: (-(r[1] / r[2]), r[0], r[2]), default=(None,) * 3)
+        digest = hashlib.sha256("".join("%d,%d,%d\n" % r for r in runs).encode()).hexdigest()
+        want.append((i, len(runs), *best, best[0] is not None and 1000 * best[1] // best[2] or None, digest, hashlib.sha256(collapsed(w).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and sum(r.n_runs for r in got) > 8
