@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyproof.llm.common import new_path
 from tallyproof.llm.token_files import place
+from tallyproof.llm.words import slices
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -35,3 +36,14 @@ def answers(path: str, block: str, schema: pa.Schema) -> pa.Table:
     found = store.get_file_info(fs.FileSelector(f"{folder}/block={block}", allow_not_found=True))
     tables = [parquet.read_table(store.open_input_file(f.path), columns=schema.names).cast(schema) for f in found if f.path.endswith(".parquet")]
     return pa.concat_tables(tables) if tables else schema.empty_table()
+
+
+def in_blocks(batch: pa.RecordBatch, column: str = "text") -> list[tuple[str, pa.RecordBatch]]:
+    """The rows of a batch by ``block`` and in parts of about a megabyte of ``column``; a block's rows follow each other."""
+    names = batch.column("block").to_pylist()
+    cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(names)]):
+        part = batch.slice(a, b - a)
+        out += [(names[a], part.slice(x, y - x)) for x, y in slices(part.column(column))]
+    return out

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyproof.llm.blocks import answers, by_block, staged
+from tallyproof.llm.blocks import answers, by_block, in_blocks, staged
 from tallyproof.llm.common import id_and_text, small_batches
 from tallyproof.llm.words import Rolling, codes, mix, slide, split_words
 
@@ -29,7 +29,7 @@ SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Cells of a row for each 6 bytes of text (about a word, or a sixth of an anchor), and cells of a slice.
 SLICE_CELLS = 1 << 24
 #: Candidates or anchors that a task gathers before it sends them.
-SEND = 1 << 21
+SEND = 1 << 19
 NO_ID = -(1 << 63)
 
 
@@ -123,13 +123,6 @@ def sketch(docs: DataFrame, n: int, gram: int, bits: int, shift: int) -> DataFra
     return docs.mapInArrow(run, "block string, seed int, slice bigint, cells binary")
 
 
-def in_blocks(batch: pa.RecordBatch) -> list[tuple[str, pa.RecordBatch]]:
-    """The rows of a batch by ``block``, the last column; a block's rows follow each other."""
-    names = batch.column("block").to_pylist()
-    cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-    return [(names[a], batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a]
-
-
 def merge(sketches: DataFrame) -> DataFrame:
     """``(block, seed, slice, cells)`` with the cells of each block that count two or more over all blocks. A group is
     one slice, bounded by its number of cells and twice the number of blocks."""

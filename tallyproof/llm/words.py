@@ -19,6 +19,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(texts: pa.Array, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """``(low, high)`` of neighbouring rows that hold about ``most`` bytes together, or one row that holds more."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // most)) + 1 if len(ends) else []
+    return [(int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(ends)]) if b > a]
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """``(bounds, index, words)``: row ``r`` consists of ``words[i]`` for ``i`` in ``index[bounds[r]:bounds[r + 1]]``.
 
