@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.llm import decontaminate, exact, jaccard, language, licenses, line_dedup, packing, periodic, quality, repeats, secret_scan, token_files
+from tallyproof.llm import alignment, decontaminate, exact, jaccard, language, licenses, line_dedup, packing, periodic, quality, repeats, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,10 +21,10 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -216,6 +216,11 @@ def _(spark, sf):
     return repeats.digest(repeats.repeated_passages(table(spark, sf, "documents")))
 
 
+@query("op12_token_alignment")
+def _(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op13_periodic_runs")
 def _(spark, sf):
     return periodic.digest(periodic.periodic_runs(periodic.looped(table(spark, sf, "documents"))))

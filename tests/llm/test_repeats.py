@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from tallyproof.llm import periodic, repeats
+from tallyproof.llm import alignment, periodic, repeats
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -187,3 +188,77 @@ def test_periodic_query_form(spark):
         digest = hashlib.sha256("".join("%d,%d,%d\n" % r for r in runs).encode()).hexdigest()
         want.append((i, len(runs), *best, best[0] is not None and 1000 * best[1] // best[2] or None, digest, hashlib.sha256(collapsed(w).encode()).hexdigest()))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and sum(r.n_runs for r in got) > 8
+
+
+# ---- token alignment ------------------------------------------------------------------------------------------------------
+
+BYTE_BPE, PIECE_BPE = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+def tokens_of(text):
+    """Ids and bytes of both tokenizers by their libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    tok.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    plain = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    rest = iter(range(256, 400))
+    table = {**plain, **{chr(next(rest)): b for b in range(256) if b not in plain.values()}}
+    a = tok.encode(" " + text, add_special_tokens=False)
+    b = model.encode(text)
+    pieces = [model.id_to_piece(i) for i in b]
+    return (a.ids, [bytes(table[c] for c in t) for t in a.tokens],
+            b, [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces])
+
+
+def linked(text):
+    """Groups of one document: [(ids of A, ids of B)]."""
+    if not text:
+        return []
+    a, bytes_a, b, bytes_b = tokens_of(text)
+    if b"".join(bytes_a) != (" " + text).encode() or b"".join(bytes_b) != (" " + text).encode():
+        return []
+    out, i, j, at_a, at_b, one, two = [], 0, 0, 0, 0, [], []
+    while i < len(a) or j < len(b):
+        if at_a <= at_b and i < len(a):
+            at_a, one, i = at_a + len(bytes_a[i]), [*one, a[i]], i + 1
+        else:
+            at_b, two, j = at_b + len(bytes_b[j]), [*two, b[j]], j + 1
+        if at_a == at_b:
+            out.append((one, two))
+            one, two = [], []
+    return out
+
+
+def test_alignment(spark, monkeypatch):
+    rng = random.Random(8)
+    words = "the cat sat running tokenization Überraschung naïve 12345 x.y don't 😀 漢字 ﬁ <|endoftext|> <s> <unk> ▁ \x85 á <0x41> '' zzzqqq".split(" ")
+    texts = [(i, rng.choice([" ", "  ", "\n", "\t"]).join(rng.choice(words[:rng.choice([4, 12, len(words)])]) for _ in range(rng.choice([1, 3, 12, 60])))) for i in range(160)]
+    texts += ODD[:7] + ODD[8:] + [(900, "x" * 3000), (901, "漢" * 400), (902, " lead"), (903, "a▁b")]
+    groups = [linked(t) for _, t in texts]
+    counts, rows = Counter(), []
+    for g in groups:
+        counts.update({(x, y) for one, two in g for x in one for y in two})
+    top = defaultdict(int)
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    for (i, _), g in zip(texts, groups):
+        links = [(x, y) for one, two in g for x in one for y in two]
+        said = ";".join(",".join(map(str, one)) + "|" + ",".join(map(str, two)) for one, two in g)
+        rows.append((i, sum(len(o) for o, _ in g), sum(len(t) for _, t in g), len(g), len(links), sum(counts[p] == top[p[0]] for p in links), sum(counts[p] for p in links),
+                     hashlib.sha256(said.encode()).hexdigest() if g else ""))
+    assert sum(not g for g in groups) >= 6 and any(len(o) > 1 and len(t) > 1 for g in groups for o, t in g)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    for send in (1 << 20, 5):
+        monkeypatch.setattr(alignment, "SEND", send)
+        got = alignment.align(docs(spark, texts), BYTE_BPE, PIECE_BPE).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(rows, key=key)
+    assert alignment.align(docs(spark, []), BYTE_BPE, PIECE_BPE).count() == 0
+
+
+def test_alignment_groups_and_memory(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO", 3)
+    r = alignment.aligned(docs(spark, [(1, "the cat sat tokenization on the cat")], 1), BYTE_BPE, PIECE_BPE, with_groups=True).first()
+    assert r.groups == ";".join(",".join(map(str, o)) + "|" + ",".join(map(str, t)) for o, t in linked("the cat sat tokenization on the cat"))
