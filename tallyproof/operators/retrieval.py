@@ -6,24 +6,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.joins import SMALL_ROWS, broadcast_if_small, small
+from ..functions.joins import SMALL_ROWS, small
 from ..functions.ordered import chain, first_per_key, seq_block
-from ..functions.text import query_terms, tokens
+from ..functions.text import tokens
+from . import text_index, vector_index
+from .text_index import TextIndex, postings  # noqa: F401
+from .vector_index import VectorIndex
 
 RRF_K, POOL, TOP_K, PER_SOURCE, CUT = 60, 200, 8, 3, 6
-BM25_K1, BM25_B = 1.2, 0.75
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) over whole texts, category included."""
-    t = chunks.select("chunk_id", F.explode(tokens(F.concat_ws(" ", "category", "text"))).alias("term"))
-    return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -34,141 +26,16 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-class _Best:
-    """The best ``pool`` (key, score) pairs per question seen so far in a task, ties to the smaller key."""
-
-    def __init__(self, n: int, pool: int):
-        self.pool, self.keys, self.scores = pool, np.empty((n, 0), dtype=np.int64), np.empty((n, 0))
-
-    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        k = np.concatenate([self.keys, np.broadcast_to(keys, scores.shape)], axis=1)
-        s = np.concatenate([self.scores, scores], axis=1)
-        at = np.lexsort((k, -s), axis=1)[:, : self.pool]
-        self.keys, self.scores = np.take_along_axis(k, at, 1), np.take_along_axis(s, at, 1)
-
-    def rows(self, ids: np.ndarray, name: str) -> pd.DataFrame:
-        d = pd.DataFrame({"query_id": np.repeat(ids, self.keys.shape[1]), "chunk_id": self.keys.ravel(), name: self.scores.ravel()})
-        return d[d[name] > -np.inf]
-
-
-def _slices(questions: DataFrame, rows: int) -> Iterator[list]:
-    """Questions in driver-sized slices; ``rows`` bounds what one slice holds."""
-    n = questions.count()
-    parts = max(1, -(-n // rows))
-    for s in range(parts):
-        part = questions if parts == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == s)
-        got = part.collect()
-        if got:
-            yield got
-
+def sparse_scores(chunks: DataFrame | TextIndex, questions: DataFrame, pool: int = POOL, sources: DataFrame | None = None) -> DataFrame:
+    """The ``pool`` chunks of highest BM25 score per question, exact, over whole texts, from an index or chunks to be indexed."""
+    index = chunks if isinstance(chunks, TextIndex) else text_index.build(chunks)
+    return text_index.search(index, questions, pool, sources)
 
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = empty.where(F.lit(False))
-    for i, p in enumerate(parts):
-        out = p if i == 0 else out.unionByName(p)
-    return out
 
-
-SPARSE_SLICE, DENSE_SLICE, SUB = 512, 4096, 256
-
-
-def _named(sources: DataFrame | None, ids: list) -> dict[int, list[str]]:
-    """Place in the slice of each question that names documents, and the documents."""
-    if sources is None:
-        return {}
-    spark, at, out = sources.sparkSession, {k: i for i, k in enumerate(ids)}, {}
-    asked = spark.createDataFrame([(k,) for k in ids], sources.select("query_id").schema)
-    for r in sources.select("query_id", "source").join(F.broadcast(asked), "query_id").distinct().collect():  # names in the questions of a slice
-        out.setdefault(at[r.query_id], []).append(r.source)
-    return out
-
-
-def _only_named(scores: np.ndarray, named: dict[int, list[str]], part: pd.DataFrame) -> np.ndarray:
-    """Scores without the chunks of documents that a question with named documents does not name."""
-    for question, sources in named.items():
-        scores[question, ~part.source.isin(sources).to_numpy()] = -np.inf
-    return scores
-
-
-def sparse_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = SPARSE_SLICE, sources: DataFrame | None = None) -> DataFrame:
-    """The ``pool`` chunks of highest BM25 score per question, exact, over whole texts.
-
-    Term statistics are one aggregate over the tokens that occur in some question. For scoring, the term weights of a
-    slice of questions travel to the tasks; each task scores its chunks against the slice by matrix products and lets
-    only its best ``pool`` per question out, so frequent terms never blow up into (question, chunk) pairs.
-    """
-    spark = chunks.sparkSession
-    tok = chunks.select("chunk_id", *(["source"] if sources is not None else []), tokens(F.concat_ws(" ", "category", "text")).alias("t"))
-    q = questions.select("query_id", query_terms(F.col("q")).alias("terms"))
-    wanted = broadcast_if_small(q.select(F.explode("terms").alias("term")).distinct())
-    n, avgdl = tok.agg(F.count("*"), F.avg(F.size("t"))).first()
-    found = tok.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for rows in _slices(q, slice_rows):
-        ids = np.array([r[0] for r in rows])
-        used = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r[1]})] or [("",)], "term string")
-        df = {r["term"]: r["df"] for r in found.join(F.broadcast(used), "term").collect()}  # at most 64 terms per question of the slice
-        col = {t: i for i, t in enumerate(df)}
-        idf = np.array([np.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.values()])
-        w = np.zeros((len(col), len(ids)))
-        for j, r in enumerate(rows):
-            for t in r[1]:
-                if t in col:
-                    w[col[t], j] = idf[col[t]]
-        packed = spark.sparkContext.broadcast((ids, col, w, _named(sources, ids.tolist())))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, col, w, named = packed.value
-            best = _Best(len(ids), pool)
-            for b in batches:
-                for at in range(0, len(b), SUB):
-                    part = b.iloc[at:at + SUB]
-                    m = np.zeros((len(part), len(col)))
-                    size = np.zeros(len(part))
-                    for i, t in enumerate(part.t):
-                        size[i] = len(t)
-                        for term in t:
-                            k = col.get(term)
-                            if k is not None:
-                                m[i, k] += 1
-                    live = m > 0
-                    norm = (BM25_K1 * (1 - BM25_B + BM25_B * size / avgdl))[:, None]
-                    np.divide(m * (BM25_K1 + 1), m + norm, out=m, where=live)
-                    s = (m @ w).T
-                    hit = (live.astype(np.float32) @ (w > 0).astype(np.float32)).T > 0
-                    best.add(part.chunk_id.to_numpy(), _only_named(np.where(hit, np.round(s, 8), -np.inf), named, part))
-            yield best.rows(ids, "sparse_score")
-
-        out.append(tok.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, sparse_score double"))
-    empty = questions.select("query_id", F.lit(0).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), F.lit(0.0).alias("sparse_score"))
-    return first_per_key(_union(out, empty), ["query_id"], [F.desc("sparse_score"), "chunk_id"], pool, rank="rank_s")
-
-
-def dense_scores(chunks: DataFrame, questions: DataFrame, pool: int = POOL, slice_rows: int = DENSE_SLICE, sources: DataFrame | None = None) -> DataFrame:
-    """The ``pool`` chunks of highest cosine per question, exact. Works like the sparse arm, on vectors."""
-    spark = chunks.sparkSession
-    c = chunks.where("embedding is not null").select("chunk_id", *(["source"] if sources is not None else []), "embedding")
-    out = []
-    for rows in _slices(questions.where("qvec is not null").select("query_id", "qvec"), slice_rows):
-        ids = np.array([r[0] for r in rows])
-        m = np.array([r[1] for r in rows], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        packed = spark.sparkContext.broadcast((ids, m, _named(sources, ids.tolist())))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m, named = packed.value
-            best = _Best(len(ids), pool)
-            for b in batches:
-                for at in range(0, len(b), SUB):
-                    part = b.iloc[at:at + SUB]
-                    v = np.vstack(part.embedding.to_numpy()).astype(np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)  # a zero vector has cosine 0
-                    best.add(part.chunk_id.to_numpy(), _only_named(np.round(m @ v.T, 8), named, part))
-            yield best.rows(ids, "dense_score")
-
-        out.append(c.mapInPandas(score, f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, dense_score double"))
-    empty = questions.select("query_id", F.lit(0).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), F.lit(0.0).alias("dense_score"))
-    return first_per_key(_union(out, empty), ["query_id"], [F.desc("dense_score"), "chunk_id"], pool, rank="rank_d")
+def dense_scores(chunks: DataFrame | VectorIndex, questions: DataFrame, pool: int = POOL, sources: DataFrame | None = None, probes: int | None = None) -> DataFrame:
+    """The ``pool`` chunks of highest cosine per question, exact unless ``probes`` limits the cells looked into."""
+    index = chunks if isinstance(chunks, VectorIndex) else vector_index.build(chunks, measure=False)
+    return vector_index.search(index, questions, pool, probes, sources)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, cut: int = CUT * TOP_K) -> DataFrame:
@@ -203,11 +70,11 @@ def dropped_superseded(fused: DataFrame, chunks: DataFrame, questions: DataFrame
 
 
 def hybrid(chunks: DataFrame, questions: DataFrame, categories: list[str] | None = None, top_k: int = TOP_K, pool: int = POOL,
-           per_source: int = PER_SOURCE, sources: DataFrame | None = None) -> DataFrame:
+           per_source: int = PER_SOURCE, sources: DataFrame | None = None, texts: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """The whole path. ``categories`` filters before either arm scores; ``sources`` (query_id, source), where given for
-    a question, limits both arms to the documents it names."""
+    a question, limits both arms to the documents it names. ``texts`` and ``vectors`` are stored indexes of just these chunks."""
     c = chunks if categories is None else chunks.where(F.col("category").isin(categories))
-    f = fuse(dense_scores(c, questions, pool, sources=sources), sparse_scores(c, questions, pool, sources=sources), CUT * top_k)
+    f = fuse(dense_scores(vectors or c, questions, pool, sources), sparse_scores(texts or c, questions, pool, sources), CUT * top_k)
     return diversify(f, c, questions, top_k, per_source)
 
 

@@ -14,7 +14,7 @@ from .retrieval_queries import all_sql
 
 
 def retrieved(spark, sf):
-    return written(spark, sf, "retrieved", lambda: R.hybrid(X.chunks(spark, sf), X.questions(spark, sf)))
+    return written(spark, sf, "retrieved", lambda: R.hybrid(X.chunks(spark, sf), X.questions(spark, sf), **X.indexes(spark, sf)))
 
 
 def context(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
-from ..operators import retrieval as R
+from ..operators import retrieval as R, vector_index as V
 from . import texts as X
 from .registry import query
 
@@ -47,7 +47,7 @@ dfs as (select term, count(*) as df from post group by 1),
 sp as (select query_id, chunk_id, round(sum(ln(1+(n-df+0.5)/(df+0.5)) * tf*2.2/(tf+1.2*(0.25+0.75*length/avgdl))), 8) as sparse_score
   from qt join post using(term) join dfs using(term) join dl using(chunk_id) cross join tot group by 1,2),
 spr as (select *, row_number() over (partition by query_id order by sparse_score desc, chunk_id) as rank_s from sp)"""
-DENSE = """dn as (select query_id, chunk_id, round(list_cosine_similarity(embedding::double[], qvec::double[]), 8) as dense_score from chunks cross join questions where embedding is not null),
+DENSE = """dn as (select query_id, chunk_id, round(list_cosine_similarity(embedding::double[], qvec::double[]), 8) as dense_score from chunks cross join questions where embedding is not null and qvec is not null),
 dnr as (select *, row_number() over (partition by query_id order by dense_score desc, chunk_id) as rank_d from dn)"""
 FUSE = """fused as (select *, row_number() over (partition by query_id order by rrf desc, chunk_id) as rank from (
   select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.chunk_id, s.chunk_id) as chunk_id, coalesce(dense_score,0) as dense_score, coalesce(sparse_score,0) as sparse_score,
@@ -63,17 +63,24 @@ def all_sql(chunks_sql: str = X.CHUNKS_SQL) -> str:
 
 @query("T4_sparse_scores", f"with {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {QT}, {SPARSE} select query_id, chunk_id, rank_s, sparse_score from spr where rank_s<=200")
 def _sparse(spark, sf):
-    return R.sparse_scores(X.chunks(spark, sf), X.questions(spark, sf))
+    return R.sparse_scores(X.indexes(spark, sf)["texts"], X.questions(spark, sf))
 
 
 @query("T5_dense_scores", f"with {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {DENSE} select query_id, chunk_id, rank_d, dense_score from dnr where rank_d<=200")
 def _dense(spark, sf):
-    return R.dense_scores(X.chunks(spark, sf), X.questions(spark, sf))
+    return R.dense_scores(X.indexes(spark, sf)["vectors"], X.questions(spark, sf))
+
+
+@query("T5_dense_probed")
+def _probed(spark, sf):
+    """From as many cells as recall measured at build time asks for."""
+    index = V.build(X.chunks(spark, sf), f"{sf}-chunks")
+    return R.dense_scores(index, X.questions(spark, sf), probes=index.probes)
 
 
 def _fused(spark, sf):
-    c, q = X.chunks(spark, sf), X.questions(spark, sf)
-    return c, R.fuse(R.dense_scores(c, q), R.sparse_scores(c, q))
+    q, index = X.questions(spark, sf), X.indexes(spark, sf)
+    return X.chunks(spark, sf), R.fuse(R.dense_scores(index["vectors"], q), R.sparse_scores(index["texts"], q))
 
 
 @query("T6_rank_fusion", all_sql() + "select query_id, chunk_id, rank, rrf from fused where rank<=48")
@@ -90,7 +97,7 @@ _RET = "select query_id, chunk_id, source, place, dense_score, sparse_score, rrf
 
 @query("T7_diversity", all_sql() + _RET)
 def _hybrid(spark, sf):
-    return _rounded(R.hybrid(X.chunks(spark, sf), X.questions(spark, sf)))
+    return _rounded(R.hybrid(X.chunks(spark, sf), X.questions(spark, sf), **X.indexes(spark, sf)))
 
 
 @query("T8_category_filter", all_sql(X.CHUNKS_SQL.replace("on doc_id=vec_id)", "on doc_id=vec_id where lang in ('en','fr'))")) + _RET)
@@ -107,7 +114,7 @@ def _dropped(spark, sf):
 @query("T9_health", all_sql() + """select query_id, count(*) as n, max(rrf) as top_rrf, max(dense_score) as top_dense, count(distinct source) as distinct_sources,
   count(*) filter (where sparse_score>0) as sparse_contributing, count(*) filter (where dense_score>0) as dense_contributing from ret where place<=8 group by 1""")
 def _health(spark, sf):
-    h = R.health(R.hybrid(X.chunks(spark, sf), X.questions(spark, sf)))
+    h = R.health(R.hybrid(X.chunks(spark, sf), X.questions(spark, sf), **X.indexes(spark, sf)))
     return h.select("query_id", "n", "top_rrf", "top_dense", "distinct_sources", "sparse_contributing", "dense_contributing")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import text_index, vector_index
 from ..sources.driver_tables import table
 
 # One phrase per question, chosen by its id, so that the rules on Chinese questions meet every table row.
@@ -38,11 +39,17 @@ CHUNKS_SQL = """chunks as (select doc_id as chunk_id, source, lang as category,
 
 def questions(spark, sf) -> DataFrame:
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
-    return b.join(e, b.item_id == e.vec_id).select(
+    return b.join(e, b.item_id == e.vec_id, "left").select(
         F.col("item_id").alias("query_id"), F.concat_ws(" ", phrase(F.col("item_id")), "text").alias("q"), F.col("embedding").alias("qvec"))
 
 
-QUESTIONS_SQL = f"""questions as (select item_id as query_id, concat({phrase_sql('item_id')}, ' ', text) as q, embedding as qvec from benchmark join embeddings on item_id=vec_id)"""
+QUESTIONS_SQL = f"""questions as (select item_id as query_id, concat({phrase_sql('item_id')}, ' ', text) as q, embedding as qvec from benchmark left join embeddings on item_id=vec_id)"""
+
+
+def indexes(spark, sf):
+    """Stored indexes of all chunks, built once per application and table folder."""
+    c = chunks(spark, sf)
+    return {"texts": text_index.build(c, f"{sf}-chunks"), "vectors": vector_index.build(c, f"{sf}-chunks", measure=False)}
 
 
 def asked(spark, sf) -> DataFrame:

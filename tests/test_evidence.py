@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from tallyproof.operators import evidence as E, questions as Q, retrieval as R
+from tallyproof.operators import evidence as E, questions as Q, retrieval as R, text_index, vector_index
 
 
 def test_near_ratio_equals_all_windows():
@@ -99,16 +102,19 @@ def test_rate_boundary(spark):
     assert sorted((r.event_id, r.n_recent) for r in got) == [(5, 6), (6, 7)]
 
 
-def test_retrieval_small_pool_and_slices(spark):
-    """Many slices and a small pool give the same ranks as one pass."""
+def test_retrieval_small_pool_and_blocks(spark, monkeypatch):
+    """Small blocks, several cells and a small pool give the ranks of scoring everything."""
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     c = spark.createDataFrame([(i, f"s{i % 3}", "c", "current", " ".join(rnd.choice(words) for _ in range(20)), [rnd.random() for _ in range(4)]) for i in range(60)],
                               "chunk_id long, source string, category string, doc_status string, text string, embedding array<float>").repartition(4)
     q = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(3)), [rnd.random() for _ in range(4)]) for i in range(6)], "query_id long, q string, qvec array<float>")
-    for fn in (R.sparse_scores, R.dense_scores):
-        a = sorted(map(tuple, fn(c, q, pool=7).collect()))
-        b = sorted(map(tuple, fn(c, q, pool=7, slice_rows=2).collect()))
+    whole = [sorted(map(tuple, fn(c, q, pool=7).collect())) for fn in (R.sparse_scores, R.dense_scores)]
+    monkeypatch.setattr(text_index, "BLOCK", 3)
+    monkeypatch.setattr(vector_index, "BLOCK", 3)
+    monkeypatch.setattr(vector_index, "ASKED", 2)
+    for fn, a in zip((R.sparse_scores, R.dense_scores), whole):
+        b = sorted(map(tuple, fn(c, q, pool=7).collect()))
         assert a == b and len(a) == 42
     r = R.hybrid(c, q, top_k=5, per_source=2).collect()
     assert all(x.place <= 5 for x in r) and max(sum(1 for y in r if (y.query_id, y.source) == (x.query_id, x.source)) for x in r) <= 2
@@ -117,3 +123,54 @@ def test_retrieval_small_pool_and_slices(spark):
     got = R.hybrid(c, q, top_k=5, pool=3, per_source=5, sources=named).collect()
     assert {x.source for x in got if x.query_id == 0} == {"s2"} and {x.source for x in got if x.query_id == 3} <= {"s0", "s1"}
     assert sum(x.query_id == 0 for x in got) >= 3 and {x.query_id for x in got} == set(range(6))
+
+
+def test_text_index_prunes_and_stays_exact(spark, monkeypatch):
+    """Frequent terms bring no chunks where rarer ones decide; ranks equal scoring each chunk."""
+    rnd = random.Random(3)
+    weights = [1 / (i + 1) for i in range(60)]
+    texts = [" ".join(rnd.choices([f"t{i}" for i in range(60)], weights, k=rnd.choice([5, 20, 60]))) for _ in range(400)]
+    c = spark.createDataFrame([(i, f"s{i % 3}", "c", t) for i, t in enumerate(texts)] + [(900, "s0", "c", None), (901, "s0", None, "")], "chunk_id long, source string, category string, text string")
+    asked = [" ".join(rnd.choices([f"t{i}" for i in range(60)], k=6)) for _ in range(12)] + ["t0 t1 t59", "unknown", ""]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
+    monkeypatch.setattr(text_index, "BLOCK", 8)
+    monkeypatch.setattr(text_index, "REACH", 6)
+    index = text_index.build(c)
+    docs = {i: ("c " + t).split() for i, t in enumerate(texts)} | {900: ["c"], 901: []}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {}
+    for w in docs.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    want = []
+    for k, text in enumerate(asked):
+        scores = []
+        for i, w in docs.items():
+            terms = [t for t in dict.fromkeys(text.split()) if t in w]
+            if terms:
+                norm = 1.2 * (0.25 + 0.75 * len(w) / mean)
+                scores.append((-round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + norm) for t in terms), 8), i))
+        want += [(k, i, r + 1) for r, (_, i) in enumerate(sorted(scores)[:5])]
+    got = text_index.search(index, q, 5)
+    assert sorted((r.query_id, r.chunk_id, r.rank_s) for r in got.collect()) == sorted(want)
+    assert text_index.search(index, q.where("false"), 5).count() == 0
+    assert text_index.search(text_index.build(c.where("false")), q, 5).count() == 0
+
+
+def test_vector_index_recall(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    v = [(i, f"s{i % 2}", [float(x) for x in centres[i % 12] + 0.6 * rng.normal(size=16)]) for i in range(1500)]
+    c = spark.createDataFrame(v + [(5000, "s0", None), (5001, "s1", [0.0] * 16)], "chunk_id long, source string, embedding array<float>")
+    index = vector_index.build(c)
+    assert index.probes < len(index.centres) and index.recall[index.probes] >= 0.9
+    q = spark.createDataFrame([(i, [float(x) for x in centres[i % 12] + 0.6 * rng.normal(size=16)]) for i in range(40)] + [(99, None)], "query_id long, qvec array<float>")
+    assert vector_index.recall(index, q, 10, index.probes) >= 0.85
+    m = np.array([x[2] for x in v], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for r in q.where("qvec is not null").collect():
+        s = m @ (np.array(r.qvec) / np.linalg.norm(r.qvec))
+        best = sorted(range(len(s)), key=lambda i: (-round(s[i], 8), i))[:10]
+        got = vector_index.search(index, q.where(f"query_id = {r.query_id}"), 10).orderBy("rank_d").collect() if r.query_id < 3 else None
+        assert got is None or [x.chunk_id for x in got] == best
+    assert vector_index.search(vector_index.build(c.where("false"), measure=False), q, 5).count() == 0
