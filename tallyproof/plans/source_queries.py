@@ -237,7 +237,7 @@ def _case_inventory(spark, sf):
 # ---- streams: each runs over the whole table once and is compared with its batch form -------------------------------------------
 
 def event_stream(spark, sf):
-    """The events table as a stream, in files of a day each."""
+    """The events table as a stream."""
     e = D.table(spark, sf, "events").select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("tenant_id"), F.col("ts").cast("timestamp").alias("ts"))
     p = once(spark, shared_path(spark, sf, "event_files"), lambda p: e.write.mode("overwrite").parquet(p))
     return spark.readStream.schema(e.schema).parquet(p)
@@ -254,14 +254,38 @@ def _windows(spark, sf):
     return d.groupBy("actor", "tenant_id", F.unix_timestamp("start").alias("start")).agg(F.max("n").alias("n"))
 
 
-@query("X1_trailing_rates", """select event_id, actor, tenant_id, n_recent from (select event_id, user_id as actor, event_type as tenant_id, count(*) over (partition by user_id, event_type order by ts range between interval 36000 second preceding and current row) as n_recent from events) z where n_recent > 3""")
+UNIT = 3 * 86_400
+UNIT_SQL = f"floor((epoch(ts) - epoch(timestamp '2024-01-01')) / {UNIT})"
+
+
+def feed_in_disorder(spark, path):
+    """The events table in files by three days, one file a batch: every third event comes a file late, which the watermark allows,
+    and every fiftieth of the first eighteen days four files late, which it does not. A clock row at the end moves the watermark past all."""
+    def write(sf):
+        e = D.table(spark, sf, "events").select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("tenant_id"), F.col("ts").cast("timestamp").alias("ts"))
+        unit = F.floor((F.unix_seconds("ts") - F.lit(1_704_067_200)) / UNIT)
+        e = e.withColumn("file", F.when((F.col("event_id") % 50 == 0) & (unit <= 5), unit + 4).when(F.col("event_id") % 3 == 0, unit + 1).otherwise(unit))
+        for k in sorted(r.file for r in e.select("file").distinct().collect()):  # a file for each of the three days
+            e.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+        clock = e.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts"))
+        clock.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast(dict(e.dtypes)["actor"]).alias("actor"), F.lit("clock").alias("tenant_id"), "ts").write.mode("append").parquet(path)
+    return write
+
+
+@query("X1_trailing_rates", f"""select event_id, actor, tenant_id, n_recent from (select event_id, user_id as actor, event_type as tenant_id,
+  count(*) over (partition by user_id, event_type order by ts range between interval 36000 second preceding and current row) as n_recent
+  from events where not (event_id % 50 = 0 and {UNIT_SQL} <= 5)) z where n_recent > 3""")
 def _trailing(spark, sf):
-    path = shared_path(spark, sf, "x1_trailing")
+    feed = once(spark, shared_path(spark, sf, "x1_feed"), lambda p: feed_in_disorder(spark, p)(sf))
+    out = shared_path(spark, sf, "x1_trailing")
+    schema = spark.read.parquet(feed).schema
 
-    def run(p):
-        M.drain_to_table(M.trailing_rates(event_stream(spark, sf), 36000, 3, "60 days"), p, shared_path(spark, sf, "x1t_progress"), "append")
+    def run(progress):
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        M.drain_to_table(M.trailing_rates(log, 36000, 3, f"{UNIT} seconds"), out, progress, "append")
 
-    return spark.read.parquet(once(spark, path, run)).drop("batch")
+    once(spark, shared_path(spark, sf, "x1t_progress"), run)
+    return spark.read.parquet(out).drop("batch")
 
 
 from .case_metrics import HEAD_SQL  # noqa: E402

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import alerts as A, retrieval as R
 from ..sources import corpus as K
@@ -23,38 +23,69 @@ def window_rates(log: DataFrame, late: str = "10 minutes", length: str = "10 min
     return w.where(F.col("n") > limit).select("actor", "tenant_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class _TrailingCounts(StatefulProcessor):
+    """State of one (actor, case, time slot): the events of the slot and, marked as context, those of the window length before
+    it. A timer fires when the watermark passes the slot: then no event of it can come any more, each is counted and the state leaves."""
+
+    def __init__(self, span: int, slot: int, limit: int, types: str):
+        self.span, self.slot, self.limit, self.types = span, slot, limit, types
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", self.types)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            self.events.appendList(list(b[["event_id", "t", "own"]].itertuples(index=False, name=None)))
+        self.handle.registerTimer((int(key[2]) + 1) * self.slot // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        d = pd.DataFrame([tuple(r) for r in self.events.get()], columns=["event_id", "t", "own"])
+        self.events.clear()
+        times, t = np.sort(d.t.to_numpy(dtype=np.int64)), d.t.to_numpy(dtype=np.int64)
+        n = np.searchsorted(times, t, "right") - np.searchsorted(times, t - self.span, "left")
+        hit = (n > self.limit) & d.own.to_numpy(dtype=bool)
+        yield pd.DataFrame({"event_id": d.event_id[hit], "actor": key[0], "tenant_id": key[1], "n_recent": n[hit]})
+
+    def close(self) -> None:
+        pass
+
+
 def trailing_rates(log: DataFrame, window_seconds: int = 600, limit: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Exact trailing count per event, boundary included, over what has arrived when the event does. State per (actor,
-    case) holds the times that an event above the watermark can still reach back to, and leaves with the watermark."""
-    span = window_seconds * 1_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        floor = state.getCurrentWatermarkMs() * 1000 - span
-        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], dtype=np.int64), rows.t.to_numpy(dtype=np.int64)]))
-        t = rows.t.to_numpy(dtype=np.int64)
-        n = np.searchsorted(times, t, "right") - np.searchsorted(times, t - span, "left")
-        state.update(([int(x) for x in times[times >= floor]],))
-        state.setTimeoutTimestamp(max(int(times[-1]) // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        hit = n > limit
-        yield pd.DataFrame({"event_id": rows.event_id[hit], "actor": key[0], "tenant_id": key[1], "n_recent": n[hit]})
-
-    d = log.withWatermark("ts", late).withColumn("t", F.unix_micros("ts"))
+    """Exact trailing count per event, boundary included, in whatever order events come, if none is later than the watermark.
+
+    An event is counted in its time slot and, near the end of one, is context of the next slot as well, so a busy actor is
+    spread over slots and each state holds a slot and a window of times. A slot is reported once the watermark has passed it. Later
+    events are dropped and show in the progress of the query (``late_rows``). The state store must be RocksDB.
+    """
+    span, slot_len = window_seconds * 1_000_000, window_seconds * 6_000_000
     types = dict(log.dtypes)
-    return d.groupBy("actor", "tenant_id").applyInPandasWithState(
-        step, f"event_id {types['event_id']}, actor {types['actor']}, tenant_id {types['tenant_id']}, n_recent bigint", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    t = F.unix_micros("ts")
+    slot = F.floor(t / F.lit(slot_len)).cast("bigint")
+    here = lambda s, own: F.struct(s.alias("s"), F.lit(own).alias("own"))
+    d = log.withWatermark("ts", late).withColumn("t", t).withColumn("slots", F.when((slot + 1) * slot_len - t <= span, F.array(here(slot, True), here(slot + 1, False))).otherwise(F.array(here(slot, True))))
+    d = d.select("event_id", "actor", "tenant_id", "t", "ts", F.explode("slots").alias("p")).select("event_id", "actor", "tenant_id", "t", "ts", F.col("p.s").alias("slot"), F.col("p.own").alias("own"))
+    step = _TrailingCounts(span, slot_len, limit, f"event_id {types['event_id']}, t bigint, own boolean")
+    return d.groupBy("actor", "tenant_id", "slot").transformWithStateInPandas(
+        step, f"event_id {types['event_id']}, actor {types['actor']}, tenant_id {types['tenant_id']}, n_recent bigint", "append", "EventTime")
+
+
+def late_rows(q: StreamingQuery) -> int:
+    """Rows that a finished query dropped for being later than the watermark, copies into a next slot included."""
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
 
 
-def drain_to_table(df: DataFrame, path: str, progress: str, mode: str = "update") -> None:
+def drain_to_table(df: DataFrame, path: str, progress: str, mode: str = "update") -> StreamingQuery:
     """Run what is there and stop. Each batch writes its own folder, so a batch that is run again replaces itself."""
     def save(b: DataFrame, batch: int) -> None:
         b.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", progress).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 # ---- X2: alert stream ------------------------------------------------------------------------------------------------------
