@@ -13,9 +13,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyproof.llm.common import SLOTS, small_batches, worker_store
+from tallyproof.llm.words import slices, split_words
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -24,8 +25,13 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: Expected number of documents in the training sample, of windows without a secret, and tokens of a window.
-SAMPLE_ROWS, PLAIN_WINDOWS, WINDOW = 12_000, 6_000, 48
+#: A text that this finds may have a pattern match; used to draw the training sample only.
+MATCHES = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
+#: A chunk that this finds has types that depend on its characters, not on its shape.
+BY_LETTERS = re.compile(r"\d|AKIA|pass|pwd|secret|token|api|key|auth|bearer|credential", re.I)
+
+#: Expected number of documents in the training sample, and the most of them with a match; windows without a secret, and tokens of a window.
+SAMPLE_ROWS, MATCH_ROWS, PLAIN_WINDOWS, WINDOW = 12_000, 4_000, 6_000, 48
 CACHE_CHUNKS = 200_000
 TOKEN = re.compile(r"[A-Za-z0-9_+/=.\-]+|[^\sA-Za-z0-9_+/=.\-]")
 KEY_WORDS = frozenset("password passwd pwd secret token apikey api_key key auth bearer credential credentials".split())
@@ -97,51 +103,90 @@ def file_features(text: str) -> tuple[int, int, int]:
     return min(5, int(np.log2(n)) // 3), step(len(raw) - len(raw.translate(None, b"0123456789"))), step(text.count("=") + text.count(":"))
 
 
+class Shapes(dict):
+    """Letters by ``a``, ``A``, ``é`` or ``É``; other characters stay. What has no digit and no key word has types by its shape alone."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        cased = c.isalpha() and (c.islower() or c.isupper())
+        self[code] = shape = c if not cased else ("aA" if c.isascii() else "éÉ")[c.isupper()]
+        return shape
+
+
+def type_bytes(chunk: str) -> bytes:
+    return np.array([token_type(t) for t in TOKEN.findall(chunk)], np.uint16).tobytes()
+
+
 def tokenizer():
-    """A function from text to the types of its tokens; types are found once for each distinct stretch without white space."""
+    """A function from an Arrow array of texts to ``(types, bounds)``: row ``r`` has ``types[bounds[r]:bounds[r + 1]]``. Types are found
+    once for each distinct stretch without white space, most of them by its shape."""
     store = worker_store()
-    if "secret types" not in store:
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                if len(self) >= CACHE_CHUNKS:
-                    self.clear()
-                self[chunk] = found = np.array([token_type(t) for t in TOKEN.findall(chunk)], np.uint16).tobytes()
-                return found
+    shapes, known = store.setdefault("secret shapes", (Shapes(), {}))
+
+    def of_chunk(chunk: str) -> bytes:
+        if BY_LETTERS.search(chunk):
+            return type_bytes(chunk)
+        shape = chunk.translate(shapes)
+        found = known.get(shape)
+        if found is None:
+            if len(known) >= CACHE_CHUNKS:
+                known.clear()
+            known[shape] = found = type_bytes(shape)
+        return found
+
+    def types_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds, index, chunks = split_words(texts)
+        found = [of_chunk(c) for c in chunks]
+        size = np.array([len(f) // 2 for f in found], np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.uint16)
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int64), ends[bounds]
+
+    return types_of
+
 
-        store["secret types"] = Chunks()
-    chunks = store["secret types"]
-    return lambda text: np.frombuffer(b"".join(map(chunks.__getitem__, text.split())), np.uint16).astype(np.int64)
+def with_matches(text: Column) -> Column:
+    return F.coalesce(text.rlike(MATCHES), F.lit(False))
 
 
-def windows(docs: DataFrame, rows: int) -> DataFrame:
-    """Training windows ``(types, labels, file)``; types carry one neighbour on either side, -1 past an end."""
-    n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) < (min(1.0, rows / n) if n else 1.0) * SLOTS)
+def windows(docs: DataFrame, rows: int, match_rows: int = MATCH_ROWS) -> DataFrame:
+    """Training windows ``(types, labels, file)``; types carry one neighbour on either side, -1 past an end.
+
+    About ``rows`` documents are drawn by a hash of the id, and besides them about ``match_rows`` of those with a match, so a
+    corpus with rare secrets has examples too. Rows without ``doc_id`` are never drawn; a repeated id is drawn with all its rows.
+    """
+    own = docs.where("doc_id is not null")
+    n, matching = own.agg(F.count("*"), F.count_if(with_matches(F.col("text")))).first()
+    slot = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLOTS)) / F.lit(SLOTS)
+    drawn = slot(0) < rows / max(n, 1)
+    picked = own.where(drawn | ((slot(1) < match_rows / max(matching, 1)) & with_matches(F.col("text"))))
 
     def run(batches):
+        types_of = tokenizer()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            flat, bounds = types_of(batch.column(1))
+            for doc_id, text, low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if not text:
                     continue
                 spans = base_spans(text)
-                tokens = list(TOKEN.finditer(text))
-                types = np.array([-1, *(token_type(m.group()) for m in tokens), -1], np.int32)
-                labels = np.zeros(len(tokens), np.int32)
-                starts = np.array([m.start() for m in tokens])
-                ends = np.array([m.end() for m in tokens])
+                types = np.concatenate([[-1], flat[low:high], [-1]]).astype(np.int32)
+                n = high - low
+                labels, longest = np.zeros(n, np.int32), np.zeros(0, int)
+                places = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
                 for _, _, _, a, b in spans:
-                    inside = np.flatnonzero((starts < b) & (ends > a))
+                    inside = np.flatnonzero((places[:, 0] < b) & (places[:, 1] > a))
                     labels[inside] = 2
                     labels[inside[:1]] = 1
-                lows = np.arange(0, len(tokens), WINDOW)
+                lows = np.arange(0, n, WINDOW)
                 marked = {int(i) // WINDOW * WINDOW for i in np.flatnonzero(labels)}
                 plain = set()
                 if len(lows):  # one window by the id, and those of the longest tokens that are no secret
-                    longest = np.argsort(np.where(labels > 0, 0, starts - ends), kind="stable")[:2]
-                    plain = {int(lows[(doc_id or 0) % len(lows)]), *(int(i) // WINDOW * WINDOW for i in longest)}
-                for low in sorted(marked | plain):
-                    out.append((types[low:low + WINDOW + 2], labels[low:low + WINDOW], file_features(text)))
+                    longest = np.argsort(np.where(labels > 0, 0, places[:, 0] - places[:, 1]), kind="stable")[:2]
+                    plain = {int(lows[doc_id % len(lows)]), *(int(i) // WINDOW * WINDOW for i in longest)}
+                for at in sorted(marked | plain):
+                    out.append((types[at:at + WINDOW + 2], labels[at:at + WINDOW], file_features(text)))
             types, labels, file = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int32())) for v in (types, labels, file)], ["types", "labels", "file"])
 
@@ -224,33 +269,44 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     return path
 
 
-def decode(types: np.ndarray, file: tuple[int, int, int], model: dict) -> np.ndarray:
-    """Labels of all tokens; equal to Viterbi over the whole text."""
+def decode_all(types: np.ndarray, bounds: np.ndarray, files: np.ndarray, model: dict) -> np.ndarray:
+    """Labels of the tokens of many texts; equal to Viterbi over each whole text. ``bounds``: where texts begin and end."""
     if not len(types):
         return np.zeros(0, int)
-    x = np.concatenate([[TYPES], types, [TYPES]])
-    e = model["own"][x[1:-1]] + model["before"][x[:-2]] + model["after"][x[2:]] + sum(f[i] for f, i in zip(model["file"], file))
+    count = np.diff(bounds)
+    before, after = np.concatenate([[TYPES], types[:-1]]), np.concatenate([types[1:], [TYPES]])
+    before[bounds[:-1][count > 0]] = TYPES
+    after[bounds[1:][count > 0] - 1] = TYPES
+    by_file = sum(f[files[:, i]] for i, f in enumerate(model["file"]))
+    e = model["own"][types] + model["before"][before] + model["after"][after] + np.repeat(by_file, count, axis=0)
     move = model["move"]
-    sure = e[:, 0] - e[:, 1:].max(1) > 2 * (move.max() - move.min())
-    path, open_ = np.zeros(len(types), int), np.flatnonzero(~sure)
+    path, open_ = np.zeros(len(types), int), np.flatnonzero(e[:, 0] - np.maximum(e[:, 1], e[:, 2]) <= 2 * (move.max() - move.min()))
     if len(open_):
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            low, high = max(0, run[0] - 1), min(len(types), run[-1] + 2)  # with the sure tokens on either side
+        row = np.searchsorted(bounds, open_, "right") - 1
+        for run in np.split(np.arange(len(open_)), np.flatnonzero((np.diff(open_) > 1) | (np.diff(row) > 0)) + 1):
+            first, last, r = open_[run[0]], open_[run[-1]], row[run[0]]
+            low, high = max(bounds[r], first - 1), min(bounds[r + 1], last + 2)  # with the sure tokens on either side
             part = e[low:high].copy()
-            if low < run[0]:
+            if low < first:
                 part[0, 1:] = -1e9
-            if high > run[-1] + 1:
+            if high > last + 1:
                 part[-1, 1:] = -1e9
             path[low:high] = viterbi(part, move)
     return path
 
 
+def decode(types: np.ndarray, file: tuple[int, int, int], model: dict) -> np.ndarray:
+    """The same of one text."""
+    return decode_all(types, np.array([0, len(types)]), np.array([file]), model)
+
+
 def scan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(doc_id, spans)``, one row per row of ``docs``: ``spans`` lists ``(kind, start, end)`` in code points, end
     exclusive, by start and kind (assign, access, hex, crf).
 
-    Pattern matches always stay; of the field's spans those that overlap none of them are added. A null or empty text has none. Without
-    a pattern match in the sample there is no field and only patterns are reported. Rows without ``doc_id`` are scanned but not learnt from.
+    Pattern matches always stay; of the field's spans those that overlap none of them are added. A null or empty text has none.
+    A corpus without any pattern match in a row with an id has nothing to learn from, so only patterns are reported. Rows without ``doc_id`` are
+    scanned but not learnt from; repeated rows are scanned one by one and come out alike. Texts of any length pass whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -259,26 +315,26 @@ def scan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     def run(batches):
         field, types_of = model.value, tokenizer()
-        for batch in batches:
-            out = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                found = [(a, k, b) for a, k, b, _, _ in spans]
-                if field is not None and text:
-                    path = decode(types_of(text), file_features(text), field)
-                    if path.any():
-                        tokens, now = list(TOKEN.finditer(text)), None
-                        extra = []
-                        for m, label in zip(tokens, path):
-                            if label == 2 and now is not None:
-                                now[1] = m.end()
-                            elif label:
-                                now = [m.start(), m.end()]
-                                extra.append(now)
-                            else:
-                                now = None
-                        found += [(a, 3, b) for a, b in extra if not any(a < y and x < b for x, _, y in found)]
+        parts = (whole.slice(low, high - low) for whole in batches for low, high in slices(whole.column(1)))
+        for batch in parts:
+            out, texts, labels = [], [t or "" for t in batch.column(1).to_pylist()], None
+            if field is not None:
+                types, bounds = types_of(batch.column(1))
+                labels = decode_all(types, bounds, np.array([file_features(t) for t in texts]), field)
+                marked = np.add.reduceat(np.append(labels, 0), bounds[:-1]) * (np.diff(bounds) > 0)
+            for r, text in enumerate(texts):
+                found = [(a, k, b) for a, k, b, _, _ in base_spans(text)]
+                if labels is not None and marked[r]:
+                    now, extra = None, []
+                    for m, label in zip(TOKEN.finditer(text), labels[bounds[r]:bounds[r + 1]].tolist()):
+                        if label == 2 and now is not None:
+                            now[1] = m.end()
+                        elif label:
+                            now = [m.start(), m.end()]
+                            extra.append(now)
+                        else:
+                            now = None
+                    found += [(a, 3, b) for a, b in extra if not any(a < y and x < b for x, _, y in found)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
