@@ -293,15 +293,35 @@ from .case_metrics import HEAD_SQL  # noqa: E402
 
 @query("X2_alert_stream", with_tables("inv", "con", extra=HEAD_SQL) + "select tenant_id, rule_id, fingerprint, severity from heads")
 def _alerts(spark, sf):
-    inv, con = D.invoices(spark, sf), D.contracts(spark, sf)
-    feed = once(spark, shared_path(spark, sf, "x2_feed"), lambda p: inv.write.mode("overwrite").parquet(p))
-    store = M.AlertStore(spark, shared_path(spark, sf, "x2_store"))
+    return alert_store(spark, sf).read().select("tenant_id", "rule_id", "fingerprint", "severity")
+
+
+@query("X2_new_alerts", with_tables("inv", "con", extra=HEAD_SQL) + "select distinct tenant_id, rule_id, fingerprint from heads")
+def _new(spark, sf):
+    """First sightings from the log of the store, in which every alert stands twice."""
+    out = shared_path(spark, sf, "x2_new")
+    once(spark, shared_path(spark, sf, "x2_new_progress"), lambda p: M.drain_to_table(M.new_alerts(alert_store(spark, sf).sightings()), out, p, "append"))
+    return spark.read.parquet(out).select("tenant_id", "rule_id", "fingerprint")
+
+
+def alert_store(spark, sf):
+    """Three batches of changed invoices; each case is in two of them."""
+    inv = D.invoices(spark, sf)
+    third = F.pmod(F.xxhash64("tenant_id"), F.lit(3))
+
+    def write(p):
+        for k in range(3):
+            inv.where((third == k) | (third == (k + 1) % 3)).coalesce(1).write.mode("append").parquet(p)
+
+    feed = once(spark, shared_path(spark, sf, "x2_feed"), write)
+    store = M.AlertStore(spark, shared_path(spark, sf, "x2_store"), least=100)
 
     def run(p):
-        M.alert_stream(spark.readStream.schema(inv.schema).parquet(feed), lambda: D.invoices(spark, sf), lambda: D.contracts(spark, sf), store, D.AS_OF, p)
+        changed = spark.readStream.schema(inv.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        M.alert_stream(changed, lambda: D.invoices(spark, sf), lambda: D.contracts(spark, sf), store, D.AS_OF, p)
 
     once(spark, shared_path(spark, sf, "x2_progress"), run)
-    return store.read().select("tenant_id", "rule_id", "fingerprint", "severity")
+    return store
 
 
 @query("X3_document_ingest")

@@ -90,26 +90,72 @@ def drain_to_table(df: DataFrame, path: str, progress: str, mode: str = "update"
 
 # ---- X2: alert stream ------------------------------------------------------------------------------------------------------
 
+SIGHTING = "tenant_id string, fingerprint string, rule_id string, severity string, n_evidence bigint, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp, first_batch bigint, bucket int"
+
+
 class AlertStore:
-    """Alert table in versions: each batch writes the next one from the last, and a batch run twice rewrites its own."""
+    """Alerts as a log of sightings by batch, folded into a state by key bucket now and then.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A batch writes its own sightings and nothing else; run twice, it replaces them. When the log of a bucket has grown to the size
+    of its folded state (and to ``least`` rows), that bucket alone is folded anew, so what is written stays in proportion to what was seen.
+    """
 
-    def _versions(self) -> list[int]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, least: int = 10_000):
+        self.spark, self.path, self.buckets, self.least = spark, path, buckets, least
+
+    def _done(self, kind: str) -> list[int]:
+        """Committed batches or foldings; a folder without its mark does not count."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/n=*/_SUCCESS")
         st = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
         return sorted(int(s.getPath().getParent().getName()[2:]) for s in (st or []))
 
+    def _rows(self, kind: str, before: int | None) -> DataFrame:
+        """Rows of a kind with the number ``n`` of their batch or folding."""
+        done = [n for n in self._done(kind) if before is None or n < before]
+        if not done:
+            return self.spark.createDataFrame([], SIGHTING + ", n bigint")
+        read = self.spark.read.schema(SIGHTING + ", n bigint").option("basePath", f"{self.path}/{kind}")
+        return read.parquet(*[f"{self.path}/{kind}/n={n}" for n in done])
+
+    def _parts(self, before: int | None) -> tuple[DataFrame, DataFrame]:
+        """The last folding of each bucket, and the sightings after it. Foldings are told apart by bucket, a handful of rows."""
+        folded = self._rows("folded", before)
+        last = F.broadcast(folded.groupBy("bucket").agg(F.max("n").alias("upto")))  # at most a row for each bucket
+        log = self._rows("log", before).join(last, "bucket", "left").where("n > coalesce(upto, -1)").drop("upto")
+        return folded.join(last, "bucket").where("n = upto").drop("upto"), log
+
+    @staticmethod
+    def _fold(rows: DataFrame) -> DataFrame:
+        first = lambda c: F.min_by(c, F.struct("first_batch", c)).alias(c)
+        return rows.groupBy("tenant_id", "fingerprint", "bucket").agg(
+            first("rule_id"), first("severity"), first("n_evidence"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+            F.max("resolved_at").alias("resolved_at"), F.min("first_batch").alias("first_batch"))
+
     def read(self, before: int | None = None) -> DataFrame:
-        v = [x for x in self._versions() if before is None or x < before]
-        if not v:
-            return self.spark.createDataFrame([], "tenant_id string, fingerprint string, rule_id string, severity string, n_evidence bigint, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp")
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}")
+        folded, log = self._parts(before)
+        return self._fold(folded.unionByName(log)).select(*A.STORE)
 
     def apply(self, headers: DataFrame, batch: int, seen_at: dt.datetime) -> None:
-        out = A.upsert(self.read(before=batch), headers, F.lit(seen_at).cast("timestamp"))
-        out.select(*A.STORE).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        at = F.lit(seen_at).cast("timestamp")
+        seen = headers.groupBy("tenant_id", "fingerprint").agg(F.min("rule_id").alias("rule_id"), F.min("severity").alias("severity"), F.min("n_evidence").alias("n_evidence"))
+        seen = seen.select("*", at.alias("first_seen_at"), at.alias("last_seen_at"), F.lit(None).cast("timestamp").alias("resolved_at"),
+                           F.lit(batch).cast("bigint").alias("first_batch"), F.pmod(F.xxhash64("tenant_id", "fingerprint"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        seen.write.mode("overwrite").parquet(f"{self.path}/log/n={batch}")
+        self.compact(batch)
+
+    def compact(self, batch: int) -> None:
+        """Fold the buckets whose log is due, up to and with this batch."""
+        folded, log = self._parts(batch + 1)
+        size = log.groupBy("bucket").agg(F.count("*").alias("new")).join(folded.groupBy("bucket").agg(F.count("*").alias("old")), "bucket", "left")
+        due = [r.bucket for r in size.where(F.col("new") >= F.greatest(F.lit(self.least), F.coalesce("old", F.lit(0)))).select("bucket").collect()]  # of a fixed number of buckets
+        if due:
+            rows = folded.unionByName(log).where(F.col("bucket").isin(due))
+            self._fold(rows).repartition("bucket").write.mode("overwrite").parquet(f"{self.path}/folded/n={batch}")
+
+    def sightings(self) -> DataFrame:
+        """The log as a stream, one batch of the store after the other."""
+        schema = SIGHTING + ", n bigint"
+        return self.spark.readStream.schema(schema).option("basePath", f"{self.path}/log").parquet(f"{self.path}/log/n=*").withColumnRenamed("first_seen_at", "seen_at")
 
 
 def alert_stream(changed: DataFrame, invoices: Callable[[], DataFrame], contracts: Callable[[], DataFrame], store: AlertStore, today: dt.date, progress: str) -> None:
@@ -119,7 +165,7 @@ def alert_stream(changed: DataFrame, invoices: Callable[[], DataFrame], contract
         cases = b.select("tenant_id").distinct()
         inv = invoices().join(cases, "tenant_id", "left_semi")
         con = contracts().join(cases, "tenant_id", "left_semi")
-        store.apply(A.scan(inv, con, today), batch, dt.datetime.combine(today, dt.time()))
+        store.apply(A.scan(inv, con, today), batch, dt.datetime.combine(today, dt.time()) + dt.timedelta(seconds=batch))
 
     q = changed.writeStream.foreachBatch(on_batch).option("checkpointLocation", progress).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -106,6 +106,28 @@ def test_alert_stream_equals_batch(spark):
     assert got == sorted((r.tenant_id, r.fingerprint) for r in A.scan(rows, con(spark), today).collect())
 
 
+def test_alert_store_folds_buckets_and_writes_what_it_sees(spark):
+    d = tempfile.mkdtemp(prefix="spark-")
+    store = M.AlertStore(spark, d, buckets=4, least=5)
+    head = lambda keys, rule="R": spark.createDataFrame([(f"T{k}", f"f{k}", rule, "warning", 1) for k in keys], "tenant_id string, fingerprint string, rule_id string, severity string, n_evidence bigint")
+    day = dt.datetime(2025, 1, 1)
+    want = {}
+    for batch, keys in enumerate([range(40), range(30, 45), range(3), range(60), []]):
+        for again in range(2 if batch in (1, 3) else 1):  # a batch that is run again replaces itself
+            store.apply(head(keys, f"R{batch}"), batch, day + dt.timedelta(days=batch))
+        for k in keys:
+            first = want.get(k, (f"R{batch}", day + dt.timedelta(days=batch)))
+            want[k] = (*first[:2], day + dt.timedelta(days=batch))
+        got = {int(r.tenant_id[1:]): (r.rule_id, r.first_seen_at, r.last_seen_at) for r in store.read().collect()}
+        assert got == want, batch
+    assert {r.tenant_id for r in store.read(before=1).collect()} == {f"T{k}" for k in range(40)}
+    rows = lambda kind, n: spark.read.parquet(f"{d}/{kind}/n={n}").count()
+    assert [rows("log", n) for n in range(5)] == [40, 15, 3, 60, 0] and 2 not in store._done("folded") and 0 in store._done("folded")
+    out = f"{d}/new"
+    M.drain_to_table(M.new_alerts(store.sightings(), "30 days"), out, f"{d}/p", "append")
+    assert sorted(int(r.tenant_id[1:]) for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
 def test_document_stream_keeps_last_version(spark):
     docs = spark.sql("select 'a' as source, 'c' as category, '# H\nold text' as text, timestamp_seconds(1) as seen_at union all select 'a', 'c', '# H\nnew text', timestamp_seconds(2) union all select 'b', 'c', 'other', timestamp_seconds(1)")
     d = tempfile.mkdtemp(prefix="spark-")
