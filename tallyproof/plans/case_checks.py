@@ -230,8 +230,7 @@ def _score_parts() -> str:
     return " union all ".join(parts)
 
 
-FOUND_SQL = f"found as ({_score_parts()})"
-SQL_CHECKS = [k for k in ORDER if k != "BANK-01"]
+FOUND_SQL = f"found as ({_score_parts()} union all select tenant_id, check_id, severity, passed from ({BANK_SQL}) q_bank)"
 
 SCORE_SQL = with_tables("inv", "con", "led", extra=FOUND_SQL) + """
 select b.tenant_id, b.n as n_invoices, coalesce(c.n,0) as n_contracts, coalesce(l.n,0) as n_ledger, n_checks, n_failed,
@@ -246,19 +245,11 @@ join (select tenant_id, count(*) as n_checks, count(*) filter (where not passed)
 
 
 @query("C28_scorecard", SCORE_SQL)
-def scorecard_sql_checks(spark, sf):
-    inv, con, led = _load(spark, sf)
-    return C.scorecard(C.findings(inv, con, led, D.AS_OF, SQL_CHECKS), C.count_documents(inv, con, led))
-
-
-@query("C28_scorecard_with_bank", SCORE_SQL.replace(FOUND_SQL, f"found as ({_score_parts()} union all select tenant_id, check_id, severity, passed from ({BANK_SQL}) q_bank)"))
-def scorecard_full(spark, sf):
+def scorecard(spark, sf):
     inv, con, led = _load(spark, sf)
     return C.scorecard(C.findings(inv, con, led, D.AS_OF), C.count_documents(inv, con, led))
 
 
-ALL_FOUND_SQL = f"found as ({_score_parts()} union all select tenant_id, check_id, severity, passed from ({BANK_SQL}) q_bank)"
-
 _GROUP_CASE = "case " + " ".join(f"when split_part(check_id,'-',1) in ({','.join(repr(p) for p in ps)}) then '{g}'" for g, ps in C.CHECK_GROUPS.items()) + " else 'other' end"
 
 
@@ -270,12 +261,6 @@ select tenant_id, {_GROUP_CASE} as check_group,
 
 @query("C29_group_rollup", GROUP_SQL)
 def _groups(spark, sf):
-    inv, con, led = _load(spark, sf)
-    return C.group_rollup(C.findings(inv, con, led, D.AS_OF, SQL_CHECKS))
-
-
-@query("C29_group_rollup_with_bank", GROUP_SQL.replace(FOUND_SQL, ALL_FOUND_SQL))
-def _all_groups(spark, sf):
     inv, con, led = _load(spark, sf)
     return C.group_rollup(C.findings(inv, con, led, D.AS_OF))
 
@@ -293,13 +278,11 @@ select question_id, q.tenant_id, check_id, case when list_contains(string_split(
 from q join found f on f.tenant_id=q.tenant_id where list_contains(string_split(asked,'|'), split_part(check_id,'-',1)) or not passed"""
 
 
-def focus(spark, sf, which):
+@query("C30_focus_findings", FOCUS_SQL)
+def _focus(spark, sf):
     inv, con, led = _load(spark, sf)
     t = inv.select("tenant_id").distinct()
     q = t.select(F.concat(F.lit("Q-"), "tenant_id").alias("question_id"), "tenant_id",
                  F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.substring("tenant_id", 6, 20).cast("bigint") % 5 + 1).cast("int")).alias("q"))
-    return C.focus_findings(q, C.findings(inv, con, led, D.AS_OF, which)).drop("n_flagged")
-
+    return C.focus_findings(q, C.findings(inv, con, led, D.AS_OF)).drop("n_flagged")
 
-query("C30_focus_findings", FOCUS_SQL)(lambda spark, sf: focus(spark, sf, SQL_CHECKS))
-query("C30_focus_findings_with_bank", FOCUS_SQL.replace(FOUND_SQL, ALL_FOUND_SQL))(lambda spark, sf: focus(spark, sf, ORDER))

@@ -9,7 +9,7 @@ from ..session import written
 from ..sources import driver_tables as D
 from . import texts as X
 from .adapters_sql import with_tables
-from .case_checks import ALL_FOUND_SQL, CHECK_SQL, ORDER
+from .case_checks import FOUND_SQL
 from .registry import query
 
 FIELDS = ["quality", "total_amount", "issue_date", "lead"]
@@ -20,7 +20,7 @@ def _gold_pred(spark, sf, shift: int = 0):
     k = F.col("doc_id")
     d = D.table(spark, sf, "labels").join(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     num, day = k * 37 + 1000, k % 28 + 1
-    lead = F.substring("text", 1, 8)
+    lead = F.col("text")
     gold = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("gold")) for f, v in [
         ("quality", F.col("quality").cast("string")), ("total_amount", F.when(k % 13 != 0, F.concat(F.lit("NT$"), F.format_number(num, 2)))),
         ("issue_date", F.concat(F.lit("2024-01-"), day.cast("string"))), ("lead", lead)]])
@@ -30,11 +30,11 @@ def _gold_pred(spark, sf, shift: int = 0):
     val = [("quality", F.when(blank, "N/A").when(wrong, (1 - F.col("quality")).cast("string")).otherwise(F.col("quality").cast("string"))),
            ("total_amount", F.when(blank, "unknown").otherwise(F.concat((num + F.when(wrong, 1).otherwise(0)).cast("string"), F.lit(" 元")))),
            ("issue_date", F.when(blank, "").when(wrong, F.concat(day.cast("string"), F.lit("/2/2024"))).when(F.col("m") == 1, F.concat(day.cast("string"), F.lit("/1/2024"))).otherwise(F.concat(day.cast("string"), F.lit(" Jan 2024")))),
-           ("lead", F.when(wrong, F.lit("zzqq")).otherwise(F.upper(lead)))]
+           ("lead", F.when(wrong, F.lit("zzqq")).otherwise(F.concat(F.lit("  "), lead, F.lit(" ."))))]
     pred = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(i).alias("i")) for i, (f, v) in enumerate(val)])
-    p = models.select(F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("dataset"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "doc_id", "m", F.explode(pred).alias("p"))
+    p = models.select(F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("dataset"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "doc_id", "m", "text", F.explode(pred).alias("p"))
     p = p.select("dataset", "model", "doc_id", "p.field", "p.value", ((k * 37 + F.col("m") * 11 + F.col("p.i") * 7) % 100 / 100).alias("confidence"),
-                 F.when(F.col("p.field") == "lead", 0).alias("span_start"), F.when(F.col("p.field") == "lead", 8).alias("span_end"))
+                 F.when(F.col("p.field") == "lead", 0).alias("span_start"), F.when(F.col("p.field") == "lead", F.length("text")).alias("span_end"))
     g = d.select("doc_id", F.explode(gold).alias("g")).select("doc_id", "g.*")
     return p, g, d.select("doc_id", "text")
 
@@ -48,12 +48,12 @@ def _norm(c):
 
 
 def out_sql(shift: int = 0, name: str = "o") -> str:
-    lead, v = _norm("substr(text,1,8)"), _norm("case when wrong then 'zzqq' else upper(substr(text,1,8)) end")
+    lead, v = _norm("text"), _norm("case when wrong then 'zzqq' else '  ' || text || ' .' end")
     return f"""{name}_d as (select l.doc_id, case when toxic=1 then 'toxic' else 'clean' end as dataset, m, concat('m',cast(m as varchar)) as model, f.field, f.i, text, quality, (l.doc_id+{shift})%(3+m*2)=0 as wrong, l.doc_id%10=3 as blank
   from labels l join documents using(doc_id) cross join (select unnest([1,2]) as m) mm cross join (select unnest(['quality','total_amount','issue_date','lead']) as field, unnest([0,1,2,3]) as i) f),
 {name} as (select dataset, model, doc_id, field, ((doc_id*37+m*11+i*7)%100)/100.0::double as confidence,
   case when field<>'lead' and blank then case when field='total_amount' and doc_id%13=0 then 'abstain_correct' else 'abstain_miss' end
-       when field='total_amount' and doc_id%13=0 then 'wrong' when field='lead' then case when length(trim(substr(text,1,8)))=0 then 'wrong' when {v}={lead} then 'correct' else 'wrong' end when wrong then 'wrong' else 'correct' end as outcome,
+       when field='total_amount' and doc_id%13=0 then 'wrong' when field='lead' then case when length(trim(text))=0 then 'wrong' when {v}={lead} then 'correct' else 'wrong' end when wrong then 'wrong' else 'correct' end as outcome,
   field='lead' as cited, field='lead' and (contains({lead},{v}) or contains({v},{lead})) as verified,
   case when field='lead' then not contains({_norm('text')}, {v}) when blank then false else not contains({_norm('text')},
     case field when 'quality' then cast(case when wrong then 1-quality else quality end as varchar) when 'total_amount' then concat(cast(doc_id*37+1000+case when wrong then 1 else 0 end as varchar),' 元')
@@ -126,20 +126,23 @@ query("V8_answer_summary", QA_SQL + """ select coalesce(tier,'all') as tier, cou
  round(avg(facts_ok::int),3) as fact_rate, round(avg(route_ok::int),3) as route_rate, round(avg(citation_rate),3) as citation_rate from scored group by rollup(tier)""")(lambda spark, sf: V.summarise(scored(spark, sf)))
 
 
-@query("V9_answer_key", f"""with {X.ASKED_SQL}, i as (select query_id as id, concat('doc-', cast(query_id%1500 as varchar)) as source, query_id%1500 as k, q, query_id%5=0 as must, query_id%3=0 as hasf, list_last(string_split(text, chr(10))) as frag from asked left join documents on doc_id=(query_id+query_id%2)%1500),
+@query("V9_answer_key", """with l as (select doc_id, string_split(text, chr(10)) as l from documents),
+i as (select d.doc_id as id, concat('doc-', cast(d.doc_id as varchar), case when d.doc_id%9=0 then 'x' else '' end) as source, d.l[len(d.l)] as q, d.doc_id%5=0 as must, d.doc_id%3=0 as hasf, array_to_string(f.l[greatest(1,len(f.l)-1):len(f.l)], chr(10)) as frag
+  from l d left join l f on f.doc_id=d.doc_id+d.doc_id%2),
 c as (select concat('doc-', cast(doc_id as varchar)) as source, regexp_replace(text,'[\\s,]','','g') as body from documents)
 select id, 'missing source' as problem, source as detail from i where source not in (select source from c) union all
 select id, 'fragment not in source', coalesce(frag,'') from i join c using(source) where hasf and not contains(body, regexp_replace(coalesce(frag,''),'[\\s,]','','g')) union all
 select id, 'abstain with facts', '' from i where must and hasf union all
 select id, 'repeated question', cast(n as varchar) from (select id, count(*) over (partition by regexp_replace(q,'[\\s,]','','g')) as n from i) z where n>1""")
 def _key(spark, sf):
-    a = X.asked(spark, sf)
-    d = D.table(spark, sf, "documents")
-    f = d.select((F.col("doc_id")).alias("fd"), F.element_at(F.split("text", "\n"), -1).alias("frag"))
-    k = F.col("query_id")
-    items = a.join(f, F.col("fd") == (k + k % 2) % 1500, "left").select(k.alias("id"), "q", (k % 5 == 0).alias("must_abstain"), F.concat(F.lit("doc-"), (k % 1500).cast("string")).alias("expect_source"),
-                                                           F.when(k % 3 == 0, F.array(F.coalesce("frag", F.lit("")))).alias("expect_contains"))
-    return V.validate_items(items, d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), "text"))
+    """An item for each document: its last line asks, the last two lines of it or of the next one are expected, and lines are the chunks."""
+    d = D.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    k = F.col("doc_id")
+    last = F.array_join(F.slice("l", F.greatest(F.lit(1), F.size("l") - 1), 2), "\n")
+    items = d.join(d.select(F.col("doc_id").alias("fd"), last.alias("frag")), F.col("fd") == k + k % 2, "left").select(
+        k.alias("id"), F.element_at("l", -1).alias("q"), (k % 5 == 0).alias("must_abstain"), F.concat(F.lit("doc-"), k.cast("string"), F.when(k % 9 == 0, "x").otherwise("")).alias("expect_source"),
+        F.when(k % 3 == 0, F.array(F.coalesce("frag", F.lit("")))).alias("expect_contains"))
+    return V.validate_items(items, d.select(F.concat(F.lit("doc-"), k.cast("string")).alias("source"), F.posexplode("l").alias("seq", "text")))
 
 
 query("V10_leakage", "select distinct trim(text) as q from documents where trim(text) in (select trim(text) from (select text from conversations union all select text from documents where doc_id%50=0) z)")(
@@ -156,27 +159,21 @@ select round(lo-0.03,4) as threshold, lo>hi as separable, round(ov/(ny+nn),3) as
 
 # ---- detection: each case is a trial; the check it is expected to fail follows its number -----------------------------------
 EXPECT = ["TAXID-01", "ARITH-01", "FRAUD-01", "DUP-01", "TERM-02", "TERM-03", "DATE-01", None]
-MATRIX_CHECKS = ["TAXID-01", "ARITH-01", "ARITH-02", "DATE-01", "FRAUD-01", "DUP-01", "TERM-01", "TERM-02", "TERM-03"]
 _EXP_SQL = "[" + ",".join(f"'{e}'" if e else "null" for e in EXPECT) + "]"
-_FOUND = " union all ".join(f"select tenant_id as trial, check_id, passed from ({CHECK_SQL[k]}) q_{i}" for i, k in enumerate(MATRIX_CHECKS))
+_FOUND = "select tenant_id as trial, check_id, passed from (" + FOUND_SQL[len("found as ("):-1] + ") q_all"
 DETECT_SQL = with_tables("inv", extra=f"""f as ({_FOUND}), lab as (select distinct tenant_id as trial, concat('D0', cast(cast(substr(tenant_id,6) as bigint)%8 as varchar)) as defect_id, ({_EXP_SQL})[cast(substr(tenant_id,6) as bigint)%8+1] as expected_check from inv),
 base as (select check_id, bool_and(passed) as passed from f where trial='CASE-0001' group by 1), clean as (select check_id from base where not passed), nc as (select count(*) as n_checks, count(*) filter (where not passed) as n_cf from base),
 fail as (select distinct trial, check_id from f where not passed), ex as (select * from fail where check_id not in (select check_id from clean)),
 m as (select defect_id, max(expected_check) as expected_check, count(*) as trials, sum(case when exists (select 1 from fail x where x.trial=lab.trial and x.check_id=expected_check) then 1 else 0 end) as hits,
   sum((select count(*) from ex where ex.trial=lab.trial and ex.check_id is distinct from expected_check)) as fp, sum((select n_checks-n_cf from nc) - (select count(*) from ex where ex.trial=lab.trial)) as tn from lab group by 1)""")
 
-# Queries named ..._all_checks have every check.
-ALL_DETECT_SQL = DETECT_SQL.replace(_FOUND, "select tenant_id as trial, check_id, passed from (" + ALL_FOUND_SQL[len("found as ("):-1] + ") q_all")
-
-
-def _detected(spark, sf, which):
+def _detected(spark, sf):
     inv, con, led = D.invoices(spark, sf), D.contracts(spark, sf), D.ledger(spark, sf)
-    name = "detect_findings" if which is MATRIX_CHECKS else "detect_findings_all"
-    return written(spark, sf, name, lambda: C.findings(inv, con, led, D.AS_OF, which).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
+    return written(spark, sf, "detect_findings", lambda: C.findings(inv, con, led, D.AS_OF).select(F.col("tenant_id").alias("trial"), "check_id", "passed"))
 
 
-def _matrix(spark, sf, which=MATRIX_CHECKS):
-    inv, f = D.invoices(spark, sf), _detected(spark, sf, which)
+def _matrix(spark, sf):
+    inv, f = D.invoices(spark, sf), _detected(spark, sf)
     n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     lab = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.concat(F.lit("D0"), n.cast("string")).alias("defect_id"),
                                                     F.element_at(F.array(*[F.lit(e).cast("string") for e in EXPECT]), n + 1).alias("expected_check"))
@@ -186,12 +183,11 @@ def _matrix(spark, sf, which=MATRIX_CHECKS):
 _MATRIX_SQL = " select defect_id, coalesce(expected_check,'') as expected_check, trials, cast(hits as bigint) as hits, cast(fp as bigint) as fp, cast(tn as bigint) as tn, round(hits/trials,4) as detection_rate from m"
 
 
-def _detect(spark, sf, which=MATRIX_CHECKS):
-    return _matrix(spark, sf, which).withColumn("expected_check", F.coalesce("expected_check", F.lit("")))
+def _detect(spark, sf):
+    return _matrix(spark, sf).withColumn("expected_check", F.coalesce("expected_check", F.lit("")))
 
 
 query("V12_detection_matrix", DETECT_SQL + _MATRIX_SQL)(lambda spark, sf: _detect(spark, sf))
-query("V12_detection_matrix_all_checks", ALL_DETECT_SQL + _MATRIX_SQL)(lambda spark, sf: _detect(spark, sf, ORDER))
 
 
 _RATES = ["precision", "recall", "specificity", "accuracy", "f1", "mcc"]
@@ -203,28 +199,26 @@ select scope, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(tn as big
  round(2*(tp/nullif(tp+fp,0))*(tp/nullif(tp+fn,0))/((tp/nullif(tp+fp,0))+(tp/nullif(tp+fn,0))),6) as f1, round((tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)),6) as mcc, 20*fn+fp as cost, round(1-(20*fn+fp)/(20*(tp+fn)),4) as cost_normalized from s"""
 
 
-def _totals(spark, sf, which=MATRIX_CHECKS):
-    d = V.detection_totals(_matrix(spark, sf, which))
+def _totals(spark, sf):
+    d = V.detection_totals(_matrix(spark, sf))
     return d.select("scope", *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn")], *[F.round(c, 6).alias(c) for c in _RATES], "cost", "cost_normalized")
 
 
 query("V12_detection_totals", DETECT_SQL + _TOTALS_SQL)(lambda spark, sf: _totals(spark, sf))
-query("V12_detection_totals_all_checks", ALL_DETECT_SQL + _TOTALS_SQL)(lambda spark, sf: _totals(spark, sf, ORDER))
 
 
 _KEY_SQL = """, e as (select distinct trial, expected_check as check_id from lab where expected_check is not null)
 select trial, check_id, 'missed' as kind from e where not exists (select 1 from fail where fail.trial=e.trial and fail.check_id=e.check_id) union all select trial, check_id, 'extra' from fail where not exists (select 1 from e where fail.trial=e.trial and fail.check_id=e.check_id)"""
 
 
-def _reconcile(spark, sf, which=MATRIX_CHECKS):
-    inv, f = D.invoices(spark, sf), _detected(spark, sf, which)
+def _reconcile(spark, sf):
+    inv, f = D.invoices(spark, sf), _detected(spark, sf)
     n = (F.substring("tenant_id", 6, 20).cast("bigint") % 8).cast("int")
     e = inv.select("tenant_id").distinct().select(F.col("tenant_id").alias("trial"), F.element_at(F.array(*[F.lit(x).cast("string") for x in EXPECT]), n + 1).alias("check_id")).where("check_id is not null")
     return V.reconcile_key(f.where("not passed"), e, ["trial", "check_id"])
 
 
 query("V13_key_reconciliation", DETECT_SQL + _KEY_SQL)(lambda spark, sf: _reconcile(spark, sf))
-query("V13_key_reconciliation_all_checks", ALL_DETECT_SQL + _KEY_SQL)(lambda spark, sf: _reconcile(spark, sf, ORDER))
 
 
 def runs(spark, sf):

@@ -238,11 +238,10 @@ def _assert(spark, sf):
     return E.assertions(stated(spark, sf), ["answer_id"], "answer")
 
 
-# Every critical check but BANK-01; queries named ..._with_bank have all of them.
-CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical" and k in CHECK_SQL]
+CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical"]
 
 AUDIT_SQL = with_tables("inv", "con", "led", extra=STATED_SQL + """,
-bad as (select distinct tenant_id from (""" + " union all ".join(f"select tenant_id, passed from ({CHECK_SQL[k]}) q" for k in CRITICAL) + """) c where not passed), cases as (select distinct tenant_id from inv),
+bad as (select distinct tenant_id from (""" + " union all ".join(f"select tenant_id, passed from ({CHECK_SQL[k]}) q" for k in CRITICAL if k in CHECK_SQL) + f""" union all select tenant_id, passed or severity <> 'critical' from ({BANK_SQL}) q_bank) c where not passed), cases as (select distinct tenant_id from inv),
 terms as (select tenant_id, cast(payment_terms_days as varchar) as v from inv union select tenant_id, cast(payment_terms_days as varchar) from con),
 known as (select tenant_id, buyer_ban as v from inv union select tenant_id, seller_ban from inv),
 aud as (select answer_id, 'AUD-01' as audit_id, 'contradiction' as severity, value from asserted a where kind='payment_terms' and tenant_id in (select tenant_id from cases) and not exists (select 1 from terms t where t.tenant_id=a.tenant_id and t.v=value)
@@ -251,14 +250,9 @@ aud as (select answer_id, 'AUD-01' as audit_id, 'contradiction' as severity, val
  union all select answer_id, 'AUD-04', 'contradiction', '建議送件' from stated where n%5=0 and tenant_id in (select tenant_id from bad))""")
 
 
-ALL_CRITICAL = [k for k, (severity, _) in checks.CHECKS.items() if severity == "critical"]
-_BAD = ") c where not passed), cases as ("
-ALL_AUDIT_SQL = AUDIT_SQL.replace(_BAD, f" union all select tenant_id, passed or severity <> 'critical' from ({BANK_SQL}) q_bank" + _BAD)
-
-
-def _audit(spark, sf, which=CRITICAL):
+def _audit(spark, sf):
     inv, con = D.invoices(spark, sf), D.contracts(spark, sf)
-    bad = checks.findings(inv, con, D.ledger(spark, sf), D.AS_OF, which).where("severity = 'critical' and not passed").select("tenant_id").distinct()
+    bad = checks.findings(inv, con, D.ledger(spark, sf), D.AS_OF, CRITICAL).where("severity = 'critical' and not passed").select("tenant_id").distinct()
     a = stated(spark, sf)
     return a, E.audit_answers(a, inv, con, bad)
 
@@ -266,8 +260,6 @@ def _audit(spark, sf, which=CRITICAL):
 query("E13_answer_audit", AUDIT_SQL + "select * from aud")(lambda spark, sf: _audit(spark, sf)[1])
 RELEASABLE_SQL = "select s.answer_id, coalesce(a.n,0) as contradictions, a.n is null as releasable from stated s left join (select answer_id, count(*) as n from aud where severity='contradiction' group by 1) a on a.answer_id=s.answer_id"
 query("E13_releasable", AUDIT_SQL + RELEASABLE_SQL)(lambda spark, sf: E.releasable(*_audit(spark, sf)))
-query("E13_answer_audit_with_bank", ALL_AUDIT_SQL + "select * from aud")(lambda spark, sf: _audit(spark, sf, ALL_CRITICAL)[1])
-query("E13_releasable_with_bank", ALL_AUDIT_SQL + RELEASABLE_SQL)(lambda spark, sf: E.releasable(*_audit(spark, sf, ALL_CRITICAL)))
 
 # ---- governance ------------------------------------------------------------------------------------------------------
 AS_OF = dt.date(2024, 1, 15)
