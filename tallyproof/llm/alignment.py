@@ -10,7 +10,11 @@ it has, each once, so a pair that stands in every document moves once for each b
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyproof.llm.blocks import answers, by_block, in_blocks, staged
 from tallyproof.llm.common import id_and_text, small_batches, stored, worker_store
-from tallyproof.llm.words import slices
+from tallyproof.llm.words import mix, slices
 
+BEYOND_LATIN = re.compile("[^\0-\xff]")
 #: Windows that a worker remembers, and the most ids of one that is worth it.
-MEMO, MEMO_IDS = 300_000, 64
+MEMO, MEMO_IDS = 200_000, 64
 #: Pairs that a task gathers before it sends them.
 SEND = 1 << 20
 
@@ -44,16 +49,36 @@ def byte_decoder() -> dict[str, int]:
 
 
 def byte_level(path: str):
-    """``(encode, vocabulary)`` of a byte-level BPE file; ``encode`` gives the ids of each text of a list."""
+    """``(encode, vocabulary)`` of a byte-level BPE file; ``encode`` gives the ids of each text of a list.
+
+    Texts of Latin-1 characters go through the same vocabulary as ranks, which is several times faster, if the file's ids follow its merges and its
+    words are those of ``public_tokenizers.PATTERN``; on other characters the two libraries' tables of letters may differ."""
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok, table = Tokenizer.from_file(path), byte_decoder()
     tok.encode_special_tokens = True  # their strings in a text are plain text
-    tokens = [b""] * tok.get_vocab_size()
+    special = {t.content for t in tok.get_added_tokens_decoder().values()}
+    tokens, ranks = [b""] * tok.get_vocab_size(), {}
     for token, i in tok.get_vocab().items():
-        tokens[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
-    return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)], Vocabulary(tokens)
+        tokens[i] = token.encode() if token in special else bytes(table[c] for c in token)
+        if token not in special:
+            ranks[tokens[i]] = i
+    parts = json.loads(tok.to_str())
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in parts["model"]["merges"]]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    fast = None
+    if parts["pre_tokenizer"] == plain and parts["normalizer"] is None and all(tok.token_to_id(m) == 256 + k for k, m in enumerate(merged)):
+        fast = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        easy = [fast is not None and (t.isascii() or not BEYOND_LATIN.search(t)) for t in texts]
+        rest = iter(tok.encode_batch([t for t, e in zip(texts, easy) if not e], add_special_tokens=False))
+        return [fast(t) if e else next(rest).ids for t, e in zip(texts, easy)]
+
+    return encode, Vocabulary(tokens)
 
 
 def pieces(path: str):
@@ -77,58 +102,116 @@ def coders(path_a: str, path_b: str):
 
 
 class Aligner:
-    """Groups and links of windows of ids, each pair of id tuples worked out once."""
+    """Groups and links of windows of ids, each pair of id tuples worked out once.
 
-    def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.a, self.b = a, b
-        self.memo: dict = {}
-        self.older: dict = {}
+    A window gives ``(groups, number of groups, pairs, uses)``: every link as a 64-bit pair in ``pairs``, or, where a group
+    has many tokens, each pair once and how often in ``uses``, which is empty otherwise.
+    """
 
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, int, np.ndarray, np.ndarray]:
-        """``(groups, number of groups, number of links, pairs, uses)`` of a window that begins and ends alike in both."""
-        end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        shared = np.intersect1d(end_a, end_b)
-        cut_a, cut_b = np.searchsorted(end_a, shared) + 1, np.searchsorted(end_b, shared) + 1
-        text, pairs, uses, links, low_a, low_b = [], [], [], 0, 0, 0
-        for high_a, high_b in zip(cut_a.tolist(), cut_b.tolist()):
-            one, two = a[low_a:high_a], b[low_b:high_b]
-            text.append(",".join(map(str, one.tolist())) + "|" + ",".join(map(str, two.tolist())))
-            links += len(one) * len(two)
-            one, n_one = np.unique(one, return_counts=True)
-            two, n_two = np.unique(two, return_counts=True)
-            pairs.append(((one.astype(np.int64) << 32)[:, None] + two).ravel())
-            uses.append((n_one[:, None] * n_two).ravel())
-            low_a, low_b = high_a, high_b
-        return ";".join(text), len(text), links, np.concatenate(pairs), np.concatenate(uses)
-
-    def known(self, a: np.ndarray, b: np.ndarray, key: tuple[bytes, bytes]):
-        found = self.older.get(key)
-        if found is None:
-            found = self.window(a, b)
-        if len(a) + len(b) <= MEMO_IDS:
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.a, self.b, self.memo, self.older = a, b, {}, {}
+        self.long_a, self.long_b, self.names = a.length.tolist(), b.length.tolist(), [str(i) for i in range(max(len(a.length), len(b.length)))]
+
+    def window(self, a: list[int], b: list[int]) -> tuple[str, int, bytes, bytes]:
+        long_a, long_b, name = self.long_a, self.long_b, self.names
+        text, pairs, uses, i, j = [], [], None, 0, 0
+        while i < len(a):
+            x, y = a[i], b[j]
+            i, j, ahead = i + 1, j + 1, long_a[x] - long_b[y]
+            if not ahead:
+                text.append(name[x] + "|" + name[y])
+                pairs.append(x << 32 | y)
+                if uses is not None:
+                    uses.append(1)
+                continue
+            one, two = [x], [y]
+            while ahead:
+                if ahead < 0:
+                    one.append(a[i])
+                    ahead, i = ahead + long_a[a[i]], i + 1
+                else:
+                    two.append(b[j])
+                    ahead, j = ahead - long_b[b[j]], j + 1
+            text.append(",".join([name[x] for x in one]) + "|" + ",".join([name[y] for y in two]))
+            if len(one) * len(two) <= 4096:
+                pairs += [x << 32 | y for x in one for y in two]
+                if uses is not None:
+                    uses += [1] * (len(one) * len(two))
+            else:
+                (one, n_one), (two, n_two) = (np.unique(x, return_counts=True) for x in (one, two))
+                uses = ([1] * len(pairs) if uses is None else uses) + (n_one[:, None] * n_two).ravel().tolist()
+                pairs += ((one.astype(np.int64) << 32)[:, None] + two).ravel().tolist()
+        return ";".join(text), len(text), array("Q", pairs).tobytes(), b"" if uses is None else array("Q", uses).tobytes()
+
+    def known(self, a: bytes, b: bytes) -> tuple[str, int, bytes, bytes]:
+        """The same of ids as 32-bit values, from memory where the window was seen."""
+        found = self.memo.get((a, b))
+        if found is not None:
+            return found
+        found = self.older.get((a, b)) or self.window(array("I", a).tolist(), array("I", b).tolist())
+        if len(a) + len(b) <= 4 * MEMO_IDS:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
-            self.memo[key] = found
+            self.memo[a, b] = found
         return found
 
-    def document(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, int, np.ndarray, np.ndarray]:
-        """The same of a document whose tokens have equal bytes, with each pair once."""
+    def documents(self, lists_a: list[list[int]], lists_b: list[list[int]]) -> list[tuple[str, int, int, np.ndarray, np.ndarray]]:
+        """``(groups, number of groups, number of links, pairs, uses)`` of documents whose tokens have equal bytes, each pair once."""
+        if not lists_a:
+            return []
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (lists_a, lists_b))
+        docs_a, docs_b = (np.cumsum([0, *map(len, x)]) for x in (lists_a, lists_b))
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        at_a = np.searchsorted(end_a, end_b[:-1])
-        after_a = np.concatenate([self.a.spaced[a[1:]], [False]])
-        anchor = (end_a[at_a] == end_b[:-1]) & after_a[at_a] & self.b.spaced[b[1:]]
-        cut_b = np.flatnonzero(anchor) + 1
-        cut_a = at_a[anchor] + 1
-        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        edges_a, edges_b = [0, *cut_a.tolist(), len(a)], [0, *cut_b.tolist(), len(b)]
-        memo, found = self.memo, []
-        for w, x, y, z in zip(edges_a, edges_a[1:], edges_b, edges_b[1:]):
-            key = raw_a[4 * w:4 * x], raw_b[4 * y:4 * z]
-            one = memo.get(key)
-            found.append(self.known(a[w:x], b[y:z], key) if one is None else one)
-        text, groups, links, pairs, uses = zip(*found)
-        pairs, number = np.unique(np.concatenate(pairs), return_inverse=True)
-        return ";".join(text), sum(groups), sum(links), pairs, np.bincount(number, np.concatenate(uses)).astype(np.int64)
+        at = np.searchsorted(end_a, end_b)
+        before_a, before_b = np.append(self.a.spaced[a[1:]], True), np.append(self.b.spaced[b[1:]], True)
+        before_a[docs_a[1:] - 1] = before_b[docs_b[1:] - 1] = True
+        anchor = np.flatnonzero((end_a[at] == end_b) & before_a[at] & before_b)
+        low_b, high_b = np.append(0, anchor[:-1] + 1), anchor + 1
+        high_a = at[anchor] + 1
+        low_a = np.append(0, high_a[:-1])
+        # windows with equal ids, by 128 bits of their ids
+        one, two = (self.rolled(a, low_a, high_a, k) ^ self.rolled(b, low_b, high_b, k + 2) for k in (0, 1))
+        order = np.lexsort((two, one))
+        fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        lead = order[fresh]
+        raw_a, raw_b = a.astype(np.uint32).tobytes(), b.astype(np.uint32).tobytes()
+        found = [self.known(raw_a[w:x], raw_b[y:z]) for w, x, y, z in zip(*((4 * edge[lead]).tolist() for edge in (low_a, high_a, low_b, high_b)))]
+        text, groups, pairs, uses = zip(*found)
+        size = np.array([len(p) // 8 for p in pairs], np.int64)
+        once = np.frombuffer(b"".join(pairs), "<u8").astype(np.int64)
+        times = np.concatenate([np.frombuffer(u, "<u8").astype(np.int64) if u else np.ones(n, np.int64) for u, n in zip(uses, size.tolist())]) if any(uses) else None
+        first, n = np.cumsum(size) - size, size[number]
+        ends = np.cumsum(n)
+        spot = np.repeat(first[number] - (ends - n), n) + np.arange(ends[-1])
+        edges = np.searchsorted(high_a, docs_a)  # the first window of each document
+        edges[1:] += 1
+        row = np.repeat(np.repeat(np.arange(len(lists_a)), np.diff(edges)), n)
+        pair = once[spot]
+        wide = len(self.b.bytes)
+        key, back, count = np.unique((row * len(self.a.bytes) + (pair >> 32)) * wide + (pair & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+        if times is not None:
+            count = np.zeros(len(key), np.int64)
+            np.add.at(count, back, times[spot])
+        head, tail = np.divmod(key, wide)
+        row, head = np.divmod(head, len(self.a.bytes))
+        pair = (head << 32) + tail
+        cuts = np.searchsorted(row, np.arange(len(lists_a) + 1))
+        groups = np.array(groups, np.int64)[number]
+        out = []
+        for r, (low, high) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            x, y = cuts[r], cuts[r + 1]
+            out.append((";".join([text[k] for k in number[low:high].tolist()]), int(groups[low:high].sum()), int(count[x:y].sum()), pair[x:y], count[x:y]))
+        return out
+
+    @staticmethod
+    def rolled(ids: np.ndarray, low: np.ndarray, high: np.ndarray, lane: int) -> np.ndarray:
+        """A 64-bit hash of the ids of each window, by their place in it."""
+        width = high - low
+        place = (np.arange(len(ids)) - np.repeat(low, width)).astype(np.uint64)
+        value = mix(mix(ids.astype(np.uint64) + np.uint64(lane << 40)) + place)
+        return np.add.reduceat(value, low)
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
@@ -139,17 +222,19 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False
         (encode_a, voc_a), (encode_b, voc_b) = coders(path_a, path_b)
         aligner = Aligner(voc_a, voc_b)
         for whole in batches:
-            for low, high in slices(whole.column(1), 1 << 18):
+            for low, high in slices(whole.column(1)):
                 batch = whole.slice(low, high - low)
                 raw = [t or "" for t in batch.column(1).to_pylist()]
+                both = list(zip(encode_a([" " + t for t in raw]), encode_b(raw)))
+                whole_ones = [bool(t) and b"".join(map(voc_a.bytes.__getitem__, a)) == (w := (" " + t).encode()) and b"".join(map(voc_b.bytes.__getitem__, b)) == w
+                              for t, (a, b) in zip(raw, both)]
+                found = iter(aligner.documents([a for (a, _), ok in zip(both, whole_ones) if ok], [b for (_, b), ok in zip(both, whole_ones) if ok]))
                 rows = []
-                for text, a, b in zip(raw, encode_a([" " + t for t in raw]), encode_b(raw)):
-                    want = (" " + text).encode()
-                    if not text or b"".join(map(voc_a.bytes.__getitem__, a)) != want or b"".join(map(voc_b.bytes.__getitem__, b)) != want:
+                for (a, b), ok in zip(both, whole_ones):
+                    if not ok:
                         rows.append((0, 0, 0, 0, "", b"", b"", ""))
                         continue
-                    a, b = np.array(a, np.int64), np.array(b, np.int64)
-                    groups, n_groups, n_links, pairs, uses = aligner.document(a, b)
+                    groups, n_groups, n_links, pairs, uses = next(found)
                     rows.append((len(a), len(b), n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest(), pairs.astype("<u8").tobytes(), uses.astype("<u4").tobytes(), groups))
                 cols = list(zip(*rows))[:7 + with_groups]
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * 2 + [pa.string()]

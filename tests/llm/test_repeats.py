@@ -236,7 +236,7 @@ def test_alignment(spark, monkeypatch):
     rng = random.Random(8)
     words = "the cat sat running tokenization Überraschung naïve 12345 x.y don't 😀 漢字 ﬁ <|endoftext|> <s> <unk> ▁ \x85 á <0x41> '' zzzqqq".split(" ")
     texts = [(i, rng.choice([" ", "  ", "\n", "\t"]).join(rng.choice(words[:rng.choice([4, 12, len(words)])]) for _ in range(rng.choice([1, 3, 12, 60])))) for i in range(160)]
-    texts += ODD[:7] + ODD[8:] + [(900, "x" * 3000), (901, "漢" * 400), (902, " lead"), (903, "a▁b")]
+    texts += ODD[:7] + ODD[8:] + [(900, "x" * 3000), (901, "漢" * 400), (904, "9" * 5000 + "漢字" * 300), (902, " lead"), (903, "a▁b")]
     groups = [linked(t) for _, t in texts]
     counts, rows = Counter(), []
     for g in groups:
@@ -262,3 +262,27 @@ def test_alignment_groups_and_memory(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MEMO", 3)
     r = alignment.aligned(docs(spark, [(1, "the cat sat tokenization on the cat")], 1), BYTE_BPE, PIECE_BPE, with_groups=True).first()
     assert r.groups == ";".join(",".join(map(str, o)) + "|" + ",".join(map(str, t)) for o, t in linked("the cat sat tokenization on the cat"))
+
+
+def test_windows_of_many_tokens_count_pairs_once_each():
+    aligner = alignment.Aligner(alignment.Vocabulary([b"x", b"xx"]), alignment.Vocabulary([b"xxx" * 50, b"x" * 151]))
+    one, two = [0, 1] * 7000 + [0], [0] * 139 + [1]
+    assert sum(1 + t for t in one) == 139 * 150 + 151
+    _, (text, n, links, pairs, uses), _ = aligner.documents([[0] * 151, one, [0] * 151], [[1], two, [1]])
+    groups = text.split(";")
+    want = Counter()
+    for g in groups:
+        x, y = ([int(v) for v in side.split(",")] for side in g.split("|"))
+        want.update((p << 32) + q for p in x for q in y)
+    assert n == len(groups) and dict(zip(pairs.tolist(), uses.tolist())) == want and links == sum(want.values()) and max(len(g) for g in groups) > 50
+
+
+def test_byte_level_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    tok.encode_special_tokens = True
+    rng = random.Random(12)
+    signs = [chr(k) for k in range(256)] + ["'s", " the", "<|endoftext|>", "  ", "Ā", "漢", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(16))) for _ in range(4000)]
+    assert alignment.byte_level(BYTE_BPE)[0](texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
