@@ -43,11 +43,33 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def edits_by_end(q: str, text: str) -> list[int]:
+    """For each place of ``text`` the fewest edits (insert, delete, replace) that turn ``q`` into some piece ending there:
+    one pass, all places of ``q`` at once in the bits of an integer."""
+    n = len(q)
+    at: dict[str, int] = {}
+    for i, ch in enumerate(q):
+        at[ch] = at.get(ch, 0) | (1 << i)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    more, less, score, out = full, 0, n, []
+    for ch in text:
+        same = at.get(ch, 0)
+        down = same | less
+        side = (((same & more) + more) ^ more) | same
+        grow, drop = less | (full & ~(side | more)), more & side
+        score += 1 if grow & top else -1 if drop & top else 0
+        out.append(score)
+        grow, drop = grow << 1 & full, drop << 1 & full
+        more, less = drop | (full & ~(down | grow)), grow & down
+    return out
+
+
 def near_ratio(q: str, text: str, least: float = NEAR) -> float:
     """Best ratio of ``q`` with a window of its own length in ``text`` where that reaches ``least``, else 0.
 
     A window of ratio >= least needs at most d = |q| (1 - least/100) deletions and as many insertions, so of 2 d + 1
-    equal pieces of the quote at least one occurs in it unchanged: only windows around such pieces are scored.
+    equal pieces of the quote at least one occurs in it unchanged. Around such pieces one pass gives the fewest edits to any piece that
+    ends at a place; only windows that end where these are few enough are scored.
     """
     n = len(q)
     if not n or not text:
@@ -63,25 +85,56 @@ def near_ratio(q: str, text: str, least: float = NEAR) -> float:
         while piece and pos >= 0:
             starts.update(range(pos - a - d, pos - a + d + 1))
             pos = text.find(piece, pos + 1)
-    best = 0.0
-    for s in starts:
-        w = text[max(0, s):max(0, s + n)]  # clipped windows at both ends count as well
-        if w:
-            best = max(best, indel_ratio(q, w))
+    best, most = 0.0, int(2 * n * (1 - least / 100)) + 1
+    ordered = sorted(starts)
+    while ordered:  # one pass for starts whose windows overlap
+        last = next((i for i in range(1, len(ordered)) if ordered[i] - ordered[i - 1] > n), len(ordered))
+        group, ordered = ordered[:last], ordered[last:]
+        low, high = max(0, group[0]), max(0, group[-1] + n)
+        edits = edits_by_end(q, text[low:high])
+        for s in group:
+            w = text[max(0, s):max(0, s + n)]  # clipped windows at both ends count as well
+            if w and edits[max(0, s) + len(w) - low - 1] <= most:
+                best = max(best, indel_ratio(q, w))
     return best if best >= least else 0.0
 
 
 def common_substring(a: str, b: str) -> int:
-    """Length of the longest common substring by bisection on the length."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        m = (lo + hi + 1) // 2
-        grams = {a[i:i + m] for i in range(len(a) - m + 1)}
-        if any(b[i:i + m] in grams for i in range(len(b) - m + 1)):
-            lo = m
-        else:
-            hi = m - 1
-    return lo
+    """Length of the longest common substring: the shorter string as a suffix automaton, the longer one read through it once."""
+    a, b = sorted((a, b), key=len)
+    follow: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for ch in a:
+        new, p = len(follow), last
+        follow.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        while p >= 0 and ch not in follow[p]:
+            follow[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            to = follow[p][ch]
+            if length[p] + 1 == length[to]:
+                link[new] = to
+            else:
+                twin = len(follow)
+                follow.append(dict(follow[to]))
+                length.append(length[p] + 1)
+                link.append(link[to])
+                while p >= 0 and follow[p].get(ch) == to:
+                    follow[p][ch] = twin
+                    p = link[p]
+                link[to] = link[new] = twin
+        last = new
+    best = state = n = 0
+    for ch in b:
+        while state and ch not in follow[state]:
+            state = link[state]
+            n = length[state]
+        if ch in follow[state]:
+            state, n = follow[state][ch], n + 1
+            best = max(best, n)
+    return best
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 
@@ -174,3 +175,29 @@ def test_vector_index_recall(spark):
         got = vector_index.search(index, q.where(f"query_id = {r.query_id}"), 10).orderBy("rank_d").collect() if r.query_id < 3 else None
         assert got is None or [x.chunk_id for x in got] == best
     assert vector_index.search(vector_index.build(c.where("false"), measure=False), q, 5).count() == 0
+
+
+def test_common_substring_is_linear():
+    rnd = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randrange(14))) for _ in range(2))
+        assert E.common_substring(a, b) == max((k for k in range(len(a) + 1) for i in range(len(a) - k + 1) if a[i:i + k] in b), default=0), (a, b)
+    a, b = ("".join(rnd.choice("abcdefghij") for _ in range(100_000)) for _ in range(2))
+    start = time.process_time()
+    assert E.common_substring(a + "shared passage", b + "shared passage") >= 14
+    assert time.process_time() - start < 2
+    assert E.common_substring("a" * 100_000, "a" * 99_999 + "b") == 99_999
+
+
+def test_edits_by_end():
+    rnd = random.Random(6)
+    for _ in range(200):
+        q, t = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))) for _ in range(2))
+        row, want = list(range(len(q) + 1)), []
+        for ch in t:
+            new = [0]
+            for i, x in enumerate(q):
+                new.append(min(row[i] + (x != ch), row[i + 1] + 1, new[i] + 1))
+            row = new
+            want.append(row[-1])
+        assert E.edits_by_end(q, t) == want
