@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.joins import broadcast_if_small
 from ..functions.ordered import first_per_key
+from ..session import cut
 from ..functions.text import cn_ratio, contains_any, found_in_order, largest_amount, match_norm, nfkc, occurrences, squeeze, starts
 from . import questions as Q
 
@@ -477,7 +478,7 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     """Text audit: quoted fragments must occur in the corpus, marked numbers within 200 characters of a word of their line,
     lines with figures and no mark are reported. (key, line_no, kind, value, verified)
 
-    ``corpus`` (doc_key, body) is scanned once per asked string through a bounded list of distinct strings.
+    ``corpus`` (body) is read once for the quotes and once for the words, through positional indexes of what is asked for.
     """
     l = marked_lines(texts, key, text)
     frag = l.where(F.array_contains("marks", "📗")).select(key, "line_no", F.explode(F.regexp_extract_all("line", F.lit("「([^「」]{6,})」"), 1)).alias("value"))
@@ -491,7 +492,7 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     asked = frag.select("norm").distinct()
     # equal bodies count once; the digest stands in for the text until candidates are known
     body = corpus.select("body", F.md5("body").alias("body_id")).dropDuplicates(["body_id"])
-    q_found = _contained(asked, body.select("body_id", squeeze(F.col("body")).alias("b")), "norm", "b")
+    q_found = places(asked.withColumnRenamed("norm", "needle"), body.select("body_id", squeeze(F.col("body")).alias("b")), "b", GRAM).select(F.col("needle").alias("norm")).distinct()
     fr = frag.join(q_found.withColumn("ok", F.lit(True)), "norm", "left").select(key, "line_no", F.lit("quote").alias("kind"), "value", F.coalesce("ok", F.lit(False)).alias("verified"))
     pairs = num.withColumn("form", F.explode("forms")).withColumn("word", F.explode("words")).select("form", "word").distinct()
     n_found = _near(pairs, body.select("body_id", F.regexp_replace("body", ",", "").alias("n")), window)
@@ -503,36 +504,46 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     return fr.unionByName(nu).unionByName(un)
 
 
-GRAM = 6
+GRAM, WORD_GRAM = 6, 2
 
 
-def _contained(asked: DataFrame, bodies: DataFrame, needle: str, hay: str) -> DataFrame:
-    """Needles (>= 6 characters) contained in at least one body. Candidates meet on the needle's first six characters, an
-    equi-join against the distinct six-grams of each body that start some needle; containment is then tested."""
-    a = asked.withColumn("g", F.substring(needle, 1, GRAM))
+def places(asked: DataFrame, bodies: DataFrame, hay: str, gram: int, tiles: int = 8) -> DataFrame:
+    """(needle, body_id, at): every occurrence of every needle of ``gram`` or more characters, places from 0.
+
+    A positional index of some grams of each needle, spread over it: the rarest of them in the corpus gives the candidate places, and
+    the needle must stand there in the body, which is fetched once for all its candidates. A gram of which the corpus has none rules its needle out.
+    """
+    n = F.length("needle")
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.floor((n - gram) * k / (tiles - 1)).cast("int")))
+    a = asked.where(n >= gram).select("needle", F.explode(spread).alias("o")).withColumn("g", F.expr(f"substring(needle, o + 1, {gram})"))
     wanted = broadcast_if_small(a.select("g").distinct())
-    grams = F.array_distinct(starts(F.col(hay), GRAM))
-    at = bodies.select("body_id", F.explode(grams).alias("g")).join(wanted, "g", "left_semi")
-    return at.join(a, "g").join(bodies, "body_id").where(F.contains(F.col(hay), F.col(needle))).select(needle).distinct()
+    grams = F.regexp_extract_all(F.col(hay), F.lit("(?s)(?=(.{%d}))." % gram), 1)  # one whole character a step, so places count characters
+    index = cut(bodies.select("body_id", F.posexplode(grams).alias("pos", "g")).join(wanted, "g", "left_semi"))
+    often = index.groupBy("g").agg(F.count("*").alias("often"))
+    rare = a.join(often, "g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "o", "g")).alias("r")).where("r.often > 0")
+    found = rare.select("needle", F.col("r.o").alias("o"), F.col("r.g").alias("g")).join(index, "g").select("needle", "body_id", (F.col("pos") - F.col("o")).alias("at")).where("at >= 0")
+    return found.join(bodies, "body_id").where(F.substring(hay, F.col("at") + 1, n) == F.col("needle")).select("needle", "body_id", "at")
 
 
-def _near(pairs: DataFrame, bodies: DataFrame, window: int, longest: int = 40) -> DataFrame:
+def _near(pairs: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
     """(form, word) where the word lies within ``window`` characters of the number in some body.
 
-    A number form sits inside one run of digits and dots, so bodies and forms meet on the substrings of those runs (an
-    equi-join; forms beyond ``longest`` characters meet on their beginning), then the distance is tested by pattern.
+    Places of the words come from the index; what stands around them is cut out once, and the number must lie in it wholly on one
+    side, near enough.
     """
-    runs = F.array_distinct(F.regexp_extract_all("n", F.lit(r"([0-9.]+)"), 1))
-    subs = lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.length(r) - i + 1, F.lit(longest))), lambda n: F.substring(r, i, n))))
-    p = pairs.withColumn("k", F.substring("form", 1, longest))
-    keyed = bodies.select("body_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, subs)))).alias("k"))
-    d = keyed.join(broadcast_if_small(p.select("k").distinct()), "k", "left_semi").join(p, "k").join(bodies, "body_id")
-    form, word = F.replace(F.col("form"), F.lit("."), F.lit("\\.")), F.col("word")
-    after = F.greatest(F.lit(0), window - F.length("form") - F.length("word")).cast("string")
-    before = F.greatest(F.lit(0), window - F.length("word")).cast("string")
-    pat = F.concat(form, F.lit("[\\s\\S]{0,"), after, F.lit("}"), word, F.lit("|"), word, F.lit("[\\s\\S]{0,"), before, F.lit("}"), form)
-    return d.where(F.rlike("n", pat)).select("form", "word").distinct()
+    longest = pairs.agg(F.max(F.length("form"))).first()[0] or 0
+    at = places(pairs.select(F.col("word").alias("needle")).distinct(), bodies, "n", WORD_GRAM)
+    left, right = F.greatest(F.lit(window - 2), F.lit(longest)), F.lit(window + longest)
+    around = at.join(bodies, "body_id").select(
+        F.col("needle").alias("word"), F.expr("length(needle)").alias("lw"),
+        F.substring("n", F.greatest(F.col("at") - left, F.lit(0)) + 1, F.least(F.col("at"), left)).alias("before"),
+        F.substring("n", F.col("at") + F.length("needle") + 1, right).alias("after")).distinct()
+    room = F.lit(window) - F.col("lw")
+    d = pairs.join(around, "word")
+    lf = F.length("form")
+    ahead = F.right(F.col("before"), F.greatest(room, lf))
+    behind = F.left(F.col("after"), F.greatest(room, F.lit(0)) + lf)
+    return d.where(F.contains(ahead, F.col("form")) | F.contains(behind, F.col("form"))).select("form", "word").distinct()
 
 
 LAYER_DROP = "，。、；：「」『』（）()《》〈〉！？…—－-·　 \t\n\r"

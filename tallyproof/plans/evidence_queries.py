@@ -150,9 +150,9 @@ def _typos(spark, sf):
 
 
 def marked(spark, sf):
-    """Texts with marks: a true fragment of the document, its beginning as a list item, figures, and bare lines."""
+    """Texts with marks: the last line of the document, the same with another ending as a list item, figures, and bare lines."""
     d = table(spark, sf, "documents")
-    frag = F.regexp_replace(F.substring("text", 10, 40), r"[\n「」]", " ")
+    frag = F.regexp_replace(F.element_at(F.split("text", "\n"), -1), "[「」]", " ")
     lines = F.array(F.lit("# 標題"), F.concat(F.lit("📗 原文 「"), frag, F.lit("」")), F.concat(F.lit("- 續列 「"), frag, F.lit(" zzz」")), F.lit(""), F.lit("段落無標記 12,345 元"),
                     F.concat(F.lit("📊 金額 "), (F.lit(10000) + F.col("doc_id")).cast("string"), F.lit(" 元 統計金額")), F.lit("## 結尾"), F.lit("| 表格 | 88% |"))
     return d.select("doc_id", F.array_join(lines, "\n").alias("text"))
@@ -164,7 +164,16 @@ def figures(spark, sf):
     return d.select(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("統計金額 "), (F.lit(10000) + F.col("doc_id")).cast("string"), F.lit(".00 元"))).otherwise(F.col("text")).alias("body"))
 
 
-@query("E14_text_audit")
+@query("E14_text_audit", """with d as (select doc_id, regexp_replace(list_last(string_split(text, chr(10))), '[「」]', ' ', 'g') as frag from documents),
+b as (select distinct case when doc_id%3=0 then concat(text, '統計金額 ', cast(10000+doc_id as varchar), '.00 元') else text end as body from documents),
+s as (select regexp_replace(body, '\\s+', '', 'g') as b from b), w as (select replace(body, ',', '') as n from b where contains(body, '統計金額')), p as (select n, position('統計金額' in n) as p from w),
+q as (select doc_id, 2 as line_no, frag as value from d union all select doc_id, 3, concat(frag, ' zzz') from d),
+n as (select doc_id, q.line_no, value, regexp_replace(value, '\\s+', '', 'g') as norm from q where length(value) >= 6),
+k as (select distinct norm, exists (select 1 from s where contains(b, norm)) as ok from n where length(norm) >= 6),
+m as (select doc_id, cast(10000+doc_id as varchar) as value from documents)
+select doc_id, line_no, 'quote' as kind, value, ok as verified from n join k using (norm) union all
+select doc_id, 6, 'number', value, exists (select 1 from p, (select 4 as lw, 0 as o union all select 2, 2) z where contains(substr(n, greatest(1, p+o-(200-lw)), least(p+o-1, 200-lw)), value) or contains(substr(n, p+o+lw, 200-lw+length(value)), value)) from m union all
+select doc_id, 5, 'unmarked', '段落無標記 12,345 元', false from d union all select doc_id, 8, 'unmarked', '| 表格 | 88% |', false from d""")
 def _audit(spark, sf):
     return E.audit_marked(marked(spark, sf), figures(spark, sf), "doc_id")
 

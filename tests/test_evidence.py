@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -201,3 +202,20 @@ def test_edits_by_end():
             row = new
             want.append(row[-1])
         assert E.edits_by_end(q, t) == want
+
+
+def test_places_of_needles(spark):
+    rnd = random.Random(7)
+    bodies = [(i, "".join(rnd.choice("abc😀") for _ in range(rnd.choice([0, 3, 40, 200])))) for i in range(40)]
+    needles = list({"".join(rnd.choice("abc😀") for _ in range(rnd.randrange(3, 9))) for _ in range(60)} | {bodies[3][1][5:30] or "aaaa", "zzzz"})
+    got = E.places(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(bodies, "body_id long, b string"), "b", 3).collect()
+    want = [(x, i, k) for x in needles for i, t in bodies for k in range(len(t)) if t.startswith(x, k)]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_number_near_word(spark):
+    body = "12345 " + "x" * 190 + "金額" + "y" * 197 + "777.5 " + "z" * 300 + "統計 88 "
+    pairs = [(f, w) for f in ("12345", "777.5", "88", "2345", "5") for w in ("金額", "統計")]
+    near = lambda f, w: bool(re.search(f"{re.escape(f)}[\\s\\S]{{0,{max(0, 200 - len(f) - len(w))}}}{w}|{w}[\\s\\S]{{0,{max(0, 200 - len(w))}}}{re.escape(f)}", body))
+    got = E._near(spark.createDataFrame(pairs, "form string, word string"), spark.createDataFrame([(1, body)], "body_id long, n string"), 200).collect()
+    assert sorted(map(tuple, got)) == sorted(p for p in pairs if near(*p)) and got
