@@ -370,15 +370,15 @@ def gates(parts: DataFrame, answers: DataFrame) -> DataFrame:
 
 # ---- names ------------------------------------------------------------------------------------------------------------
 
-# Endings of institution names, longest first.
-SUFFIXES = ["信用保證協會", "股份有限公司", "商業銀行", "信保基金", "有限公司", "基金會", "事務所", "銀行", "基金", "控股"]
+# Endings of institution names.
+SUFFIXES = ["商業銀行", "信保基金", "基金會", "股份有限公司", "有限公司", "信用保證協會", "銀行", "基金", "控股", "事務所"]
 
 
 def entity_names(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Institution names: a known ending with at most the four characters before it."""
-    runs = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("([一-鿿]{2,12}(?:商業銀行|信保基金|基金會|股份有限公司|有限公司|信用保證協會|銀行|基金|控股|事務所))"), 1)
+    runs = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("([一-鿿]{2,12}(?:" + "|".join(SUFFIXES) + "))"), 1)
     d = texts.select(*keys, F.explode(runs).alias("m"))
-    suf = F.coalesce(*[F.when(F.endswith("m", F.lit(s)), F.lit(s)) for s in SUFFIXES])
+    suf = F.coalesce(*[F.when(F.endswith("m", F.lit(s)), F.lit(s)) for s in sorted(SUFFIXES, key=len, reverse=True)])
     head = F.substring(F.col("m"), F.lit(1), F.length("m") - F.length(suf))
     head = F.when(F.length(head) > 4, F.right(head, F.lit(4))).otherwise(head)
     return d.select(*keys, F.when(F.length(head) >= 2, F.concat(head, suf)).alias("name")).where("name is not null").distinct()

@@ -174,7 +174,7 @@ def _registry(spark, sf):
     return n.join(d, n.stem == d.name).select("doc_id", F.coalesce("rule", F.lit(-1)).alias("rule"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("published", F.lit("")).alias("published"))
 
 
-_CAT = "coalesce(" + ", ".join(f"case when {' or '.join(f'contains(lower(stem),{chr(39)}{w.lower()}{chr(39)})' for w in ws)} then '{k}' end" for k, ws in K.CATEGORY_RULES) + ", case when doc_id%3=0 then '白皮書統計' end, '企業自有文件')"
+_CAT = "coalesce(" + ", ".join(f"case when {' or '.join(f'contains(lower(stem),{chr(39)}{w.lower()}{chr(39)})' for w in ws)} then '{k}' end" for ws, k in K.CATEGORY_RULES) + ", case when doc_id%3=0 then '白皮書統計' end, '企業自有文件')"
 
 
 @query("I15_categories", f"with {_NAME_SQL} select doc_id, {_CAT} as category from n")
