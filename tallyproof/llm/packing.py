@@ -33,8 +33,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, blobs = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            flat, bounds = encode(batch.column(1))
+            flat, bounds = memoryview(flat.tobytes()), (4 * bounds).tolist()
+            for doc_id, low, high in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                ids = b"".join((flat[low:high], end))
                 for piece, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at:at + 4 * room]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -37,16 +37,18 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def train(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """Dictionary over serialised ids; empty where the sample is too small to learn one."""
+    """Dictionary over serialised ids; empty only where no document has a short text. A sample too small or too uniform to
+    learn from is itself the dictionary, as content that frames refer to."""
     import zstandard
 
-    encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    encode = encoder(tokenizer)
     short = id_and_text(docs).where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = [np.frombuffer(encode(r.text) + end, "<u4").astype(f"<u{width}").tobytes() for r in sample(short, SAMPLE_DOCUMENTS).collect()]
+    ids, bounds = encode(pa.array([r.text for r in sample(short, SAMPLE_DOCUMENTS).collect()], pa.string()))
+    rows = [np.append(ids[x:y], end_id).astype(f"<u{width}").tobytes() for x, y in zip(bounds, bounds[1:])]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes() if len(rows) >= 100 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(rows)[-DICTIONARY_BYTES:]
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1) -> DataFrame:
@@ -72,24 +74,25 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 
     def run(batches):
         task = TaskContext.get()
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer)
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True).compress
-        out, ids, sizes, counts, nulls, at = None, [], [], [], 0, HEAD_SIZE
+        out, ids, sizes, counts, nulls, at, end = None, [], [], [], 0, HEAD_SIZE, end_id.to_bytes(width, "little")
         name = f"{path}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            flat, bounds = encode(batch.column(1))
+            flat = flat.astype(f"<u{width}")
+            for doc_id, low, high in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if out is None:
                     store, _ = place(folder)
                     out = store.open_output_stream(name)
                     out.write(struct.pack(HEAD, MAGIC, width, mark))
-                found = np.frombuffer(encode(text.as_py()) + end, "<u4")
-                frame = press(found.astype(f"<u{width}").tobytes())
+                frame = press(flat[low:high].tobytes() + end)
                 out.write(frame)
                 nulls += doc_id is None
                 ids.append(doc_id or 0)
                 sizes.append(at)
-                counts.append(len(found))
+                counts.append(high - low + 1)
                 at += len(frame)
         if out is not None:
             for values in (ids, sizes, counts):

@@ -1,64 +1,86 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once per worker.
+"""Token ids of whole texts by the ``tokenizers`` library, each distinct piece of an Arrow batch encoded once.
 
-The tokenizers used here never join characters across a blank or a line feed, so a text is cut there, each distinct
-piece is encoded by the library once, and the ids of a text are put together from its pieces.
+The tokenizers used here never join characters across a blank or a line feed, so texts are cut there, Arrow numbers the
+distinct pieces of a batch, the library encodes those that the worker does not remember, all in one call, and the ids of all texts
+are put together by index arrays.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallyproof.llm.common import worker_store
+from tallyproof.llm.words import slices
 
-BREAKS = re.compile("[ \n]+")
-#: Pieces in one generation of a worker's cache, which keeps two: what is used again moves to the younger one.
+#: A piece that ends in marks after a letter or digit: the library parts them, so both sides are encoded by themselves. Letters here
+#: stay one letter in lower case and by composition; a mark is ASCII and no apostrophe, which may begin a word.
+MARKED = re.compile(r"(.*[a-z0-9à-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: Pieces in one generation of a worker's memory, which keeps two: what is used again moves to the younger one.
 CACHE_PIECES = 200_000
+#: Texts cut and numbered at once.
+PART_BYTES = 2 << 20
 
 
 def encoder(path: str, cache_pieces: int = CACHE_PIECES):
-    """A function from text to its ids as little-endian unsigned 32-bit bytes. ``path``: a tokenizer file whose
-    pre-tokenizer drops white space."""
+    """A function from an Arrow array of texts to ``(ids, bounds)``: row ``r`` has ``ids[bounds[r]:bounds[r + 1]]``, as
+    little-endian unsigned 32-bit integers. ``path``: a tokenizer file whose pre-tokenizer drops white space."""
     store = worker_store()
     if ("encoder", path) in store:
         return store["encoder", path]
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    memory: list[dict[str, bytes]] = [{}, {}]
 
-    class Pieces(dict):
-        older: dict = {}
+    def of_pieces(pieces: list[str]) -> list[bytes]:
+        young, old = memory
+        known = {"": b""}
 
-        def __missing__(self, piece):
-            if len(self) >= cache_pieces:
-                self.older = dict(self)
-                self.clear()
-            ids = self.older.get(piece)
+        def find(x: str) -> bool:
+            ids = young.get(x)
+            if ids is None:
+                ids = old.get(x)
             if ids is not None:
-                pass
-            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():  # letters and marks are separate words to it
-                ids = self[piece[:-1]] + self[piece[-1]]
-            else:
-                ids = np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-            self[piece] = ids
-            return ids
+                known[x] = ids
+            return ids is not None
+
+        parts = [(p,) if find(p) or "<|" in p or not (m := MARKED.fullmatch(p)) else m.groups() for p in pieces]
+        new = [x for x in dict.fromkeys(x for part in parts for x in part) if x not in known and not find(x)]
+        for low in range(0, len(new), 10_000):
+            part = new[low:low + 10_000]
+            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False))))
+        if len(young) >= cache_pieces:
+            memory[:] = {}, young
+        memory[0].update((x, ids) for x, ids in known.items() if len(x) < 64)
+        return [known[part[0]] if len(part) == 1 else known[part[0]] + known[part[1]] for part in parts]
 
-    pieces = Pieces()
+    def encode_part(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # marks of special tokens are told apart by case
+            texts = pc.ascii_lower(texts)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = cut.flatten().dictionary_encode()
+        known = of_pieces(found.dictionary.to_pylist())
+        size = np.array([len(k) // 4 for k in known], np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        index = found.indices.to_numpy(zero_copy_only=False)
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        return ids, ends[offsets]
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")  # then lower case is one character for one, as in the library
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return b"".join(map(pieces.__getitem__, BREAKS.split(text)))
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = [encode_part(texts.slice(low, high - low)) for low, high in slices(texts, PART_BYTES)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in parts)])
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return ids, np.concatenate([[0], *(p[1][1:] + k for p, k in zip(parts, before))]).astype(np.int64)
 
     store["encoder", path] = encode
     return encode

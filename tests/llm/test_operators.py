@@ -1,12 +1,15 @@
 """Corpus operators on small tables against brute force, with nulls, empties, ties, repeated rows and clashing columns."""
 
+import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,15 +66,32 @@ def test_exact_odd(spark):
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------------
 
-def direct(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def direct(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_library():
     encode = tokens.encoder(TOKENIZER)
-    for text in ["It's a test, isn't it?", "ÀÉ ß x\x85y\x1cz", "á e\n\nb", "<|endoftext|> <|EndOfText|>x", "ΑΣ Σ", "İstanbul", "12,345.67!!", None, "", "  ", "漢字かな 123", "don't. Can't, we'll"]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == direct(text), text
+    texts = ["It's a test, isn't it?", "ÀÉ ß x\x85y\x1cz", "á e\n\nb", "<|endoftext|> <|EndOfText|>x", "ΑΣ Σ", "İstanbul", "12,345.67!!", None, "", "  ", "漢字かな 123", "don't. Can't, we'll",
+             "İ. İ, xİ. I\u0307. i\u0307!! é... e\u0301, ÿ; ÷. ß) ﬁ. ſ, ŉ. K. Å? a\u0338=. 3.) ...'s x.'s x'.s"]
+    rng = random.Random(2)
+    signs = "aZéÉİıßﬁſŉKÅ\u0301\u0307\u0338.,;:!?'<|>()=$09 \n\tΣς漢_-"
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    want = [direct(t) for t in texts]
+    for part in (1, 50, 7000):  # pieces come from the memory of the worker, from this batch or from the library
+        at = 0
+        while at < len(texts) and at < 100 * part:
+            ids, bounds = encode(pa.array(texts[at:at + part], pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want[at:at + part]
+            at += part
+    ids, bounds = encode(pa.array(texts, pa.string()).slice(5, 20))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want[5:25] and encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_packing(spark):
@@ -131,6 +151,13 @@ def test_token_files(spark):
     assert token_files.read(spark, token_files.write(docs(spark, []), TOKENIZER)).count() == 0
 
 
+def test_token_files_have_a_dictionary_at_any_size(spark):
+    for texts in ([(1, "one two three")], [(i, "the same words") for i in range(200)]):
+        shards = token_files.write(docs(spark, texts), TOKENIZER)
+        assert {r.dictionary for r in shards.collect()} != {hashlib.sha256(b"").hexdigest()}
+        assert [r.n_tokens for r in token_files.read(spark, shards).collect()] == [len(direct(t)) + 1 for _, t in texts]
+
+
 # ---- decontamination --------------------------------------------------------------------------------------------------------
 
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -393,5 +420,74 @@ def test_field_learns_what_patterns_miss(spark):
     model = secret_scan.train(docs(spark, texts))
     types_of = secret_scan.tokenizer()
     for text, want in (("plain words of text " * 10 + code(31) + " end", [41]), (texts[0][1], [41]), (texts[1][1], []), ("plain words " * 30, [])):
-        path = secret_scan.decode(types_of(text), secret_scan.file_features(text), model)
+        path = secret_scan.decode(types_of(pa.array([text]))[0], secret_scan.file_features(text), model)
         assert [i + 1 for i in np.flatnonzero(path)] == want
+
+
+def test_token_types_by_shape():
+    rng = random.Random(3)
+    parts = ["secret", "Token=", "AKIA", "key", "abc", "ÀÉ", "é", "漢", "ª", "²", "\u0660", "Ab.c-d", "=", "_", "ſ", "\x85", "\u2003", " ", "\n", "9f", "\"", ":", "x/y+z", "K", "ǅ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    types, bounds = secret_scan.tokenizer()(pa.array([None, *texts]))
+    assert bounds[1] == 0
+    for text, a, b in zip(texts, bounds[1:], bounds[2:]):
+        assert types[a:b].tolist() == [secret_scan.token_type(t) for t in secret_scan.TOKEN.findall(text)], text
+
+
+def test_batch_decoding_equals_single_texts():
+    rng = np.random.default_rng(1)
+    n = secret_scan.TYPES + 1
+    model = {"own": rng.normal(0, 3, (n, 3)), "before": rng.normal(0, 1, (n, 3)), "after": rng.normal(0, 1, (n, 3)), "move": rng.normal(0, 1, (3, 3)), "file": [rng.normal(0, 1, (s, 3)) for s in secret_scan.FILE_BINS]}
+    texts = [rng.integers(0, n - 1, k) for k in (0, 3, 0, 0, 50, 1, 1, 7, 0)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    files = np.array([[rng.integers(0, s) for s in secret_scan.FILE_BINS] for _ in texts])
+    want = [secret_scan.viterbi(sum((model["own"][t], model["before"][np.append(n - 1, t[:-1])], model["after"][np.append(t[1:], n - 1)])) + sum(m[i] for m, i in zip(model["file"], f)), model["move"])
+            for t, f in zip(texts, files) if len(t)]
+    assert secret_scan.decode_all(np.concatenate(texts), bounds, files, model).tolist() == np.concatenate(want).tolist()
+
+
+def test_training_sample_leaves_out_rows_without_id_and_finds_rare_secrets(spark):
+    plain = [(i, "plain words of text " * 4) for i in range(2000)]
+    rows = plain + [(None, "token=0123456789abcdef")] * 900 + [(5000, "token=0123456789abcdef")]
+    got = secret_scan.windows(docs(spark, rows), 20, 5).toArrow()
+    marked = [y for y in got["labels"].to_pylist() if any(y)]
+    assert len(marked) == 1 and got.num_rows < 200
+    assert secret_scan.train(docs(spark, rows), 20) is not None
+    assert secret_scan.train(docs(spark, plain + [(None, "token=0123456789abcdef")]), 20) is None
+
+
+def test_license_of_repeated_rows(spark):
+    text = " ".join(licenses.TEMPLATES[4][1].split()[:-16])
+    once = licenses.licenses(docs(spark, [(1, text)])).first()
+    for alike in (False, True):
+        got = licenses.licenses(docs(spark, [(1, text)] * 3 + [(2, text), (None, text), (None, text)]), alike=alike).collect()
+        assert len(got) == 6 and {r.dice for r in got} == {once.dice} and once.license == "MIT"
+
+
+def test_line_runs_of_a_long_text(spark):
+    rng = random.Random(4)
+    shared = [f"shared line {k}" for k in range(5)]
+
+    def text(n):
+        lines = [f"own line {rng.random()}" for _ in range(n)]
+        for at in range(0, n, 50):
+            lines[at:at + 2] = shared[at % 3:at % 3 + 2]
+        return lines
+
+    took = []
+    for n in (16_000, 64_000):
+        rows = [(i, text(n)) for i in range(2)]
+        start = time.time()
+        got = {r.doc_id: r for r in line_dedup.line_runs(docs(spark, [(i, "\n".join(x)) for i, x in rows])).collect()}
+        took.append(time.time() - start)
+        seen, want = set(), {}
+        for i, lines in rows:
+            gone = set()
+            for k in range(len(lines) - 1):
+                pair = lines[k], lines[k + 1]
+                if pair in seen:
+                    gone |= {k, k + 1}
+                seen.add(pair)
+            want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        assert {i: r.text for i, r in got.items()} == want and got[1].n_removed_chunks == n // 50
+    assert took[1] < 4 * took[0] + 5
