@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 CJK = r"㐀-䶿一-鿿豈-﫿"
-ALNUM = r"[A-Za-z][A-Za-z0-9_\-]*|[0-9][0-9,.\-]*"
+ALNUM = r"[A-Za-z][A-Za-z0-9_\-]*|\d[\d,\.\-]*"
 # Characters dropped before quotes are compared.
 MATCH_DROP = "，。、；：？！「」『』（）()[]【】-—–_·．.,:;!?\"'`*#>"
 CN_DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
@@ -89,12 +89,12 @@ def cn_ratio(s: Column) -> Column:
     return F.coalesce(tenth, pct, per)
 
 
-AMOUNT = r"(?:NT\$|新台幣|台幣)?\s*([0-9][0-9,]{4,})\s*(?:元|萬元|萬|億)?"
+AMOUNT = r"(?:NT\$|新台幣|台幣)?\s*([\d][\d,]{4,})\s*(?:元|萬元|萬|億)?"
 
 
 def largest_amount(text: Column) -> Column:
     """Largest amount mentioned (numbers of five or more digits, 萬 and 億 scale them), 0 where there is none."""
-    whole = F.regexp_extract_all(text, F.lit(r"((?:NT\$|新台幣|台幣)?\s*[0-9][0-9,]{4,}\s*(?:萬元|元|萬|億)?)"), 1)
-    value = lambda m: (F.regexp_replace(F.regexp_extract(m, r"([0-9][0-9,]{4,})", 1), ",", "").try_cast("double")
+    whole = F.regexp_extract_all(text, F.lit(r"((?:NT\$|新台幣|台幣)?\s*\d[\d,]{4,}\s*(?:萬元|元|萬|億)?)"), 1)
+    value = lambda m: (F.regexp_replace(F.regexp_extract(m, r"([\d][\d,]{4,})", 1), ",", "").try_cast("double")
                        * F.when(F.contains(m, F.lit("億")), 1e8).when(F.contains(m, F.lit("萬")), 1e4).otherwise(1.0))
     return F.coalesce(F.array_max(F.transform(whole, value)), F.lit(0.0))

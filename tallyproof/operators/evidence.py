@@ -231,8 +231,8 @@ def integrity(answers: DataFrame, verified: DataFrame) -> DataFrame:
 
 # How ratios, payment days and business numbers are worded.
 RATIO_WORDS = r"(?:成數|保證成數)[^0-9零一二三四五六七八九十百分]{0,8}(百分之[零一二三四五六七八九十百]+|[0-9.]+\s*%|[一二三四五六七八九十]成)"
-DAYS_WORDS = r"(?:帳期|付款(?:條件|期限)?|票期)[^0-9]{0,6}([0-9]{1,3})\s*(?:天|日)"
-ID_WORDS = r"(?:統編|統一編號)[^0-9]{0,4}([0-9]{8})"
+DAYS_WORDS = r"(?:帳期|付款(?:條件|期限)?|票期)[^0-9]{0,6}(\d{1,3})\s*(?:天|日)"
+ID_WORDS = r"(?:統編|統一編號)[^0-9]{0,4}(\d{8})"
 
 
 def assertions(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -282,7 +282,7 @@ JURIS_WORDS = {
 def scope_terms(q: Column, normalised: bool = False) -> Column:
     t = q if normalised else nfkc(F.coalesce(q, F.lit("")))
     places = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in FOREIGN]))
-    yrs = F.transform(F.regexp_extract_all(t, F.lit(r"(?:民國\s*)?([0-9]{2,4})\s*年"), 1), lambda y: F.concat(y, F.lit("年")))
+    yrs = F.transform(F.regexp_extract_all(t, F.lit(r"(?:民國\s*)?(\d{2,4})\s*年"), 1), lambda y: F.concat(y, F.lit("年")))
     arts = F.transform(F.regexp_extract_all(t, F.lit(r"第\s*([一二三四五六七八九十百0-9]+)\s*條"), 1), lambda a: F.concat(F.lit("第"), a, F.lit("條")))
     return F.array_distinct(F.concat(places, yrs, arts))
 
@@ -484,7 +484,7 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     frag = l.where(F.array_contains("marks", "📗")).select(key, "line_no", F.explode(F.regexp_extract_all("line", F.lit("「([^「」]{6,})」"), 1)).alias("value"))
     frag = frag.withColumn("norm", squeeze(F.col("value"))).where(F.length("norm") >= 6)
     num = l.where(F.array_contains("marks", "📊")).select(
-        key, "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"([0-9][0-9,]{3,}(?:\.[0-9]+)?|[0-9]+\.[0-9]{2})"), 1)).alias("value"),
+        key, "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(\d[\d,]{3,}(?:\.\d+)?|\d+\.\d{2})"), 1)).alias("value"),
         F.slice(F.filter(F.regexp_extract_all("line", F.lit("([一-鿿]{2,6})"), 1), lambda w: ~w.isin("實測", "原文", "推論", "未涵蓋")), 1, 6).alias("words"))
     num = num.withColumn("plain", F.regexp_replace("value", ",", ""))
     bare = F.regexp_replace(F.regexp_replace("plain", r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
@@ -499,7 +499,7 @@ def audit_marked(texts: DataFrame, corpus: DataFrame, key: str, text: str = "tex
     hit = num.withColumn("form", F.explode("forms")).withColumn("word", F.explode("words")).join(n_found, ["form", "word"], "left_semi").select(key, "line_no", "value").distinct()
     nu = num.select(key, "line_no", "value").join(hit.withColumn("ok", F.lit(True)), [key, "line_no", "value"], "left").select(
         key, "line_no", F.lit("number").alias("kind"), "value", F.coalesce("ok", F.lit(False)).alias("verified"))
-    bare_line = l.where((F.size("marks") == 0) & ~F.rlike(F.trim("line"), F.lit(r"^(\|---|#|>|```)")) & F.rlike("line", F.lit(r"[0-9][0-9,]{3,}|[0-9]+(\.[0-9]+)?\s*%")))
+    bare_line = l.where((F.size("marks") == 0) & ~F.rlike(F.trim("line"), F.lit(r"^(\|---|#|>|```)")) & F.rlike("line", F.lit(r"\d[\d,]{3,}|\d+(\.\d+)?\s*%")))
     un = bare_line.select(key, "line_no", F.lit("unmarked").alias("kind"), F.substring(F.trim("line"), 1, 110).alias("value"), F.lit(False).alias("verified"))
     return fr.unionByName(nu).unionByName(un)
 
