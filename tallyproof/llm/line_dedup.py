@@ -12,7 +12,7 @@ stood earlier in the corpus goes whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyproof.llm.common import stored
 
@@ -75,15 +75,19 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES
     first = again.groupBy("body").agg(F.min(F.struct("doc_id", "low", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stored(first.select("body", "first"), "line-first")
     later = again.join(first.hint("merge"), "body").where(~F.struct("doc_id", "low", "row").eqNullSafe(F.col("first")))
-    gone = later.select("doc_id", "row", "low", "high").distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
+    gone = later.select("doc_id", "row", "low", "high").distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"), "gone")
     both = base.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.exists("gone", lambda g: (i >= g["low"]) & (i < g["high"])))
+    return finished(both)
+
+
+def finished(both: DataFrame) -> DataFrame:
+    """Texts and counts of rows ``(doc_id, text, gone)``; ``gone`` is null where nothing goes."""
+    both = both.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["high"] - g["low"]), F.lit(0))
     return both.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without(F.col("lines"), F.col("gone")), "\n")).alias("text"),
+        F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"), n_gone.cast("bigint").alias("n_removed_lines"))
 
 
@@ -95,14 +99,20 @@ def bodies(lines: Column) -> Column:
     return F.filter(F.concat(pairs, F.filter(alone, lambda p: long_line(p["body"]))), lambda p: F.trim(p["body"], F.lit(" \t\r\n")) != "")
 
 
-def merged(spans: Column) -> Column:
-    """Spans ``(low, high)`` that touch or overlap as one."""
-    empty = F.array().cast("array<struct<low:int,high:int>>")
-    last = lambda a: F.get(a, F.size(a) - 1)
-    return F.aggregate(F.array_sort(spans), empty, lambda a, g: F.when(
-        (F.size(a) > 0) & (last(a)["high"] >= g["low"]),
-        F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["low"].alias("low"), F.greatest(last(a)["high"], g["high"]).alias("high")))),
-    ).otherwise(F.concat(a, F.array(g))))
+def merged(spans: DataFrame) -> DataFrame:
+    """``(doc_id, row, gone)``: spans ``(low, high)`` that touch or overlap as one, sorted; linear in the spans of a document."""
+    order = Window.partitionBy("doc_id", "row").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("fresh", F.when(before >= F.col("low"), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
+    runs = runs.groupBy("doc_id", "row", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("gone"))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The lines outside sorted spans that do not overlap, as the stretches between them."""
+    n = F.size(gone)
+    end = lambda k: F.coalesce(F.get(gone, k - 1)["high"], F.lit(0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(lines, end(k) + 1, F.coalesce(F.get(gone, k)["low"], F.size(lines)) - end(k))))
 
 
 def line_runs(docs: DataFrame) -> DataFrame:
@@ -114,28 +124,22 @@ def line_runs(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    lined = base.select("doc_id", "row", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))  # a column: lambdas must not split again
 
-    def beside(places: DataFrame, name: str, how: str) -> DataFrame:
+    def beside(rows: DataFrame, places: DataFrame, name: str, how: str) -> DataFrame:
         listed = places.select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"), name)
-        return base.join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row")), how).drop("g_id", "g_row")
+        return rows.join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row")), how).drop("g_id", "g_row")
 
-    hashes = base.select("doc_id", "row", F.explode(F.transform(bodies(lines), lambda p: F.struct(
+    hashes = lined.select("doc_id", "row", F.explode(F.transform(bodies(F.col("lines")), lambda p: F.struct(
         p["low"].alias("low"), p["high"].alias("high"), F.xxhash64(p["body"]).alias("h")))).alias("p")).select("doc_id", "row", "p.*")
     hashes = stored(hashes, "run-hashes")
     often = hashes.groupBy("h").count().where("count > 1").select("h")
     places = hashes.join(often.hint("merge"), "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high")).alias("places"))
-    pieces = beside(places, "places", "inner").select("doc_id", "row", lines.alias("lines"), "places").select("doc_id", "row", F.explode(F.transform("places", lambda p: F.struct(
+    pieces = beside(lined, places, "places", "inner").select("doc_id", "row", F.explode(F.transform("places", lambda p: F.struct(
         p["low"].alias("low"), p["high"].alias("high"), F.array_join(F.slice("lines", p["low"] + 1, p["high"] - p["low"]), "\n").alias("body")))).alias("p"))
     pieces = stored(pieces.select("doc_id", "row", "p.*"), "run-candidates")
     first = pieces.groupBy("body").agg(F.min(F.struct("doc_id", "low", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stored(first.select("body", "first"), "run-first")
     later = pieces.join(first.hint("merge"), "body").where(~F.struct("doc_id", "low", "row").eqNullSafe(F.col("first")))
-    gone = later.groupBy("doc_id", "row").agg(merged(F.collect_set(F.struct("low", "high"))).alias("gone"))
-    both = beside(gone, "gone", "left")
-    kept = F.filter(lines, lambda line, i: ~F.exists("gone", lambda g: (i >= g["low"]) & (i < g["high"])))
-    n_gone = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["high"] - g["low"]), F.lit(0))
-    return both.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"), n_gone.cast("bigint").alias("n_removed_lines"))
+    gone = merged(later.select("doc_id", "row", "low", "high").distinct())
+    return finished(beside(base, gone, "gone", "left"))
