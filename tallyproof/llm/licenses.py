@@ -1,6 +1,6 @@
 """License scans with DataFrame functions only: text units against license templates by Dice over word bigrams.
 
-Units are the lines of a text, its paragraphs (parted by empty lines) and the whole text. A unit of ``n`` distinct bigrams
+Units are the lines of a text, its paragraphs (parted by empty lines) and the whole text. A unit of ``n`` bigrams, repeats counted,
 can reach the threshold ``t`` only with templates of ``n * t / (2 - t)`` to ``n * (2 - t) / t`` bigrams: units
 outside the sizes of all templates are dropped before their bigrams are made, the others meet only templates of fitting size that
 share a bigram.
@@ -99,8 +99,8 @@ def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, thres
     short = F.filter(units(F.col("text")), lambda u: F.size(F.split(u, SEPARATORS, most)) < most)
     found = base.select("doc_id", F.xxhash64("text").alias("row"), F.explode(short).alias("unit"))
     found = with_bigrams(found, "unit").withColumn("n", F.size("pairs")).where(F.col("n").between(low, high))
-    named = identity(F.col("unit")) if alike else F.lit("")
-    pairs = found.select("doc_id", "row", F.xxhash64("unit").alias("unit"), "n", named.alias("named"), F.explode("pairs").alias("pair"))
+    found = found.withColumn("named", identity(F.col("unit")) if alike else F.lit(""))  # once for each unit, below the explode
+    pairs = found.select("doc_id", "row", F.xxhash64("unit").alias("unit"), "n", "named", F.posexplode("pairs").alias("at", "pair"))
     if alike:
         own = docs.sparkSession.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "template int, body string")
         known = known.join(F.broadcast(own.select("template", identity(F.col("body")).alias("name"))), "template")
@@ -108,7 +108,7 @@ def license_scan(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, thres
         known = known.withColumn("name", F.lit(""))
     fits = (F.col("size") >= F.col("n") * threshold / (2 - threshold)) & (F.col("size") <= F.col("n") * (2 - threshold) / threshold)
     keys = ["doc_id", "row", "unit", "n", "license", "template", "size"]
-    shared = pairs.join(F.broadcast(known), "pair").where(fits & (F.col("named") == F.col("name"))).groupBy(*keys, "pair", "uses").agg(F.count("*").alias("own"))
+    shared = pairs.join(F.broadcast(known), "pair").where(fits & (F.col("named") == F.col("name"))).groupBy(*keys, "pair", "uses").agg(F.size(F.collect_set("at")).alias("own"))
     shared = shared.groupBy(*keys).agg(F.sum(F.least("own", "uses")).alias("common"))
     shared = shared.withColumn("dice", F.col("common") * 2.0 / (F.col("n") + F.col("size"))).where(F.col("dice") >= threshold)
     if alike:
