@@ -86,8 +86,12 @@ def with_contract(inv: DataFrame, con: DataFrame) -> DataFrame:
 def row_violations(inv: DataFrame, con: DataFrame | None, as_of: dt.date, only: Iterable[str] = ROW_CHECKS) -> DataFrame:
     """(tenant_id, check_id, seq, part, ref): one row per broken row-level rule, and the rows that ratio checks list."""
     only = list(only)
-    need_contract = bool({"TERM-02", "TERM-03", "CONTRACT-01"} & set(only)) and con is not None
-    d = with_contract(inv, con) if need_contract else inv
+    by_contract = {"TERM-02", "TERM-03", "CONTRACT-01"} & set(only)
+    need_contract = bool(by_contract) and con is not None
+    if need_contract and set(only) - by_contract:  # only the columns of the contract rules are shuffled to the contracts
+        return row_violations(inv, None, as_of, [k for k in only if k not in by_contract]).unionByName(
+            row_violations(inv, con, as_of, [k for k in only if k in by_contract]))
+    d = with_contract(inv.select("tenant_id", "seq", "invoice_number", "buyer_ban", "payment_terms_days", "invoice_date", "total_amount"), con) if need_contract else inv
     if need_contract and "CONTRACT-01" in only:
         # one row per case that has contracts; other cases get no threshold and so no violation
         t = large_threshold(inv).join(con.select("tenant_id").distinct(), "tenant_id", "left_semi")
@@ -95,7 +99,7 @@ def row_violations(inv: DataFrame, con: DataFrame | None, as_of: dt.date, only:
     c = F.col
     idate, due = c("invoice_date"), c("due_date")
     sales, tax, total = c("sales_amount"), c("tax_amount"), c("total_amount")
-    if {"TAXID-01", "FRAUD-01", "RELATED-01"} & set(only):  # cleaned once, used by several rules
+    if not need_contract and {"TAXID-01", "FRAUD-01", "RELATED-01"} & set(only):  # cleaned once, used by several rules
         d = d.withColumns({"_seller": ids.clean_ban(c("seller_ban")), "_clean": ids.clean_ban(c("buyer_ban"))})
     seller, buyer = c("_seller"), c("_clean")
     given = lambda x: F.coalesce(x, F.lit("")) != ""
@@ -195,6 +199,13 @@ def duplicate_numbers(inv: DataFrame) -> DataFrame:
     return g.select("tenant_id", F.lit("DUP-01").alias("check_id"), "seq", F.lit(0).alias("part"), "ref")
 
 
+def repeated_buyers(inv: DataFrame, least: int = 2) -> DataFrame:
+    """Invoices of the (case, buyer) pairs that have at least ``least`` of them; a pair is counted on its key alone."""
+    keys = ["tenant_id", "buyer_ban"]
+    pairs = inv.where(F.col("buyer_ban").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*keys)
+    return inv.select("tenant_id", "buyer_ban", "seq", "invoice_number", "total_amount", "invoice_date").join(pairs, keys, "left_semi")
+
+
 def duplicate_claims(inv: DataFrame) -> DataFrame:
     """DUP-02: same buyer, total and date more than once."""
     keys = ["buyer_ban", "total_amount", "invoice_date"]
@@ -229,17 +240,27 @@ def large_threshold(inv: DataFrame, block: int = 1000) -> DataFrame:
     Exact selection over distinct amounts with their counts, chained over amount ranges.
     """
     a = inv.groupBy("tenant_id", F.coalesce("total_amount", F.lit(0)).alias("amt")).agg(F.count("*").alias("n"))
-    a = a.withColumn("neg", -F.col("amt"))
+    a = cut(a.withColumn("neg", -F.col("amt")))
     a = chain(a, ["tenant_id"], {"range": F.floor(F.col("neg") / block)}, ["neg"], sums={"upto": F.col("n")})
     n = inv.groupBy("tenant_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 4)).alias("k"))
     return a.join(n, "tenant_id").where("upto >= k").groupBy("tenant_id").agg(F.max("amt").alias("threshold"))
 
 
-def over_commitment(inv: DataFrame, con: DataFrame, inv_con: DataFrame | None = None) -> DataFrame:
-    """CONTRACT-02: per buyer the first row, in input order, where billing passes twice the yearly commitment."""
-    d = (inv_con if inv_con is not None else with_contract(inv, con)).where("c_found and c_commit <> 0")
-    d = d.select("tenant_id", "_buyer", "seq", "c_commit", F.coalesce("total_amount", F.lit(0)).alias("amt"))
-    d = chain(d, ["tenant_id", "_buyer"], {"range": seq_block()}, ["seq"], sums={"acc": F.col("amt")})
+def over_commitment(inv: DataFrame, con: DataFrame) -> DataFrame:
+    """CONTRACT-02: per buyer the first row, in input order, where billing passes twice the yearly commitment.
+
+    Billing can only pass it where the positive amounts of the pair do, so rows of other pairs are not put in order.
+    """
+    pair = ["tenant_id", "_buyer"]
+    amt = F.coalesce("total_amount", F.lit(0))
+    d = inv.select("tenant_id", ids.clean_ban(F.col("buyer_ban")).alias("_buyer"), "seq", amt.alias("amt"))
+    c = last_contract(con).where("c_commit <> 0").select(F.col("tenant_id").alias("_ct"), F.col("_buyer").alias("_cb"), "c_commit")
+    most = d.groupBy(*pair).agg(F.sum(F.greatest("amt", F.lit(0))).alias("most"))
+    due = most.join(c, same(most, c, [("tenant_id", "_ct"), ("_buyer", "_cb")])).where((F.col("most") > 2 * F.col("c_commit")) | (F.col("c_commit") < 0))
+    due = due.select("_ct", "_cb", "c_commit")
+    d = d.join(due, same(d, due, [("tenant_id", "_ct"), ("_buyer", "_cb")])).drop("_ct", "_cb")
+    d = cut(d)  # read by the windows and by the totals of their blocks
+    d = chain(d, pair, {"range": seq_block()}, ["seq"], sums={"acc": F.col("amt")})
     first = d.where(F.col("acc") > 2 * F.col("c_commit")).groupBy("tenant_id", "_buyer").agg(
         F.min("seq").alias("seq"), F.min_by("acc", "seq").alias("acc"), F.min_by("c_commit", "seq").alias("commit"))
     ref = F.concat(F.coalesce("_buyer", F.lit("None")), F.lit("("), F.format_string("%d", F.bround("acc", 0).cast("bigint")),
@@ -280,11 +301,15 @@ def paid_without_inflow(inv: DataFrame, led: DataFrame, **kw) -> DataFrame:
 
 # ---- the whole set ----------------------------------------------------------------------------------------------
 
-def count_documents(inv: DataFrame, con: DataFrame, led: DataFrame) -> DataFrame:
-    n = inv.groupBy("tenant_id").agg(F.count("*").alias("n_invoices"))
-    c = con.groupBy("tenant_id").agg(F.count("*").alias("n_contracts"))
-    l = led.groupBy("tenant_id").agg(F.count("*").alias("n_ledger"))
-    return n.join(c, "tenant_id", "left").join(l, "tenant_id", "left").na.fill(0, ["n_contracts", "n_ledger"])
+def count_documents(inv: DataFrame, con: DataFrame | None, led: DataFrame | None) -> DataFrame:
+    """Rows of each table per case with invoices; a table that no wanted check looks at may be left out and counts 0."""
+    d = inv.groupBy("tenant_id").agg(F.count("*").alias("n_invoices"))
+    for t, name in ((con, "n_contracts"), (led, "n_ledger")):
+        if t is None:
+            d = d.withColumn(name, F.lit(0).cast("bigint"))
+        else:
+            d = d.join(t.groupBy("tenant_id").agg(F.count("*").alias(name)), "tenant_id", "left").na.fill(0, [name])
+    return d
 
 
 NEED_CONTRACT = {"TERM-02": "info", "TERM-03": None, "CONTRACT-01": "info", "CONTRACT-02": None}
@@ -332,15 +357,24 @@ def bank_measure(inv: DataFrame, led: DataFrame, viol: DataFrame) -> DataFrame:
         (1 - F.coalesce("n_miss", F.lit(0)) / F.greatest("n_paid", F.lit(1))).alias("measure"))
 
 
-def findings(inv: DataFrame, con: DataFrame, led: DataFrame, as_of: dt.date, checks: Iterable[str] = tuple(CHECKS)) -> DataFrame:
-    """All requested findings, one row per (case, check)."""
+NEED_LEDGER = {"BANK-01", "LEDGER-01"}
+
+
+def findings(inv: DataFrame, con: DataFrame | None, led: DataFrame | None, as_of: dt.date, checks: Iterable[str] = tuple(CHECKS)) -> DataFrame:
+    """All requested findings, one row per (case, check). ``con`` or ``led`` may be None where no requested check looks at it."""
     checks = list(checks)
     want = set(checks)
+    if (con is None and want & set(NEED_CONTRACT)) or (led is None and want & NEED_LEDGER):
+        raise ValueError("a requested check needs contracts or a ledger")
     docs = count_documents(inv, con, led)
+    if {"DUP-02", "SEQ-01"} <= want:  # a pair of case and buyer seen once breaks neither
+        repeated = cut(repeated_buyers(inv))
+    else:
+        repeated = inv
     row_level = [k for k in ROW_CHECKS if k in want]
     listed = [k for k in LISTED if k in want]
     make = {
-        "DUP-01": lambda: duplicate_numbers(inv), "DUP-02": lambda: duplicate_claims(inv), "SEQ-01": lambda: consecutive_runs(inv),
+        "DUP-01": lambda: duplicate_numbers(inv), "DUP-02": lambda: duplicate_claims(repeated), "SEQ-01": lambda: consecutive_runs(repeated),
         "CONTRACT-02": lambda: over_commitment(inv, con), "BANK-01": lambda: paid_without_inflow(inv, led), "LEDGER-01": lambda: broken_balances(led),
     }
     parts = [row_violations(inv, con, as_of, row_level + listed)] if row_level or listed else []
@@ -349,7 +383,7 @@ def findings(inv: DataFrame, con: DataFrame, led: DataFrame, as_of: dt.date, che
     out = viol = None
     if parts:
         viol = reduce(DataFrame.unionByName, parts)
-        if len(parts) > 2:  # counted and ranked below: worked out once, stored, read twice
+        if len(parts) > 2 or want & set(NEED_CONTRACT):  # counted and ranked below: worked out once, stored, read twice
             viol = cut(viol)
     counted = [k for k in checks if k in row_level or k in make]
     if counted:
