@@ -262,16 +262,19 @@ query("V17_default_rate", f"with l as (select {_LOAN} as s from orders) select c
     lambda spark, sf: V.loan_status(_loans(spark, sf))[1])
 
 
-def bio_tokens(spark, sf):
+def bio_documents(spark, sf):
     """Words of every document, tagged by a hash of their position."""
-    w = D.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
-    n = F.pmod(F.xxhash64("doc_id", F.floor(F.col("pos") / 2)), F.lit(9))
-    kind = F.when(n <= 3, "QUESTION").when(n <= 6, "ANSWER").otherwise("O")
-    mark = F.when(F.pmod(F.xxhash64("pos", "doc_id"), F.lit(3)) == 0, "B-").otherwise("I-")
-    return w.select("doc_id", "pos", "word", F.when(kind == "O", "O").otherwise(F.concat(mark, kind)).alias("tag"))
+    d = D.table(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", r"\s+").alias("words"))
 
+    def tag(pos):
+        n = F.pmod(F.xxhash64("doc_id", F.floor(pos / 2)), F.lit(9))
+        mark = F.when(F.pmod(F.xxhash64(pos, "doc_id"), F.lit(3)) == 0, "B-").otherwise("I-")
+        return F.when(n <= 3, F.concat(mark, F.lit("QUESTION"))).when(n <= 6, F.concat(mark, F.lit("ANSWER"))).otherwise("O")
 
-query("V18_bio_pairs")(lambda spark, sf: V.bio_pairs(bio_tokens(spark, sf)))
+    return d.select("doc_id", "words", F.transform(F.sequence(F.lit(0), F.size("words") - 1), tag).alias("tags"))
+
+
+query("V18_bio_pairs")(lambda spark, sf: V.bio_document_pairs(bio_documents(spark, sf)))
 
 
 @query("V19_json_leaves", "select event_id as doc_id, concat(event_type, ' ', props, ' ', cast(user_id as varchar), ' receipt text') as text from events where length(concat(event_type, ' ', props, ' ', cast(user_id as varchar), ' receipt text'))>=30")
