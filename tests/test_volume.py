@@ -65,3 +65,13 @@ def test_document_pairs_without_a_shuffle(spark):
     words = eval_queries.bio_documents(spark, SF).where("doc_id < 50")
     tokens = words.select("doc_id", F.posexplode(F.arrays_zip("words", "tags")).alias("pos", "t")).select("doc_id", "pos", F.col("t.words").alias("word"), F.col("t.tags").alias("tag"))
     assert sorted(map(tuple, V.bio_pairs(tokens).collect())) == sorted(map(tuple, V.bio_document_pairs(words).collect()))
+
+
+def test_edges_are_summed_by_business_numbers(spark):
+    from tallyproof.operators import graph as G
+    inv, bil = D.invoices(spark, SF), D.bills(spark, SF)
+    got = G.merged_trade_edges(inv, bil)
+    ways = [line for line in plan(got).split("\n") if "Exchange hashpartitioning" in line]
+    assert ways and not any("src_id" in line for line in ways)
+    want = G.merge_edges(G.trade_edges(inv, bil))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
