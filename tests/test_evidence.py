@@ -219,3 +219,26 @@ def test_number_near_word(spark):
     near = lambda f, w: bool(re.search(f"{re.escape(f)}[\\s\\S]{{0,{max(0, 200 - len(f) - len(w))}}}{w}|{w}[\\s\\S]{{0,{max(0, 200 - len(w))}}}{re.escape(f)}", body))
     got = E._near(spark.createDataFrame(pairs, "form string, word string"), spark.createDataFrame([(1, body)], "body_id long, n string"), 200).collect()
     assert sorted(map(tuple, got)) == sorted(p for p in pairs if near(*p)) and got
+
+
+def test_places_by_anchors_of_every_size(spark):
+    rnd = random.Random(8)
+    same = "ab" * 700  # the hashes of its starts tie
+    bodies = [(0, same), (1, None), (2, "")] + [(i, "".join(rnd.choice("abcdefg發票😀") for _ in range(rnd.choice([20, 700, 3000])))) for i in range(3, 15)]
+    bodies.append((15, "x" + bodies[9][1] + "y" + bodies[10][1]))
+    needles = {"abab" * 30, "ba" * 20, same[:1300]}
+    for n in [1, 2, 14, 15, 16, 62, 63, 64, 254, 255, 600]:
+        for _ in range(6):
+            text = rnd.choice([t for _, t in bodies if t and len(t) >= n])
+            k = rnd.randrange(len(text) - n + 1)
+            needles |= {text[k:k + n], text[k:k + n] + "zzz"}
+    got = E.places(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(bodies, "body_id long, b string"), "b").collect()
+    want = [(x, i, k) for x in needles for i, t in bodies if t for k in range(len(t)) if t.startswith(x, k)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_number_forms_meet_places_in_an_equi_join(spark):
+    pairs = spark.createDataFrame([(str(k), "金額") for k in range(10_000, 10_050)], "form string, word string")
+    near = E._near(pairs, spark.createDataFrame([(1, "金額 10007 元 910011 10.007")], "body_id long, n string"), 200)
+    assert sorted(r.form for r in near.collect()) == ["10007", "10011"]
+    assert "Contains" not in near._jdf.queryExecution().optimizedPlan().toString()
