@@ -152,3 +152,23 @@ def test_ingest_writes_a_parent_once(spark):
     stored = spark.read.parquet(f"{d}/out/chunks").where("parent_content is not null").count()
     assert stored == parents < whole.count()
     assert spark.read.parquet(f"{d}/out/postings").groupBy("source", "parent_index", "term").count().where("count > 1").count() == 0
+
+
+def test_published_is_no_end_of_a_longer_number(spark):
+    names = {"承保統計11501": "2026-01", "a 4379167456496209": None, "card 4379201456496209": "2014", "stats 09912": "2010-12", "x11513": None, "年報2024": "2024"}
+    d = spark.createDataFrame([(n,) for n in names], "stem string").select("stem", K.infer_published(F.col("stem")).alias("p"))
+    assert {r.stem: r.p for r in d.collect()} == names
+
+
+def test_registry_equals_its_sql_on_odd_first_lines(spark):
+    import duckdb
+    from tallyproof.plans import load_all
+    from tallyproof.plans.registry import ORACLES, QUERIES
+    load_all()
+    d = tempfile.mkdtemp(prefix="spark-")
+    texts = [(i, t) for i, t in enumerate(["ends 4379167456496209", "", None, "plain\nmore 11501", "in 2019 or so", "4379167456496209\n"] * 10)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    con_ = duckdb.connect()
+    con_.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    for name in ("I14_registry", "I10_name_rules"):
+        assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == sorted(con_.execute(ORACLES[name]).fetchall()), name
