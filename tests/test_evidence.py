@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -242,3 +243,9 @@ def test_number_forms_meet_places_in_an_equi_join(spark):
     near = E._near(pairs, spark.createDataFrame([(1, "金額 10007 元 910011 10.007")], "body_id long, n string"), 200)
     assert sorted(r.form for r in near.collect()) == ["10007", "10011"]
     assert "Contains" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_scores_need_no_text_index(spark, monkeypatch):
+    from tallyproof.plans import retrieval_queries as Q_, texts as X
+    monkeypatch.setattr(X.text_index, "build", lambda *a: pytest.fail("the text index was built"))
+    assert Q_._dense(spark, "/root/testdata/sf0.001").limit(1).count() == 1
