@@ -245,6 +245,24 @@ def test_number_forms_meet_places_in_an_equi_join(spark):
     assert "Contains" not in near._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_score_the_pool_reaches_is_known_first(spark, monkeypatch):
+    rnd = random.Random(4)
+    weights = [1 / (i + 1) for i in range(80)]
+    c = spark.createDataFrame([(i, "s", "c", " ".join(rnd.choices([f"t{i}" for i in range(80)], weights, k=30))) for i in range(300)], "chunk_id long, source string, category string, text string")
+    q = spark.createDataFrame([(i, " ".join(rnd.choices([f"t{i}" for i in range(80)], k=8))) for i in range(5)] + [(9, "t0")], "query_id long, q string")
+    monkeypatch.setattr(text_index, "BLOCK", 8)
+    index = text_index.build(c)
+    best = {}
+    for r in text_index.search(index, q, 10).collect():
+        best.setdefault(r.query_id, []).append(r.sparse_score)
+    from tallyproof.functions.text import query_terms
+    known = q.select("query_id", F.explode(query_terms(F.col("q"))).alias("term")).join(index.terms, "term")
+    for reach in (1, 4, 64):  # fewer postings give a lower score, never one that the pool misses
+        monkeypatch.setattr(text_index, "REACH", reach)
+        sure = {r.query_id: r.sure for r in text_index._reached(index, known, 10).collect()}
+        assert all(v is None or v <= min(best[k]) + 1e-6 for k, v in sure.items()) and (reach < 64 or sure[9] is not None)
+
+
 def test_dense_scores_need_no_text_index(spark, monkeypatch):
     from tallyproof.plans import retrieval_queries as Q_, texts as X
     monkeypatch.setattr(X.text_index, "build", lambda *a: pytest.fail("the text index was built"))
