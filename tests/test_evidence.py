@@ -267,3 +267,38 @@ def test_dense_scores_need_no_text_index(spark, monkeypatch):
     from tallyproof.plans import retrieval_queries as Q_, texts as X
     monkeypatch.setattr(X.text_index, "build", lambda *a: pytest.fail("the text index was built"))
     assert Q_._dense(spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+def test_bulk_ranks_move_no_token(spark, monkeypatch):
+    """Parts are scored where they lie: one pass for all questions, no shuffle of tokens, the ranks of the search by blocks."""
+    rnd = random.Random(8)
+    weights = [1 / (i + 1) for i in range(50)]
+    odd = ["Ab-c_d, 1,234.5. 12-, x1,y2 (z) 中文字 單 é9 \t tab\x0bT1\r\nline a..b", "٣ K k K1 1٣ ,,. -a 5", "", None, "金額12,000元 a" * 3]
+    texts = [" ".join(rnd.choices([f"t{i}" for i in range(50)], weights, k=rnd.choice([3, 30]))) for _ in range(200)] + odd
+    c = spark.createDataFrame([(i, f"s{i % 3}", "c" if i % 5 else None, t) for i, t in enumerate(texts)], "chunk_id long, source string, category string, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(rnd.choices([f"t{i}" for i in range(50)], k=6)) + " 中文 t1 12") for i in range(20)], "query_id long, q string")
+    for name, value in (("PART_BYTES", 700), ("ASKED", 3), ("KEPT", 5), ("BLOCK", 8)):
+        monkeypatch.setattr(text_index, name, value)
+    index = text_index.build(c)
+    assert "Exchange" not in text_index._in_parts(c.repartition(1).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, R.postings(c).groupBy("term").agg(F.count("*").alias("df")).collect()))
+    assert sorted(map(tuple, index.terms.select("term", "df").collect())) == want
+    named = spark.createDataFrame([(0, "s2"), (3, "s0"), (3, "s1")], "query_id long, source string")
+    for sources in (None, named):
+        a, b = ([(r.query_id, r.rank_s, r.chunk_id, round(r.sparse_score, 7)) for r in fn(index, q, 9, sources).collect()] for fn in (text_index.search, text_index.seek))
+        assert sorted(a) == sorted(b) and len(a) == 180
+    text = spark.createDataFrame([("x%d" % r.chunk_id, r.source, r.category, r.text) for r in c.collect()], "chunk_id string, source string, category string, text string")
+    assert text_index.search(text_index.build(text), q, 9).count() == 180
+
+
+def test_context_is_found_without_moving_texts(spark, monkeypatch):
+    from tallyproof.plans import evidence_queries as Q_, texts as X
+    sf = "/root/testdata/sf0.001"
+    few = spark.createDataFrame([(1, 4, "s", 1), (2, 4, "s", 1), (2, 9, "s", 2)], "query_id long, chunk_id long, source string, place int")
+    monkeypatch.setattr(Q_, "retrieved", lambda *a: few)
+    seen = []
+    monkeypatch.setattr(Q_, "written", lambda spark, sf, name, make, *a: seen.append(make()) or seen[-1])
+    assert Q_.context(spark, sf).count() == 3
+    assert "SortMergeJoin" not in seen[-1]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "written", lambda spark, sf, name, make, *a: make())
+    assert X.questions(spark, sf).count() == 40
