@@ -8,7 +8,7 @@ are put together by index arrays.
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from tallyproof.llm.words import slices
 
 #: A piece that ends in marks after a letter or digit: the library parts them, so both sides are encoded by themselves. Letters here
 #: stay one letter in lower case and by composition; a mark is ASCII and no apostrophe, which may begin a word.
-MARKED = re.compile(r"(.*[a-z0-9à-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
+MARKED = r"(?s)^(?P<a>.*[a-z0-9à-öø-ÿ])(?P<b>[!-&(-/:-@\[-`{-~]+)$"
 #: Pieces in one generation of a worker's memory, which keeps two: what is used again moves to the younger one.
 CACHE_PIECES = 200_000
 #: Texts cut and numbered at once.
@@ -38,27 +38,42 @@ def encoder(path: str, cache_pieces: int = CACHE_PIECES):
     tok = Tokenizer.from_file(path)
     memory: list[dict[str, bytes]] = [{}, {}]
 
-    def of_pieces(pieces: list[str]) -> list[bytes]:
+    def of_parts(parts: list[str]) -> list[bytes]:
         young, old = memory
-        known = {"": b""}
-
-        def find(x: str) -> bool:
-            ids = young.get(x)
-            if ids is None:
-                ids = old.get(x)
-            if ids is not None:
-                known[x] = ids
-            return ids is not None
-
-        parts = [(p,) if find(p) or "<|" in p or not (m := MARKED.fullmatch(p)) else m.groups() for p in pieces]
-        new = [x for x in dict.fromkeys(x for part in parts for x in part) if x not in known and not find(x)]
+        known = list(map(young.get, parts))
+        gone = [i for i, ids in enumerate(known) if ids is None]
+        for i in gone:
+            known[i] = old.get(parts[i])
+        new = [i for i in gone if known[i] is None]
         for low in range(0, len(new), 10_000):
-            part = new[low:low + 10_000]
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False))))
+            some = new[low:low + 10_000]
+            ids = [e.ids for e in tok.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)]
+            blob = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
+            for i, x, y in zip(some, [0, *ends], ends):
+                known[i] = blob[x:y]
         if len(young) >= cache_pieces:
-            memory[:] = {}, young
-        memory[0].update((x, ids) for x, ids in known.items() if len(x) < 64)
-        return [known[part[0]] if len(part) == 1 else known[part[0]] + known[part[1]] for part in parts]
+            memory[:] = young, _ = {}, young
+        young.update((parts[i], known[i]) for i in gone if len(parts[i]) < 64)
+        return known
+
+    def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches of ``flat`` that begin at ``first`` with ``n`` values, one after the other, and where each ends."""
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends
+
+    def of_pieces(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        two = pc.and_not(pc.match_substring_regex(pieces, MARKED), pc.match_substring(pieces, "<|"))
+        pair = pc.extract_regex(pieces.filter(two), MARKED)
+        found = pa.concat_arrays([pieces.filter(pc.invert(two)), pair.field("a"), pair.field("b")]).dictionary_encode()
+        known = of_parts(found.dictionary.to_pylist())
+        two, at = two.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
+        start = np.cumsum(1 + two) - 1 - two
+        parts, whole = np.empty(len(pieces) + len(pair), np.int64), len(pieces) - len(pair)
+        parts[start[~two]], parts[start[two]], parts[start[two] + 1] = at[:whole], at[whole:len(pieces)], at[len(pieces):]
+        size = np.array(list(map(len, known)), np.int64) // 4
+        flat, ends = gathered(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(size) - size)[parts], size[parts])
+        return flat, ends[start], ends[start + 1 + two] - ends[start]
 
     def encode_part(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("")
@@ -66,13 +81,9 @@ def encoder(path: str, cache_pieces: int = CACHE_PIECES):
             texts = pc.ascii_lower(texts)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         found = cut.flatten().dictionary_encode()
-        known = of_pieces(found.dictionary.to_pylist())
-        size = np.array([len(k) // 4 for k in known], np.int64)
-        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        flat, first, size = of_pieces(found.dictionary)
         index = found.indices.to_numpy(zero_copy_only=False)
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        ids, ends = gathered(flat, first[index], size[index])
         offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         return ids, ends[offsets]
 

@@ -491,3 +491,22 @@ def test_line_runs_of_a_long_text(spark):
             want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         assert {i: r.text for i, r in got.items()} == want and got[1].n_removed_chunks == n // 50
     assert took[1] < 4 * took[0] + 5
+
+
+def test_encoder_gives_the_library_ids_across_its_memory():
+    """Pieces with marks at the end, repeated over several texts, parts and generations of the memory."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from tallyproof.llm import tokens as K
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, store = Tokenizer.from_file(path), K.worker_store()
+    kept = store.pop(("encoder", path), None)
+    encode = K.encoder(path, cache_pieces=6)
+    texts = ["Alpha, beta. alpha,beta... (x) é9! <|endoftext|> a<|b, c-d' e'' \t,tab　!", "", None, ",", "word" * 30 + "; end.", "alpha, gamma; beta? 12,345.6!", "naïve?! ÀÉ. ß; ÿ- Ā!"]
+    for part in (texts, texts[::-1], ["Alpha, beta? " * 3] * 2, [None]):
+        ids, bounds = encode(pa.array(part, pa.string()))
+        for text, low, high in zip(part, bounds, bounds[1:]):
+            assert ids[low:high].tolist() == tok.encode(text or "", add_special_tokens=False).ids
+    store.pop(("encoder", path))
+    if kept:
+        store["encoder", path] = kept
