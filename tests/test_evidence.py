@@ -291,6 +291,26 @@ def test_bulk_ranks_move_no_token(spark, monkeypatch):
     assert text_index.search(text_index.build(text), q, 9).count() == 180
 
 
+def test_search_counts_only_what_is_asked(spark, monkeypatch):
+    """A search makes no table of all terms; a part holds its postings as a few values, and texts are cut evenly."""
+    import pyarrow as pa
+    made, written = [], text_index.written
+    monkeypatch.setattr(text_index, "written", lambda spark, scope, name, *a, **k: made.append(name) or written(spark, scope, name, *a, **k))
+    c = spark.createDataFrame([(i, "s", "c", f"w{i % 7} x{i % 3} élan{i % 2}. (a.b) y{i}") for i in range(60)] + [(60, "s", None, "")], "chunk_id long, source string, category string, text string").repartition(2)
+    index = text_index.build(c)
+    q = spark.createDataFrame([(i, f"w{i} x1 b lan1 none") for i in range(9)], "query_id long, q string")
+    assert text_index.search(index, q, 4).count() == 36 and made == ["text-index-parts"]
+    assert {n: t for n, t in index.parts.dtypes if n in ("terms", "dfs", "docs", "tfs")} == {"terms": "string", "dfs": "binary", "docs": "binary", "tfs": "binary"}
+    monkeypatch.setattr(text_index, "VOCABULARY", 2)
+    monkeypatch.setattr(text_index, "SENT", 0)
+    want = {r.term: r.df for r in R.postings(c).groupBy("term").agg(F.count("*").alias("df")).collect()}
+    asked = spark.createDataFrame([(t,) for t in ("w1", "x1", "b", "lan1", "none", "y5")], "term string")
+    assert {r.term: r.df for r in index.weighted(asked).collect()} == {t: want[t] for t in ("w1", "x1", "b", "lan1", "y5")}
+    assert text_index.build(spark.createDataFrame([(1, "s", None, "")], c.schema)).weighted(asked).count() == 0
+    monkeypatch.setattr(text_index, "PART_BYTES", 100)
+    assert [high - low for low, high in text_index._slices(pa.array(["x" * 10] * 13))] == [13]
+
+
 def test_context_is_found_without_moving_texts(spark, monkeypatch):
     from tallyproof.plans import evidence_queries as Q_, texts as X
     sf = "/root/testdata/sf0.001"
