@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import broadcast_if_small
 from ..functions.ordered import number_rows, number_runs, seq_block
 from ..session import cut
 
@@ -118,20 +119,8 @@ def by_reference(inv: DataFrame, led: DataFrame) -> DataFrame:
     return _by_rank(i.unionByName(l), ["tenant_id", "ref"]).where("l_seq is not null")
 
 
-def reconcile(inv: DataFrame, led: DataFrame, task_rows: int = 20_000) -> DataFrame:
-    """Every paid invoice with the inflow it takes: (tenant_id, seq, invoice_number, l_seq, how)."""
-    paid = inv.where(F.upper("status") == "PAID")
-    ref = by_reference(inv, led)
-    cents = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) * 100).cast("bigint")
-    dayno = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    i = paid.join(ref, ["tenant_id", "seq"], "left_anti").select(
-        "tenant_id", F.lit("i").alias("side"), "seq", cents("total_amount").alias("cents"),
-        dayno(F.coalesce("paid_date", "due_date")).alias("day"),
-        F.when(F.col("paid_date").isNotNull(), PAID_WINDOW).otherwise(DUE_WINDOW).alias("days"))
-    l = led.where("amount > 0").join(ref.select("tenant_id", F.col("l_seq").alias("seq")), ["tenant_id", "seq"], "left_anti").select(
-        "tenant_id", F.lit("l").alias("side"), "seq", cents("amount").alias("cents"), dayno(F.col("txn_date")).alias("day"),
-        F.lit(0).alias("days"))
-    d = cut(i.unionByName(l))
+def _fit(d: DataFrame, task_rows: int) -> DataFrame:
+    """Pass 2 over stored rows of both sides: (tenant_id, seq, l_seq) of their invoices, by islands."""
     d = _islands(d, ["tenant_id"], "cents", 100 * AMOUNT_TOLERANCE, F.floor(F.col("cents") / 100_000), "a_island")
     # A date gap only separates rows when every row of the amount island is dated.
     wide = d.groupBy("tenant_id", "a_island").agg(F.max("days").alias("widest"), F.count_if(F.col("day").isNull()).alias("undated"))
@@ -156,6 +145,62 @@ def reconcile(inv: DataFrame, led: DataFrame, task_rows: int = 20_000) -> DataFr
     large = mixed.where(F.col("n_rows") > task_rows).select(*ISLAND, "side", "seq", "cents", "day", "days")
     if not large.isEmpty():
         fit = fit.unionByName(_rounds(large))
+    return fit
+
+
+def _paid(inv: DataFrame) -> DataFrame:
+    return inv.where(F.upper("status") == "PAID")
+
+
+def _cents(c: str) -> Column:
+    return F.round(F.coalesce(F.col(c), F.lit(0)) * 100).cast("bigint")
+
+
+def _day(c: Column | str) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date"))
+
+
+def _invoice_side(paid: DataFrame, *more: Column) -> DataFrame:
+    return paid.select(
+        "tenant_id", F.lit("i").alias("side"), "seq", _cents("total_amount").alias("cents"), _day(F.coalesce("paid_date", "due_date")).alias("day"),
+        F.when(F.col("paid_date").isNotNull(), PAID_WINDOW).otherwise(DUE_WINDOW).alias("days"), *more)
+
+
+def _ledger_side(led: DataFrame, *more: Column) -> DataFrame:
+    return led.where("amount > 0").select(
+        "tenant_id", F.lit("l").alias("side"), "seq", _cents("amount").alias("cents"), _day(F.col("txn_date")).alias("day"), F.lit(0).alias("days"), *more)
+
+
+def _left_by_reference(inv: DataFrame, led: DataFrame) -> DataFrame:
+    """Rows that ``by_reference`` leaves over, both sides. Most references stand once on a side, which counts show; only
+    rows of the others are ranked."""
+    rows = _invoice_side(_paid(inv), F.coalesce("invoice_number", F.lit("")).alias("ref")).unionByName(_ledger_side(led, F.coalesce("reference", F.lit("")).alias("ref")))
+    key, cols = ["tenant_id", "ref"], ["seq", "cents", "day", "days"]
+    named = rows.where("ref <> ''")
+    g = named.groupBy(*key).agg(F.count_if(F.col("side") == "i").alias("n_i"), F.count_if(F.col("side") == "l").alias("n_l"), *[F.max(c).alias(c) for c in cols])
+    g = cut(g.where("n_i <> 1 or n_l <> 1"))  # one with one is a pair
+    alone = g.where("n_i + n_l = 1").select("tenant_id", F.when(F.col("n_i") == 1, "i").otherwise("l").alias("side"), *cols)
+    many = broadcast_if_small(g.where("n_i + n_l > 1").select(*key, F.least("n_i", "n_l").alias("n_pairs")), 1_000_000)
+    ranked = number_rows(named.join(many, key), key + ["side"], {"range": seq_block()}, ["seq"], "k").where("k > n_pairs")
+    plain = ["tenant_id", "side", *cols]
+    return rows.where("ref = ''").select(*plain).unionByName(alone.select(*plain)).unionByName(ranked.select(*plain))
+
+
+def open_counts(inv: DataFrame, led: DataFrame, task_rows: int = 20_000) -> DataFrame:
+    """(tenant_id, n_open): how many paid invoices ``reconcile`` leaves without an inflow, without naming the pairs."""
+    d = cut(_left_by_reference(inv, led))
+    n = d.where("side = 'i'").groupBy("tenant_id").agg(F.count("*").alias("n"))
+    fit = _fit(d, task_rows).where("l_seq is not null").groupBy("tenant_id").agg(F.count("*").alias("fit"))
+    return n.join(fit, "tenant_id", "left").select("tenant_id", (F.col("n") - F.coalesce("fit", F.lit(0))).alias("n_open"))
+
+
+def reconcile(inv: DataFrame, led: DataFrame, task_rows: int = 20_000) -> DataFrame:
+    """Every paid invoice with the inflow it takes: (tenant_id, seq, invoice_number, l_seq, how)."""
+    paid = _paid(inv)
+    ref = by_reference(inv, led)
+    i = _invoice_side(paid.join(ref, ["tenant_id", "seq"], "left_anti"))
+    l = _ledger_side(led.where("amount > 0").join(ref.select("tenant_id", F.col("l_seq").alias("seq")), ["tenant_id", "seq"], "left_anti"))
+    fit = _fit(cut(i.unionByName(l)), task_rows)
     pairs = ref.withColumn("how", F.lit("reference")).unionByName(fit.where("l_seq is not null").withColumn("how", F.lit("amount_date")))
     return paid.select("tenant_id", "seq", F.coalesce("invoice_number", F.lit("None")).alias("invoice_number")).join(
         pairs, ["tenant_id", "seq"], "left").withColumn("how", F.coalesce("how", F.lit("none")))
