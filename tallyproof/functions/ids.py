@@ -13,7 +13,8 @@ OPEN_CLOSED = ["PAID", "WRITTEN_OFF", "CANCELLED", "VOID"]
 def clean_ban(c: Column) -> Column:
     """Digits only; anything that is not eight digits is NULL (no guessing, no padding)."""
     d = F.regexp_replace(c, r"[^0-9]", "")
-    return F.when(F.length(d) == 8, d)
+    plain = (F.length(c) == 8) & (F.btrim(c, F.lit("0123456789")) == "")  # most are, and no pattern is run over them
+    return F.when(plain, c).when(F.length(d) == 8, d)
 
 
 def ban_valid(c: Column, cleaned: bool = False) -> Column:
